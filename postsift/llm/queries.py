@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash, substring_dedup
+from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +36,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_neardup, op2_substring_dedup, op3_mixing, op5_exact_dedup)
+    f.__name__: f for f in (op1_simhash_neardup, op2_substring_dedup, op3_mixing, op5_exact_dedup, op6_packing, op10_topk_search)
 }
-ORACLE_SQL = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_topk_search": topk.SQL}
