@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, substring_dedup, topk
+from . import exact_dedup, lm_scoring, mixing, packing, simhash, substring_dedup, topk
 
 
 def tokenizer_path() -> str:
@@ -40,11 +40,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_neardup, op2_substring_dedup, op3_mixing, op5_exact_dedup, op6_packing, op10_topk_search)
+    f.__name__: f for f in (op1_simhash_neardup, op2_substring_dedup, op3_mixing, op5_exact_dedup, op6_packing, op8_lm_scoring, op10_topk_search)
 }
-ORACLE_SQL = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op10_topk_search": topk.SQL}
+ORACLE_SQL = {"op2_substring_dedup": substring_dedup.SQL, "op3_mixing": mixing.SQL, "op5_exact_dedup": exact_dedup.SQL, "op8_lm_scoring": lm_scoring.SQL, "op10_topk_search": topk.SQL}

@@ -117,14 +117,22 @@ class Words:
 
     def _hash(self, data: np.ndarray) -> np.ndarray:
         if not len(self.start):
+            self._sums = self._low = self._back = np.zeros(0, np.uint64)
             return np.zeros(0, np.uint64)
         n = len(data)
-        sums = _BYTE_CODES[data]
-        sums *= powers(_BASE, n)
-        np.cumsum(sums, out=sums)
-        low = np.where(self.start > 0, sums[self.start - 1], np.uint64(0))
-        back = powers(pow(_BASE, -1, 2**64), n)[self.start]
-        return mix64((sums[self.end - 1] - low) * back)
+        self._sums = _BYTE_CODES[data]
+        self._sums *= powers(_BASE, n)
+        np.cumsum(self._sums, out=self._sums)
+        self._low = np.where(self.start > 0, self._sums[self.start - 1], np.uint64(0))
+        self._back = powers(pow(_BASE, -1, 2**64), n)[self.start]
+        return self._until(self.end)
+
+    def _until(self, end: np.ndarray) -> np.ndarray:
+        return mix64((self._sums[end - 1] - self._low) * self._back) if len(end) else np.zeros(0, np.uint64)
+
+    def prefix_hash(self, size: int) -> np.ndarray:
+        """Hash of the first `size` bytes of each word (of the whole word where it is shorter)."""
+        return self._until(np.minimum(self.start + size, self.end))
 
     def documents(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
