@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .support import _BASE, Tables, Words, bound_batches, mix64, pack_counts, rolling, unpack_counts, within
 
-BATCH_CHARS = 6_000_000
-#: Entries that one task counts at a time: 16 MB of keys.
-SHARD_KEYS = 2_000_000
+BATCH_CHARS = 3_000_000
+#: Entries that one task counts at a time: 8 MB of keys.
+SHARD_KEYS = 1_000_000
 
 
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,9 +135,11 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count:
         sent = gathered.select("batch", "payload").mapInPandas(_send(n, shards), "batch string, shard int, keys binary, counts binary")
         counted = sent.groupBy("shard").applyInPandas(_count, "batch string, shard int, counts binary")
         answers = counted.groupBy(F.col("batch").alias(f"b{n}")).agg(F.collect_list(F.struct("shard", "counts")).alias(f"answers{n}"))
-        answers = tables.write(answers, f"answers{n}")
+        answers = tables.write(answers, f"answers{n}", batch_rows=1)  # a row is a batch of documents
         met = met.join(answers, F.col("batch") == F.col(f"b{n}"), "left").drop(f"b{n}")
     scored = met.drop("batch").mapInPandas(_score(order, shards, total, backoff, min_count), f"doc_id {id_type}, n_words long, log_score double")
+    scored = tables.write(scored, "scored", batch_rows=1)
+    tables.drop("gathered", *[f"answers{n}" for n in range(1, order + 1)])
     return scored.select(F.col("doc_id").alias(id_col), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))
 
 

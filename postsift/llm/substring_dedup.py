@@ -26,9 +26,10 @@ from .support import Tables, Words, bound_batches, in_chunks, mix64, rolling, wi
 MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 28
 ROWS, BLOCK = 2, 1 << 16
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-#: Keys that one task groups at a time: 32 MB.
-SHARD_KEYS = 2_000_000
-_SKETCH_FLUSH = 2_000_000
+#: Keys that one task groups at a time: 16 MB.
+SHARD_KEYS = 1_000_000
+_SKETCH_FLUSH = 1_000_000
+_CHUNK_CHARS = 2_000_000
 
 
 def _windows(words: Words, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +59,7 @@ def _sketch(width: int, bits: int):
         held, n = [], 0
         for rows in batches:
             texts = rows["text"].tolist()
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, _CHUNK_CHARS):
                 keys = _windows(Words(texts[a:b]), width, _BASES[0])[1]
                 held.append(keys)
                 n += len(keys)
@@ -107,7 +108,7 @@ def _candidates(width: int, bits: int, filters, shards: int):
         part, turn = TaskContext.get().partitionId(), 0
         for rows in batches:
             ids, texts = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist(), rows["text"].tolist()
-            for a, b in in_chunks(texts):
+            for a, b in in_chunks(texts, _CHUNK_CHARS):
                 words = Words(texts[a:b])
                 at, key1 = _windows(words, width, _BASES[0])
                 maybe = np.ones(len(at), bool)
@@ -209,6 +210,8 @@ def remove_repeated_passages(docs: DataFrame, width: int = 35, id_col: str = "do
     tables.drop("bitmaps", "passed/kind=2")
     waiting = passed.where("kind = 1").select("batch", "payload").join(answers, "batch").select("payload", "answers")
     finished = waiting.mapInPandas(_finish(width), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    finished = tables.write(finished, "finished", batch_rows=1)  # a row is a batch of documents
+    tables.drop("passed/kind=1", "answers")
     plain = passed.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return plain.union(finished).withColumnRenamed("doc_id", id_col)
 

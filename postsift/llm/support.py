@@ -1,30 +1,19 @@
-"""Shared helpers: written intermediate tables, vectorised words, packed varints, components."""
+"""Shared helpers: vectorised words, packed counts, connected components."""
 
 from __future__ import annotations
 
-import contextlib
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Tables
+
 #: ASCII white space, the separator of words in every operator here.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 512
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A folder that all executors share, under spark.checkpoint.dir; set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = f"/tmp/postsift-checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/postsift"
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -34,40 +23,6 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-@contextlib.contextmanager
-def cleaned_shuffles(spark: SparkSession):
-    """Shuffle files of the writes inside go as soon as each has ended: their results are in a table by then."""
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEAN, before)
-
-
-class Tables:
-    """Intermediate tables in the shared folder: they cut lineage and outlive a lost executor."""
-
-    def __init__(self, spark: SparkSession, owner: str):
-        self.spark, self.root = spark, f"{work_dir(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
-
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name}"
-        out = df.write.mode("overwrite").option("compression", "zstd")
-        with cleaned_shuffles(self.spark):
-            (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # --- vectorised words ---------------------------------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)
