@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import count
 
@@ -40,31 +41,40 @@ class WordTokenizer:
     trailing stops, the common case, go to the model directly; all others go through the whole tokenizer.
     """
 
-    _plain = re.compile(r"([a-zß-öø-þ]+)([.,;:!?]*)")
+    _letters = re.compile(r"[a-zß-öø-þ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.stops: dict[bytes, bytes] = {}
         self.letters = {chr(b): "".join(_byte_letters()[x] for x in chr(b).encode()) for b in range(256)}
 
-    def _piece(self, piece: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, piece)))]
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if found := self._plain.fullmatch(text.lower()) if max(text) < "Ā" else None:
-            ids = self._piece(found[1])
-            if found[2]:
-                stops = self.pieces.get(found[2])
-                if stops is None:
-                    stops = self.pieces[found[2]] = self._piece(found[2])
-                ids = ids + stops
+        core = word.rstrip(b".,;:!?")
+        if core.isalpha():
+            name = core.lower()
+            ids = self.known.get(name)
+            if ids is None:
+                ids = self.known[name] = self._piece(name.decode())
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+            text = core.decode("utf-8", "replace").lower()
+            if not self._letters.fullmatch(text):
+                return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+            name = text.encode()
+            ids = self.known.get(name)
+            if ids is None:
+                ids = self.known[name] = self._piece("".join(map(self.letters.__getitem__, text)))
+        end = word[len(core) :]
+        if not end:
+            return ids
+        if end not in self.stops:
+            self.stops[end] = self._piece(end.decode())
+        return ids + self.stops[end]
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -77,9 +87,7 @@ class WordTokenizer:
             for i in first.tolist():
                 word = words.word(i)
                 got = self.known.get(word)
-                if got is None:
-                    got = self.known[word] = self._word(word)
-                ids.append(got)
+                ids.append(self._word(word) if got is None else got)
             sizes = np.array([len(x) // 4 for x in ids], np.int64)
             flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
             each = sizes[inverse]
@@ -90,10 +98,23 @@ class WordTokenizer:
                 yield tokens[ends[words.first[i]] : ends[words.first[i + 1]]]
 
 
+def _gathered(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Arrow batches joined up to about `chars` characters: a word is looked up once for all of them."""
+    held, size = [], 0
+    for rows in batches:
+        held.append(rows)
+        size += int(rows["text"].str.len().sum())
+        if size >= chars:
+            yield pd.concat(held, ignore_index=True)
+            held, size = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _pieces(path: str, capacity: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = WordTokenizer(path)
-        for rows in batches:
+        for rows in _gathered(batches):
             ids = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist()
             out = []
             for doc, tokens in zip(ids, tokenizer.encode(rows["text"].tolist()), strict=True):
