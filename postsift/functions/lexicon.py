@@ -116,7 +116,9 @@ WANTED_INTENTS = ("pain", "request")
 
 
 def _java(pattern: str) -> str:
-    return "(?iuU)" + pattern
+    """The pattern for text in lower case. Word boundaries are Unicode anyway; the slower Unicode classes only where used."""
+    plain = pattern.lower() if not re.search(r"\\[A-Z]", pattern) else "(?iu)" + pattern
+    return "(?U)" + plain if re.search(r"\\[swd]", pattern) else plain
 
 
 def keyword_count(text: Column, keywords: list[str] = PAIN_KEYWORDS) -> Column:

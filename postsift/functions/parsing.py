@@ -42,7 +42,8 @@ def response_field(json_text: Column, field: str, kind: str) -> Column:
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Null stays null, which greatest and least pass over."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def valid_sector(label: Column, raw: Column | None = None) -> Column:

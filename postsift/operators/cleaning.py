@@ -26,7 +26,11 @@ def detect_language(text: Column, stop_words: dict[str, list[str]] = STOP_WORDS)
     """The language whose frequent words are most of the text, the first by name among equals; null for under ten
     characters and where none occurs. A detector of another kind can be given to tag_language."""
     words = F.split(normalize_whitespace(F.lower(F.coalesce(text, F.lit("")))), " ")
-    scores = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(own))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(sorted(stop_words.items()))]
+
+    def hits(own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(own)))
+
+    scores = [F.struct(hits(own).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(sorted(stop_words.items()))]
     best = F.array_max(F.array(*scores))
     return F.when((F.length(F.trim(text)) >= 10) & (best["n"] > 0), best["name"])
 

@@ -19,7 +19,8 @@ MODERATE_WTP = ["expensive", "cost", "price", "budget"]
 
 
 def _clamped(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), x))
+    """Null stays null, which greatest and least pass over."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(10.0), x)))
 
 
 def cluster_stats(posts: DataFrame, keywords: list[str] = PAIN_KEYWORDS) -> DataFrame:
@@ -74,7 +75,7 @@ def priority_v1(pain_llm: Column, heuristic: Column, traction_score: Column, nov
 
 def priority(pain_llm: Column, heuristic: Column, traction_score: Column, novelty_score: Column, wtp: Column | float = 0.0, trend: Column | float = 5.0, weights: dict[str, float] = WEIGHTS) -> Column:
     """Weights need not sum to 1; a sum of 0 counts as 1."""
-    total = sum(weights.values()) or 1.0
+    total = reduce(lambda a, b: a + b, weights.values()) or 1.0  # left to right; sum() compensates
     pain = pain_llm * 0.7 + heuristic * 0.3
     parts = {"pain": pain, "traction": traction_score, "novelty": novelty_score, "wtp": wtp, "trend": trend}
     value = reduce(lambda a, b: a + b, [parts[k] * F.lit(w / total) for k, w in weights.items()])
@@ -93,7 +94,7 @@ def final_pain(llm: Column, heuristic: Column) -> Column:
 def recency(posts: DataFrame, now: float, window_days: float = 7.0) -> DataFrame:
     """(cluster_id, recency): mean freshness x 10; no times: 5. Times after `now` are fresh."""
     age = (F.lit(now) - F.col("created_ts")) / 86400.0
-    fresh = F.greatest(F.lit(0.0), 1 - F.greatest(age, F.lit(0.0)) / window_days)
+    fresh = F.when(F.col("created_ts").isNotNull(), F.greatest(F.lit(0.0), 1 - F.greatest(age, F.lit(0.0)) / window_days))
     mean = posts.groupBy("cluster_id").agg(F.avg(fresh).alias("fresh"))
     return mean.select("cluster_id", F.coalesce(half_even(F.col("fresh") * 10, 1), F.lit(5.0)).alias("recency"))
 
