@@ -161,14 +161,22 @@ def _snippets(text: pd.Series) -> pd.Series:
     return text.map(lambda v: of(v) if v else [])
 
 
-def wtp_signals(text: Column, patterns: dict[str, list[str]] = WTP_PATTERNS, examples: bool = True) -> Column:
-    """struct<has_wtp, signal_types, signal_count, examples>; types in the lexicon's order."""
+def wtp_matches(text: Column, patterns: dict[str, list[str]] = WTP_PATTERNS) -> Column:
+    """array<struct<name, n>>: kinds with a match, and the matches of each kind's first pattern that has any."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    counts = {name: F.coalesce(*[F.nullif(F.regexp_count(lowered, F.lit(_java(p))), F.lit(0)) for p in own], F.lit(0)) for name, own in patterns.items()}
-    found = F.transform(F.filter(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("n")) for k, c in counts.items()]), lambda x: x["n"] > 0), lambda x: x)
-    total = F.aggregate(found, F.lit(0), lambda s, x: s + x["n"])
-    shown = F.when(F.size(found) > 0, _snippets(text)).otherwise(F.array().cast("array<string>")) if examples else F.array().cast("array<string>")
-    return F.struct((F.size(found) > 0).alias("has_wtp"), F.transform(found, lambda x: x["name"]).alias("signal_types"), total.cast("int").alias("signal_count"), shown.alias("examples"))
+    counts = {name: F.array(*[F.regexp_count(lowered, F.lit(_java(p))) for p in own]) for name, own in patterns.items()}
+    firsts = F.transform(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("all")) for k, c in counts.items()]), lambda x: F.struct(x["name"].alias("name"), F.get(F.filter(x["all"], lambda n: n > 0), F.lit(0)).alias("n")))
+    return F.filter(firsts, lambda x: x["n"].isNotNull())
+
+
+def wtp_signals(matches: Column, text: Column, examples: bool = True) -> Column:
+    """struct<has_wtp, signal_types, signal_count, examples> of a column of wtp_matches; types in the lexicon's order.
+
+    `matches` should be a column of its own, as it is read more than once.
+    """
+    total = F.aggregate(matches, F.lit(0), lambda s, x: s + x["n"])
+    shown = F.when(F.size(matches) > 0, _snippets(text)).otherwise(F.array().cast("array<string>")) if examples else F.array().cast("array<string>")
+    return F.struct((F.size(matches) > 0).alias("has_wtp"), F.transform(matches, lambda x: x["name"]).alias("signal_types"), total.cast("int").alias("signal_count"), shown.alias("examples"))
 
 
 def wtp_score(signals: Column, bonus: dict[str, float] = WTP_BONUS) -> Column:
