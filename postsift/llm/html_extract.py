@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, bound_batches
+from .support import Tables, bound_batches, plain
 
 #: Pages that are aligned together; a host with more has several groups.
 GROUP_PAGES = 96
@@ -299,7 +299,7 @@ def extract_group(sources: list[str | None]) -> list[str]:
 
 def _extract(rows: pd.DataFrame) -> pd.DataFrame:
     texts = extract_group(rows["html"].tolist())
-    return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    return plain(pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:

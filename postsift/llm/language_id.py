@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import bound_batches, in_chunks
+from .support import bound_batches, in_chunks, plain
 
 #: Labelled rows that the fit may use: those of the smallest hash of their id.
 SAMPLE_ROWS = 4000
@@ -179,7 +179,7 @@ def _labeller(model):
                 best = np.where(real, np.nan_to_num(found).argmax(1), 0)
                 names[a:b] = np.where(real, np.array(net.languages, object)[best], "und")
                 scores[a:b] = np.where(real, np.nan_to_num(found)[np.arange(b - a), best], 0.0)
-            yield rows.drop(columns="text").assign(lang_pred=names, score=np.clip(scores, 0, 1))
+            yield plain(rows.drop(columns="text").assign(lang_pred=names, score=np.clip(scores, 0, 1)))
 
     return each
 

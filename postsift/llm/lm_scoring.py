@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import _BASE, Tables, Words, bound_batches, mix64, pack_counts, rolling, unpack_counts, within
+from .support import _BASE, Tables, Words, bound_batches, mix64, pack_counts, plain, rolling, unpack_counts, within
 
 BATCH_CHARS = 3_000_000
 #: Entries that one task counts at a time: 8 MB of keys.
@@ -32,7 +32,7 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def batch(ids: list, texts: list) -> pd.DataFrame:
         words = int(Words(texts, hashed=False).count.sum())
-        return pd.DataFrame({"batch": [f"{part}-{turn}"], "words": [words], "payload": [pickle.dumps((ids, texts), 5)]})
+        return plain(pd.DataFrame({"batch": [f"{part}-{turn}"], "words": [words], "payload": [pickle.dumps((ids, texts), 5)]}))
 
     ids, texts, size = [], [], 0
     for rows in batches:
@@ -67,7 +67,7 @@ def _send(order: int, shards: int):
             for name, payload in zip(rows["batch"], rows["payload"], strict=True):
                 _, _, _, keys, counts, cuts = _grams(pickle.loads(payload)[1], order, shards)
                 used = np.flatnonzero(np.diff(cuts))
-                yield pd.DataFrame({"batch": name, "shard": used.astype(np.int32), "keys": [keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], "counts": [pack_counts(counts[cuts[s] : cuts[s + 1]]) for s in used]})
+                yield plain(pd.DataFrame({"batch": name, "shard": used.astype(np.int32), "keys": [keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], "counts": [pack_counts(counts[cuts[s] : cuts[s + 1]]) for s in used]}))
 
     return each
 
@@ -80,7 +80,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     own = np.concatenate([unpack_counts(x) for x in rows["counts"]])
     total = np.bincount(inverse, weights=own).astype(np.int64)[inverse]
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"batch": rows["batch"], "shard": rows["shard"], "counts": [pack_counts(total[e - n : e]) for e, n in zip(ends, sizes, strict=True)]})
+    return plain(pd.DataFrame({"batch": rows["batch"], "shard": rows["shard"], "counts": [pack_counts(total[e - n : e]) for e, n in zip(ends, sizes, strict=True)]}))
 
 
 def _score(order: int, shards: int, total: int, backoff: float, min_count: int):

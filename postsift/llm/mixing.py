@@ -40,7 +40,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> D
         F.sum("source_size").over(whole).alias("total"),
         F.sum("w").over(whole).alias("w_all"),
     )
-    level = ranked.withColumn("level", (F.col("total") - F.col("cap_before")).cast("double") / (F.col("w_all") - F.col("w_before")).cast("double"))
+    level = ranked.withColumn("level", F.try_divide((F.col("total") - F.col("cap_before")).cast("double"), (F.col("w_all") - F.col("w_before")).cast("double")))
     level = level.withColumn("capped", F.col("level") * F.col("w") > F.col("cap"))
     level = level.withColumn("share", F.max(F.when(~F.col("capped"), F.col("level"))).over(whole))
     return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("share") * F.col("w")).alias("target"))
@@ -61,18 +61,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
         "sized",
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     targets = tables.write(
         _targets(sources, weights, max_repeat)
         .withColumn("copies", F.floor(ratio))
         .withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-        .withColumn("odds", F.when(F.col("source_size") > 0, F.col("budget") / (F.col("source_size") - F.col("budget")))),
+        .withColumn("odds", F.try_divide(F.col("budget"), F.col("source_size") - F.col("budget"))),
         "targets",
     )
     key = targets.select(F.col("source").alias("t_source"), "source_size", "target", "copies", "budget", "odds")
     with_target = sized.join(key, F.col("source").eqNullSafe(F.col("t_source")))
     # Within a source the Pareto rank rises with u, so buckets of u are buckets of rank.
-    ranked = with_target.select("doc_id", "row", "source", "size", "source_size", "target", "copies", "budget", ((F.col("u") / (1 - F.col("u"))) / F.col("odds")).alias("rank"), F.floor(F.col("u") * BUCKETS).alias("bucket"))
+    ranked = with_target.select("doc_id", "row", "source", "size", "source_size", "target", "copies", "budget", F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")).alias("rank"), F.floor(F.col("u") * BUCKETS).alias("bucket"))
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"), F.first("budget").alias("b_budget"))
     upto = Window.partitionBy("source").orderBy("bucket")
     ends = tables.write(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import Tables, Words, bound_batches, in_chunks
+from .support import Tables, Words, bound_batches, in_chunks, plain
 
 END_ID = 2
 RANK_SALTS = 64
@@ -147,8 +147,11 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[
                 del groups[-heapq.heappop(rooms)]
             room = -rooms[0] if rooms else 0
             if room < length:
-                add(capacity - length, left, [(length, 1)])
-                break
+                copies = min(capacity // length, left)  # a pack just opened is the shortest while it has room
+                opened = left // copies
+                left -= opened * copies
+                add(capacity - copies * length, opened, [(length, copies)])
+                continue
             packs, pattern = groups[room].pop()
             if groups[room]:
                 second = room
@@ -192,7 +195,7 @@ def _place(slots):
                 hit = own[np.searchsorted(own[:, 0], rank, "right") - 1]
                 turn, pack = np.divmod(rank - hit[:, 0], hit[:, 1])
                 sequence[at], offset[at] = hit[:, 2] + pack, hit[:, 3] + turn * length
-            yield rows.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
+            yield plain(rows.drop(columns="rank").assign(sequence_id=sequence, offset=offset))
 
     return each
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, Words, bound_batches, in_chunks, mix64, rolling, within
+from .support import Tables, Words, bound_batches, in_chunks, mix64, plain, rolling, within
 
 #: Cells of a sketch row: four a window, within these bounds. At most 2 x 32 MB of bitmaps are broadcast; with more
 #: windows more pass the prefilter, and the exact grouping still decides.
@@ -121,7 +121,8 @@ def _candidates(width: int, bits: int, filters, shards: int):
                 waiting = np.zeros(b - a, bool)
                 waiting[doc] = True
                 done = np.flatnonzero(~waiting)
-                yield pd.DataFrame({"kind": 0, "batch": None, "doc_id": [ids[a + i] for i in done], "n_words": words.count[done], "kept_sha256": [_digest(words, i, None) for i in done], "shard": 0, "payload": None}).astype({"doc_id": object})
+                if len(done):
+                    yield plain(pd.DataFrame({"kind": 0, "batch": None, "doc_id": pd.Series([ids[a + i] for i in done], dtype=object), "n_words": words.count[done], "kept_sha256": [_digest(words, i, None) for i in done], "shard": 0, "payload": None}))
                 if not len(at):
                     continue
                 pairs = np.stack([key1, key2], 1)
@@ -132,10 +133,10 @@ def _candidates(width: int, bits: int, filters, shards: int):
                 name, turn = f"{part}-{turn}", turn + 1
                 kept = np.flatnonzero(waiting)
                 batch = {"ids": [ids[a + i] for i in kept], "texts": [texts[a + i] for i in kept], "doc": np.searchsorted(kept, doc).astype(np.int32), "at": (at - words.first[doc]).astype(np.int64), "key": np.argsort(order)[inverse].astype(np.int32), "shard": shard[order]}
-                yield pd.DataFrame({"kind": 1, "batch": name, "doc_id": [None], "n_words": 0, "kept_sha256": None, "shard": 0, "payload": [pickle.dumps(batch, 5)]})
+                yield plain(pd.DataFrame({"kind": 1, "batch": [name], "doc_id": [None], "n_words": 0, "kept_sha256": None, "shard": 0, "payload": [pickle.dumps(batch, 5)]}))
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
                 sent = [keys[order[i:j]].tobytes() + (counts[order[i:j]] > 1).tobytes() for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-                yield pd.DataFrame({"kind": 2, "batch": name, "doc_id": None, "n_words": 0, "kept_sha256": None, "shard": shard[order][cuts], "payload": sent})
+                yield plain(pd.DataFrame({"kind": 2, "batch": name, "doc_id": None, "n_words": 0, "kept_sha256": None, "shard": shard[order][cuts], "payload": sent}))
 
     return each
 
@@ -153,7 +154,7 @@ def _group(rows: pd.DataFrame) -> pd.DataFrame:
     answer = np.zeros(len(keys), bool)
     answer[order] = many[group]
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"batch": rows["batch"], "shard": rows["shard"], "bits": [np.packbits(answer[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]})
+    return plain(pd.DataFrame({"batch": rows["batch"], "shard": rows["shard"], "bits": [np.packbits(answer[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]}))
 
 
 def _finish(width: int):
@@ -174,7 +175,7 @@ def _finish(width: int):
                 np.add.at(cover, first + width, -1)
                 removed = np.cumsum(cover)[:-1] > 0
                 parts = [removed[words.first[i] : words.first[i + 1]] for i in range(len(words.count))]
-                yield pd.DataFrame({"doc_id": pd.Series(batch["ids"], dtype=object), "n_words": words.count, "n_removed": [int(x.sum()) for x in parts], "kept_sha256": [_digest(words, i, x) for i, x in enumerate(parts)]})
+                yield plain(pd.DataFrame({"doc_id": pd.Series(batch["ids"], dtype=object), "n_words": words.count, "n_removed": [int(x.sum()) for x in parts], "kept_sha256": [_digest(words, i, x) for i, x in enumerate(parts)]}))
 
     return each
 

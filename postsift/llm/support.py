@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,12 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """`frame` with object columns in place of extension arrays, which may be chunked and then do not convert to Arrow."""
+    odd = {c: object for c in frame.columns if not isinstance(frame[c].dtype, np.dtype)}
+    return frame.astype(odd) if odd else frame
+
+
 # --- vectorised words ---------------------------------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)

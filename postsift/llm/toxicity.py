@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import Words, bound_batches, in_chunks, mix64
+from .support import Words, bound_batches, in_chunks, mix64, plain
 
 BUCKET_BITS = 20
 #: Labelled rows that the fit may use: those of the smallest hash of their id.
@@ -143,7 +143,7 @@ def _scorer(model):
         for rows in batches:
             texts = rows["text"].tolist()
             scores = [machine.score(texts[a:b]) for a, b in in_chunks(texts)]
-            yield rows.drop(columns="text").assign(score=np.concatenate(scores) if scores else np.zeros(0))
+            yield plain(rows.drop(columns="text").assign(score=np.concatenate(scores) if scores else np.zeros(0)))
 
     return each
 
