@@ -20,7 +20,7 @@ from .support import Words, bound_batches, in_chunks, mix64, plain
 
 BUCKET_BITS = 20
 #: Labelled rows that the fit may use: those of the smallest hash of their id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 FACTORS, EPOCHS, SCREEN, MAX_TERMS = 4, 30, 12.0, 8192
 _NOT_LETTERS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -81,8 +81,8 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Factoriza
     bias = float(np.log((positives + 0.5) / (n - positives + 0.5)))
     if not positives or positives == n:
         return FactorizationMachine(slot, np.zeros(0), np.zeros((0, FACTORS)), bias)
-    docs = np.repeat(np.arange(n), [len(t) for t in terms])
-    flat = np.concatenate(terms).astype(np.int64)
+    docs = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+    flat = np.concatenate(terms)
     in_toxic = np.bincount(flat[labels[docs] == 1], minlength=1 << BUCKET_BITS).astype(float)
     in_clean = np.bincount(flat[labels[docs] == 0], minlength=1 << BUCKET_BITS).astype(float)
     base = positives / n
@@ -133,8 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most sample_rows pairs
     found = rows.mapInPandas(_collect_terms, "toxic int, terms binary").collect()  # bounded by sample_rows
-    found.sort(key=lambda r: (r["toxic"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], np.int32) for r in found], np.array([r["toxic"] for r in found], np.int64))
+    found = sorted((r["toxic"], bytes(r["terms"])) for r in found)
+    labels = np.array([y for y, _ in found], np.int64)
+    terms = [np.frombuffer(t, np.int32) for _, t in found]
+    del found
+    return fit(terms, labels)
 
 
 def _scorer(model):
