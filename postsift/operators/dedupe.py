@@ -90,7 +90,10 @@ def similar_titles(titles: DataFrame, threshold: int = 90) -> DataFrame:
     fits = 2 * F.least("na", "nb") >= threshold / 100 * (F.col("na") + F.col("nb"))
     met = left.join(right, ["gram", "nth"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     named = met.join(title.select(F.col("node").alias("a"), F.col("title").alias("ta")), "a").join(title.select(F.col("node").alias("b"), F.col("title").alias("tb")), "b")
-    return named.where(_ratio("ta", "tb") >= threshold).select("a", "b")
+    # An indel distance is at least the edit distance, whose banded form runs in the JVM and leaves few pairs for Python.
+    allowed = F.floor((F.length("ta") + F.length("tb")) * slack + 1e-9).cast("int")
+    close = named.withColumn("allowed", allowed).where("levenshtein(ta, tb, allowed) >= 0")
+    return close.where(_ratio("ta", "tb") >= threshold).select("a", "b")
 
 
 def greedy_dedupe(posts: DataFrame, history: DataFrame | None = None, cross_source: bool = True, title_threshold: int = 90, set_threshold: float = 0.7) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions import lexicon, parsing, text, vectors as vec
 from ..operators import cleaning, dedupe, ranking, scoring, vectors
 from ..schemas import as_posts
 from ..sources import feeds, history, sinks, store
+from ..tables import spread
 from . import providers, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +137,7 @@ def _detector_sql() -> str:
 
 @query(_detector_sql())
 def detect_language(spark, sf):
-    return cleaning.tag_language(posts(spark, sf)).select("id", "lang")
+    return cleaning.tag_language(spread(posts(spark, sf))).select("id", "lang")
 
 
 def _quoted(pattern: str) -> str:
@@ -150,7 +151,7 @@ def _intent_sql(source: str, patterns: dict[str, list[str]]) -> str:
 
 @query(_intent_sql(POSTS + ", src AS (SELECT * FROM posts)", TOPICS))
 def intent_lexicon(spark, sf):
-    return cleaning.tag_intent(posts(spark, sf), TOPICS).select("id", "intent")
+    return cleaning.tag_intent(spread(posts(spark, sf)), TOPICS).select("id", "intent")
 
 
 #: Posts that exercise the fixed lexicons, which the tables hardly touch.
@@ -175,13 +176,13 @@ def _samples(spark: SparkSession) -> DataFrame:
 
 @query(_intent_sql(POSTS + ", " + _VALUES.replace("src AS", "own AS") + ", src AS (SELECT * FROM own UNION ALL SELECT id, title, body FROM posts)", lexicon.INTENT_PATTERNS))
 def intent_rules(spark, sf):
-    own = _samples(spark).unionByName(posts(spark, sf).select("id", "title", "body"))
+    own = spread(_samples(spark).unionByName(posts(spark, sf).select("id", "title", "body")))
     return cleaning.tag_intent(own).select("id", "intent")
 
 
 @query()
 def wtp_signals(spark, sf):
-    own = _samples(spark).unionByName(posts(spark, sf).select("id", "title", "body"))
+    own = spread(_samples(spark).unionByName(posts(spark, sf).select("id", "title", "body")))
     s = F.col("wtp_signals")
     return cleaning.enrich_wtp(own).select("id", s["has_wtp"].alias("has_wtp"), s["signal_types"].alias("signal_types"), s["signal_count"].alias("signal_count"), s["examples"].alias("examples"), lexicon.wtp_score(s).alias("wtp_score"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import wtp_score
 from ..functions.text import half_even, post_text, truncate_to_tokens
 from ..operators import cleaning, dedupe, ranking, scoring, vectors
+from ..tables import spread
 from . import providers
 
 
@@ -41,8 +42,8 @@ PRICES = {
 
 
 def prefilter(posts: DataFrame, languages: list[str] | None = None, intents: tuple[str, ...] | None = None, with_signal: bool = False) -> DataFrame:
-    """Language, intent and willingness-to-pay tags, then the filters asked for. One pass, no shuffle."""
-    tagged = cleaning.filter_languages(cleaning.tag_language(posts), languages)
+    """Language, intent and willingness-to-pay tags, then the filters asked for. One pass over enough partitions."""
+    tagged = cleaning.filter_languages(cleaning.tag_language(spread(posts)), languages)
     tagged = cleaning.tag_intent(tagged)
     if intents:
         tagged = cleaning.filter_intents(tagged, intents)
@@ -52,7 +53,7 @@ def prefilter(posts: DataFrame, languages: list[str] | None = None, intents: tup
 
 def collect_all(posts: DataFrame, languages: list[str] | None, intents: tuple[str, ...] | None, min_score: int, min_comments: int, history: DataFrame | None = None) -> DataFrame:
     """The collection's chain on the union of its sources: language, intent, score, comments, dedupe."""
-    kept = cleaning.filter_languages(cleaning.tag_language(posts), languages)
+    kept = cleaning.filter_languages(cleaning.tag_language(spread(posts)), languages)
     kept = cleaning.tag_intent(kept)
     kept = cleaning.filter_intents(kept, intents) if intents else kept
     kept = cleaning.filter_comments(cleaning.filter_score(kept, min_score), min_comments)
@@ -103,7 +104,7 @@ def scan(posts: DataFrame, settings: Settings = Settings(), heavy: providers.Com
     """Insights of `posts` (POST schema and pos), ranked. `history` is (vector) of past centroids."""
     embedded = posts if "embedding" in posts.columns else vectors.embed_posts(posts)
     clustered = embedded if "cluster_id" in posts.columns else vectors.cluster(embedded, settings.clusters)
-    tagged = cleaning.enrich_wtp(clustered, examples=False).persist()
+    tagged = cleaning.enrich_wtp(spread(clustered), examples=False).persist()
     ordered = ranking.tiers(scoring.cluster_stats(tagged).withColumn("heuristic_score", scoring.heuristic_pain()), settings.heavy_top_k)
     scored = score_clusters(tagged, summarize(tagged, ordered, settings, heavy, light))
     insights = scored.join(vectors.centroids(tagged).select("cluster_id", F.col("centroid").alias("embedding")), "cluster_id").join(ranking.examples(tagged), "cluster_id")

@@ -66,6 +66,16 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt over the cores where it has fewer partitions than there are, as with one small file.
+
+    For plans of costly expressions, such as dozens of patterns a row. Large inputs have more partitions and stay
+    as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint when it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
