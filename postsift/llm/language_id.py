@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import bound_batches, in_chunks, plain
+from .support import bound_batches, hash_sample, in_chunks, plain
 
-#: Labelled rows that the fit may use: those of the smallest hash of their id.
+#: Labelled rows that the fit uses, about: those of the smallest hash of their id.
 SAMPLE_ROWS = 4000
-UNITS, SEGMENT, MARGIN = 12, 112, 8
+UNITS, SEGMENT, MARGIN = 10, 240, 8
 STEPS, BATCH, TRAIN_BYTES, SAMPLE_BYTES = 300, 192, 64, 2048
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
@@ -194,11 +194,12 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    known = rows.where("not held_out and lang is not null and text is not null")
+    known = hash_sample(rows.where("not held_out and lang is not null"), sample_rows).where("text is not null")
     # Where in its text a sampled row is read also follows from its id; the network sees at most SAMPLE_BYTES of it.
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)).cast("int") + 1
-    sample = known.select(F.xxhash64("doc_id").alias("h"), F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"), "lang").orderBy("h", "text").limit(sample_rows)
-    net = train([(r["text"], r["lang"]) for r in sample.collect()], steps)  # bounded by sample_rows
+    sample = known.select(F.xxhash64("doc_id").alias("h"), F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"), "lang")
+    found = sorted((r["h"], r["text"], r["lang"]) for r in sample.collect())  # about sample_rows x SAMPLE_BYTES
+    net = train([(text, lang) for _, text, lang in found], steps)
     sent = spark.sparkContext.broadcast(net)
     id_type = docs.schema[id_col].dataType.simpleString()
     labelled = rows.select("doc_id", "held_out", "text").mapInPandas(_labeller(sent), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")

@@ -24,6 +24,17 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """About `rows` rows, those whose key hashes lowest, and never over twice as many; all of a smaller table.
+
+    Tasks return their own share only, where ordering by the hash would have each send `rows` rows.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(rows / n * (1 << 40))).limit(2 * rows)
+
+
 def plain(frame: pd.DataFrame) -> pd.DataFrame:
     """`frame` with object columns in place of extension arrays, which may be chunked and then do not convert to Arrow."""
     odd = {c: object for c in frame.columns if not isinstance(frame[c].dtype, np.dtype)}

@@ -16,10 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import Words, bound_batches, in_chunks, mix64, plain
+from .support import Words, bound_batches, hash_sample, in_chunks, mix64, plain
 
 BUCKET_BITS = 20
-#: Labelled rows that the fit may use: those of the smallest hash of their id.
+#: Labelled rows that the fit uses, about: those of the smallest hash of their id.
 SAMPLE_ROWS = 8_000
 FACTORS, EPOCHS, SCREEN, MAX_TERMS = 4, 30, 12.0, 8192
 _NOT_LETTERS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -130,9 +130,9 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Factoriza
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """`docs` (doc_id, text) and `labels` (doc_id, toxic); rows with a null id or label are left out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most sample_rows pairs
-    found = rows.mapInPandas(_collect_terms, "toxic int, terms binary").collect()  # bounded by sample_rows
+    sample = hash_sample(known, sample_rows)
+    rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most 2 x sample_rows ids
+    found = rows.mapInPandas(_collect_terms, "toxic int, terms binary").limit(3 * sample_rows).collect()
     found = sorted((r["toxic"], bytes(r["terms"])) for r in found)
     labels = np.array([y for y, _ in found], np.int64)
     terms = [np.frombuffer(t, np.int32) for _, t in found]
