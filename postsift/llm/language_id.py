@@ -20,7 +20,7 @@ from .support import bound_batches, hash_sample, in_chunks, plain
 
 #: Labelled rows that the fit uses, about: those of the smallest hash of their id.
 SAMPLE_ROWS = 4000
-UNITS, SEGMENT, MARGIN = 10, 240, 8
+UNITS, SEGMENT, MARGIN = 12, 112, 4
 STEPS, BATCH, TRAIN_BYTES, SAMPLE_BYTES = 300, 192, 64, 2048
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
