@@ -33,15 +33,18 @@ def jaccard_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, similarity) with a < b of `sets` (node, tokens: distinct); exact, by prefix filter.
 
     Tokens are ordered from rare to frequent. Two sets as similar as the threshold share a token among the first
-    n - ceil(threshold n) + 1 of each, so only those meet; the frequent ones never do.
+    n - ceil(threshold n) + 1 of each, so only those meet; the frequent ones never do. Of the tokens that two sets
+    need to share, all but one lie behind the first that they do, which bounds its rank in both.
     """
     sized = sets.where(F.size("tokens") > 0).select("node", "tokens", F.size("tokens").alias("n"))
     each = sized.select("node", "n", F.explode("tokens").alias("token"))
     ordered = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    prefix = ordered.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "node", "n")
-    left, right = prefix.select("token", F.col("node").alias("a"), F.col("n").alias("na")), prefix.select("token", F.col("node").alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    prefix = ordered.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "node", "n", "rank")
+    left, right = (prefix.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rank").alias(f"r{x}")) for x in "ab")
+    needed = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.col("ra") <= F.col("na") - needed + 1) & (F.col("rb") <= F.col("nb") - needed + 1)
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & fits).select("a", "b").distinct()
     first, second = sized.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), sized.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     shared = F.size(F.array_intersect("ta", "tb"))
     scored = met.join(first, "a").join(second, "b").withColumn("shared", shared)

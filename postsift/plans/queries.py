@@ -176,13 +176,13 @@ def _samples(spark: SparkSession) -> DataFrame:
 
 @query(_intent_sql(POSTS + ", " + _VALUES.replace("src AS", "own AS") + ", src AS (SELECT * FROM own UNION ALL SELECT id, title, body FROM posts)", lexicon.INTENT_PATTERNS))
 def intent_rules(spark, sf):
-    own = spread(_samples(spark).unionByName(posts(spark, sf).select("id", "title", "body")))
+    own = _samples(spark).unionByName(spread(posts(spark, sf)).select("id", "title", "body"))
     return cleaning.tag_intent(own).select("id", "intent")
 
 
 @query()
 def wtp_signals(spark, sf):
-    own = spread(_samples(spark).unionByName(posts(spark, sf).select("id", "title", "body")))
+    own = _samples(spark).unionByName(spread(posts(spark, sf)).select("id", "title", "body"))
     s = F.col("wtp_signals")
     return cleaning.enrich_wtp(own).select("id", s["has_wtp"].alias("has_wtp"), s["signal_types"].alias("signal_types"), s["signal_count"].alias("signal_count"), s["examples"].alias("examples"), lexicon.wtp_score(s).alias("wtp_score"))
 
