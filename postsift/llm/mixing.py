@@ -46,9 +46,27 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> D
     return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("share") * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def _within(rows: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """`rows` with `drawn`: whether the sizes up to a row, in order of rank in its source, stay within `room`."""
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"), F.first("room").alias("b_room"))
+    upto = Window.partitionBy("source").orderBy("bucket")
+    ends = tables.write(
+        sums.withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
+        .select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "b_before", (F.col("b_before") + F.col("b_size") <= F.col("b_room")).alias("b_whole"), (F.col("b_before") >= F.col("b_room")).alias("b_none")),
+        name,
+    )
+    placed = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
+    inside = Window.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").asc_nulls_last(), "row")
+    split = placed.where("not b_whole and not b_none").withColumn("sum_to", F.col("b_before") + F.sum("size").over(inside)).withColumn("drawn", F.col("sum_to") <= F.col("room"))
+    return placed.where("b_whole or b_none").withColumn("drawn", F.col("b_whole")).unionByName(split.drop("sum_to")).drop("e_source", "e_bucket", "b_before", "b_whole", "b_none")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fill: bool = False) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, copies (whole copies in the mix).
 
+    `fill`: behind a document that overflows the budget the draw goes on with those that fit, until none does; the
+    query of the contract, like its SQL, ends the draw there.
+
     Size is the number of words (null or empty text: 0). Null sources form the last source. A source of size 0
     has target 0. Ties in rank go to the smaller id, null ids last; repeated rows are separate documents. An
     empty table gives an empty result. Other columns of `docs` are not read.
@@ -73,21 +91,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     with_target = sized.join(key, F.col("source").eqNullSafe(F.col("t_source")))
     # Within a source the Pareto rank rises with u, so buckets of u are buckets of rank.
     ranked = with_target.select("doc_id", "row", "source", "size", "source_size", "target", "copies", "budget", F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")).alias("rank"), F.floor(F.col("u") * BUCKETS).alias("bucket"))
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"), F.first("budget").alias("b_budget"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    ends = tables.write(
-        sums.withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
-        .select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "b_before", (F.col("b_before") + F.col("b_size") <= F.col("b_budget")).alias("b_whole"), (F.col("b_before") >= F.col("b_budget")).alias("b_none")),
-        "ends",
-    )
-    placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").asc_nulls_last(), "row")
-    split = placed.where("not b_whole and not b_none").withColumn("sum_to", F.col("b_before") + F.sum("size").over(inside)).withColumn("drawn", F.col("sum_to") <= F.col("budget"))
     # A document of the end bucket past the budget stays out, even if a smaller one behind it would fit.
-    drawn = tables.write(
-        placed.where("b_whole or b_none").withColumn("drawn", F.col("b_whole")).unionByName(split.drop("sum_to")).drop("e_source", "e_bucket", "b_before", "b_whole", "b_none"),
-        "drawn",
-    )
+    drawn = tables.write(_within(ranked.withColumn("room", F.col("budget")), tables, "ends").drop("room"), "drawn")
+    turn = 0
+    while fill:
+        room = drawn.groupBy("source").agg((F.first("budget") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0))).alias("room")).select(F.col("source").alias("r_source"), "room")
+        fitting = drawn.where("not drawn and size > 0").drop("drawn").join(room, F.col("source").eqNullSafe(F.col("r_source"))).where("size <= room").drop("r_source")
+        more = tables.write(_within(fitting, tables, f"ends{turn}").where("drawn").select(F.col("row").alias("m_row")), f"more{turn}")
+        if more.isEmpty():
+            break
+        drawn = tables.write(drawn.join(more, F.col("row") == F.col("m_row"), "left").withColumn("drawn", F.col("drawn") | F.col("m_row").isNotNull()).drop("m_row"), f"drawn{turn}")
+        turn += 1
     left = drawn.groupBy("source").agg(
         (F.first("budget") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0))).alias("gap")
     ).select(F.col("source").alias("l_source"), "gap")
