@@ -638,7 +638,7 @@ def mmr_by_sector(spark, sf):
 @query()
 def kmeans(spark, sf):
     e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return vectors.cluster(e, 10, tries=3, iterations=50).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return vectors.cluster(e, 10).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 @query()
