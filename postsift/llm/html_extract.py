@@ -2,8 +2,11 @@
 
 Pages of a host are dealt into groups of about GROUP_PAGES. In a group each page's DOM tree is aligned with a
 reference page by simple tree matching. A node whose text is the same on nearly all different pages of the group
-is template; a node whose text varies is a slot, and slots are content. The article element, or what stands for
-it, bounds the content; page furniture that varies too (menus, adverts, footers) is told by element, role and name.
+is template; a node whose text varies is a slot. The element that holds most of the varying text of the group is
+the content region, on every page the node that is aligned with it; blocks that nearly all regions begin or end with
+are template too. Elements that HTML itself marks as furniture
+(menus, forms, asides), roles, and names of class or id are left out inside the region; a page without evidence (too
+few different pages, or no region) is bounded by its article or main element, or by such names alone.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +27,9 @@ GROUP_PAGES = 96
 #: Hosts of up to this number are sent as a broadcast table of (host, groups); more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 #: A slot's text counts as template from this share of different pages on, of at least TEMPLATE_PAGES.
-TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 4
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
+#: Share of the varying text that the content region holds, and of all text that varies on a host of different articles.
+REGION_SHARE, VARYING_SHARE = 0.75, 0.2
 
 # Fixed values of the HTML standard: void elements, elements of raw text, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,16 +40,22 @@ BLOCK = frozenset(
 )
 # Start tags that end an open element of the listed kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPES = frozenset("table article section aside nav ul ol dl div body main td th footer header form blockquote".split())
 
-# Furniture by element, by role and by a word of class or id.
-FURNITURE = frozenset("nav footer aside form button select input dialog menu search head object audio video canvas".split()) | RAW
+# Furniture by element, by role and by the words of a name of class or id. A name tells furniture if each
+# of its words is in NAMES or NEUTRAL and one in NAMES: "ad-banner" and "site-footer" do, "social-history" does not.
+FURNITURE = frozenset("nav footer aside form button select input dialog menu search head object audio video canvas".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "newsletter subscribe signup login sidebar sidebars widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "share sharing social related recommended recommendations copyright skip".split()
 )
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons col column container content global group header icons inner items js left link links list main module outer page pages panel posts "
+    "primary right row secondary section site slot stories sub text to top unit wrap wrapper".split()
+)
 COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
 CONTENT = frozenset("content article post entry story main body text".split())
 
@@ -53,6 +65,15 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|aria-hidden\s*=\s*[\"']?true|displ
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def _names(found: dict[str, str]) -> list[set[str]]:
+    """The words of each name of class and id."""
+    return [{w.lower() for w in _NAME_PARTS.findall(name)} for name in f"{found.get('class', '')} {found.get('id', '')}".split()]
+
+
+def _all_of(names: list[set[str]], words: frozenset[str]) -> bool:
+    return any(own & words and all(w in words or w in NEUTRAL or w.isdigit() for w in own) for own in names)
+
+
 class Node:
     __slots__ = ("tag", "parts", "kids", "furniture", "comment", "named", "shape", "size", "parent")
 
@@ -60,15 +81,14 @@ class Node:
         self.tag, self.parent = tag, parent
         self.parts: list = []  # text and nodes, in order
         self.kids: list[Node] = []
-        self.furniture, self.comment, self.named = tag in FURNITURE, False, False
+        self.furniture, self.comment, self.named = tag in FURNITURE or tag in RAW, False, False
         self.shape = self.size = 0
         if attributes:
             found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-            names = {p.lower() for p in _NAME_PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-            role = found.get("role", "").lower()
-            self.comment = bool(names & COMMENTS)
-            self.named = bool(names & CONTENT) or found.get("itemprop", "") == "articleBody" or role == "main"
-            self.furniture = self.furniture or bool(names & NAMES) or role in ROLES or bool(_HIDDEN.search(attributes))
+            names, role = _names(found), found.get("role", "").lower()
+            self.comment = _all_of(names, COMMENTS)
+            self.named = any(own & CONTENT for own in names) or found.get("itemprop", "") == "articleBody" or role == "main"
+            self.furniture = self.furniture or _all_of(names, NAMES) or role in ROLES or bool(_HIDDEN.search(attributes))
 
 
 def parse(source: str) -> Node:
@@ -98,8 +118,8 @@ def parse(source: str) -> Node:
             continue
         ends = ENDS.get(tag) or ({"p"} if tag in BLOCK else None)
         if ends:
-            up = node
-            while up is not root and up.tag not in SCOPES - ends:
+            up, scopes = node, SCOPES - ends
+            while up is not root and up.tag not in scopes:
                 if up.tag in ends:
                     node = up.parent
                     if ends == {"p"}:
@@ -138,53 +158,112 @@ def _measure(root: Node, shapes: dict[tuple, int]) -> int:
     return len(nodes)
 
 
-def match(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
-    """Simple tree matching: the most node pairs of an order-keeping, level-keeping alignment of two trees."""
+def _middle(a: Node, b: Node) -> tuple[int, int, int]:
+    """Children pair from both ends while their shapes are equal: (pairs in front, ends of the rest of a and of b)."""
+    low, i, j = 0, len(a.kids), len(b.kids)
+    while low < min(i, j) and a.kids[low].shape == b.kids[low].shape:
+        low += 1
+    while i > low and j > low and a.kids[i - 1].shape == b.kids[j - 1].shape:
+        i, j = i - 1, j - 1
+    return low, i, j
+
+
+def _weight(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int | None:
+    """The matching of two trees where it is plain or known. It depends on their shapes alone."""
     if a.tag != b.tag:
         return 0
-    if not a.kids or not b.kids:
-        return 1
     if a.shape == b.shape:
         return a.size
-    key = (id(a), id(b))
-    if key not in memo:
-        memo[key] = 1 + _align(a, b, memo)[0]
-    return memo[key]
+    if not a.kids or not b.kids:
+        return 1
+    return memo.get((a.shape, b.shape))
 
 
-def _align(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]]]:
+def _weights(a: Node, b: Node, memo: dict) -> tuple[list[np.ndarray], list[tuple[Node, Node]]]:
+    """Matchings of the children of two nodes between the equal ends, a row for each child of `a`, and the pairs whose matching is not known yet.
+
+    Children of one shape share a row.
+    """
+    low, i, j = _middle(a, b)
+    left, right = a.kids[low:i], b.kids[low:j]
+    if not left or not right:
+        return [], []
+    rows, cols = {x.shape: x for x in left}, {y.shape: y for y in right}
+    table, open_ = {}, []
+    for x in rows.values():
+        line = []
+        for y in cols.values():
+            w = _weight(x, y, memo)
+            if w is None:
+                open_.append((x, y))
+            line.append(w or 0)
+        table[x.shape] = line
+    if open_:
+        return [], open_
+    place = {shape: k for k, shape in enumerate(cols)}
+    at = [place[y.shape] for y in right]
+    whole = {shape: np.array(line, np.int64)[at] for shape, line in table.items()}
+    return [whole[x.shape] for x in left], []
+
+
+def _fold(weights: list[np.ndarray], steps: bool = False) -> tuple[int, list[tuple[np.ndarray, np.ndarray]]]:
+    """The heaviest order-keeping pairing, row by row; with `steps` one bit a cell each for: as above, as to the left."""
+    if not weights:
+        return 0, []
+    line, kept = np.zeros(len(weights[0]) + 1, np.int64), []
+    for row in weights:
+        above, line = line, np.empty_like(line)
+        line[0] = 0
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + row), out=line[1:])
+        if steps:
+            kept.append((np.packbits(line[1:] == above[1:]), np.packbits(line[1:] == line[:-1])))
+    return int(line[-1]), kept
+
+
+def match(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
+    """Simple tree matching: the most node pairs of an order-keeping, level-keeping alignment of two trees.
+
+    Pairs of subtrees wait on a list of their own, so no depth of nesting overflows the stack.
+    """
+    open_ = [(a, b)]
+    while open_:
+        x, y = open_[-1]
+        if _weight(x, y, memo) is not None:
+            open_.pop()
+            continue
+        weights, unknown = _weights(x, y, memo)
+        if unknown:
+            open_ += unknown
+            continue
+        low, i, _ = _middle(x, y)
+        memo[x.shape, y.shape] = 1 + sum(k.size for k in x.kids[:low]) + sum(k.size for k in x.kids[i:]) + _fold(weights)[0]
+        open_.pop()
+    return _weight(a, b, memo)
+
+
+def _align(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node]]:
     """Best order-keeping pairs of the children of two nodes. Equal shapes at both ends always pair."""
-    left, right, pairs, total = list(a.kids), list(b.kids), [], 0
-    low = 0
-    while low < min(len(left), len(right)) and left[low].shape == right[low].shape:
-        pairs.append((left[low], right[low]))
-        total += left[low].size
-        low += 1
-    i, j = len(left), len(right)
-    while i > low and j > low and left[i - 1].shape == right[j - 1].shape:
-        i, j = i - 1, j - 1
-        pairs.append((left[i], right[j]))
-        total += left[i].size
-    left, right = left[low:i], right[low:j]
-    if left and right:
-        weights = [[match(x, y, memo) for y in right] for x in left]
-        table = [[0] * (len(right) + 1)]
-        for row in weights:
-            above, line = table[-1], [0]
-            for k, w in enumerate(row):
-                line.append(max(line[k], above[k + 1], above[k] + w))
-            table.append(line)
-        i, j = len(left), len(right)
-        total += table[i][j]
-        while i and j:
-            if table[i][j] == table[i - 1][j]:
-                i -= 1
-            elif table[i][j] == table[i][j - 1]:
-                j -= 1
+    low, i, j = _middle(a, b)
+    pairs = [*zip(a.kids[:low], b.kids[:low], strict=True), *zip(a.kids[i:], b.kids[j:], strict=True)]
+    if i > low and j > low:
+        weights, unknown = _weights(a, b, memo)
+        if unknown:
+            for x, y in unknown:
+                match(x, y, memo)
+            weights = _weights(a, b, memo)[0]
+        steps = _fold(weights, True)[1]
+        r, c = i - low, j - low
+        while r and c:
+            up, left = steps[r - 1]
+            byte, bit = c - 1 >> 3, 7 - (c - 1 & 7)
+            if up[byte] >> bit & 1:
+                r -= 1
+            elif left[byte] >> bit & 1:
+                c -= 1
             else:
-                i, j = i - 1, j - 1
-                pairs.append((left[i], right[j]))
-    return total, pairs
+                r, c = r - 1, c - 1
+                pairs.append((a.kids[low + r], b.kids[low + c]))
+    return pairs
 
 
 def alignment(reference: Node, page: Node) -> list[tuple[Node, Node]]:
@@ -192,43 +271,92 @@ def alignment(reference: Node, page: Node) -> list[tuple[Node, Node]]:
     memo: dict[tuple[int, int], int] = {}
     found, open_ = [(reference, page)], [(reference, page)]
     while open_:
-        a, b = open_.pop()
-        pairs = _align(a, b, memo)[1]
+        pairs = _align(*open_.pop(), memo)
         found += pairs
         open_ += pairs
     return found
 
 
-def template_nodes(pages: list[Node]) -> list[set[int]]:
-    """For each page, ids of the nodes whose own text is template: the same at the aligned place nearly everywhere."""
+def _plain_sizes(page: Node) -> list[tuple[Node, int]]:
+    """(node, characters of its own text outside links), parents first."""
+    linked, out = set(), []
+    for node in _nodes(page):
+        if node.tag == "a" or id(node.parent) in linked:
+            linked.add(id(node))
+        out.append((node, 0 if id(node) in linked else len(_own_text(node))))
+    return out
+
+
+def _region(reference: Node, pages: list[tuple[Node, dict[int, int], dict[int, str]]], fixed: dict[int, str]) -> Node | None:
+    """The node of the reference that holds most of the text that varies; pages: (root, aligned id, own text by reference id)."""
+    varying, constant = Counter(), 0
+    for page, aligned, texts in pages:
+        home: dict[int, int] = {}
+        for node, size in _plain_sizes(page):
+            r = aligned.get(id(node))
+            home[id(node)] = home[id(node.parent)] if r is None else r
+            if r is not None and r in fixed and fixed[r] == texts[r]:
+                constant += size
+            else:
+                varying[home[id(node)]] += size
+    total = sum(varying.values())
+    if not total or total < VARYING_SHARE * (total + constant):
+        return None
+    order = _nodes(reference)
+    sums = {id(n): varying[id(n)] for n in order}
+    for node in reversed(order):
+        if node.parent is not None:
+            sums[id(node.parent)] += sums[id(node)]
+    region = reference
+    while large := [k for k in region.kids if sums[id(k)] >= REGION_SHARE * total]:
+        region = large[0]
+    outer = region
+    while outer is not None and outer.tag not in ("article", "main"):
+        outer = outer.parent
+    if outer is not None:
+        return outer
+    while region.parent is not None and region.tag not in ("body", "html") and any(k.tag in HEADINGS and sums[id(k)] for k in region.parent.kids):
+        region = region.parent  # a varying heading beside it is the article's
+    return None if region.tag in ("#root", "html", "body") else region
+
+
+def induce(pages: list[Node]) -> list[Node | None]:
+    """The content region of each page; None where the group gives no evidence of it."""
     shapes: dict[tuple, int] = {}
     sizes = [_measure(p, shapes) for p in pages]
+    none: list = [None] * len(pages)
     if len(pages) < TEMPLATE_PAGES:
-        return [set() for _ in pages]
+        return none
     reference = pages[sorted(range(len(pages)), key=lambda i: (sizes[i], i))[len(pages) // 2]]
     pairs = [alignment(reference, p) for p in pages]
     texts = [{id(r): _own_text(n) for r, n in own} for own in pairs]
-    different = {tuple(t.values()): t for t in texts}.values()  # copies of a page are one witness
+    different = list({(sizes[i], *t.values()): i for i, t in enumerate(texts)}.values())  # copies of a page are one witness
+    if len(different) < TEMPLATE_PAGES:
+        return none
     told: dict[int, Counter] = {}
-    for own in different:
-        for r, text in own.items():
+    for i in different:
+        for r, text in texts[i].items():
             told.setdefault(r, Counter())[text] += 1
     fixed = {}
     for r, texts_of in told.items():
         text, n = texts_of.most_common(1)[0]
         if text and n >= TEMPLATE_PAGES and n >= TEMPLATE_SHARE * len(different):
             fixed[r] = text
-    return [{id(n) for r, n in own if fixed.get(id(r)) == t[id(r)]} for own, t in zip(pairs, texts, strict=True)]
+    aligned = [{id(n): id(r) for r, n in own} for own in pairs]
+    region = _region(reference, [(pages[i], aligned[i], texts[i]) for i in different], fixed)
+    if region is None:
+        return none
+    return [next((n for r, n in own if r is region), None) for own in pairs]
 
 
-def _blocks(root: Node, template: set[int], inside: bool) -> list[tuple[str, int, int]]:
-    """(text, its length, length of it in links) of the blocks under `root`, furniture and template left out."""
+def _blocks(root: Node, inside: bool) -> list[tuple[str, int, bool]]:
+    """(text, length of it in links, whether a heading) of the blocks under `root`, furniture left out."""
     blocks, parts, linked = [], [], [0]
 
-    def flush() -> None:
+    def flush(heading: bool) -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append((text, len(text), min(linked[0], len(text))))
+            blocks.append((text, min(linked[0], len(text)), heading))
         parts.clear()
         linked[0] = 0
 
@@ -236,15 +364,13 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[tuple[str, int
     while open_:
         node, at, link = open_.pop()
         if at == 0 and node.tag in BLOCK:
-            flush()
-        fixed = id(node) in template
+            flush(False)
         while at < len(node.parts):
             part = node.parts[at]
             at += 1
             if isinstance(part, str):
-                if not fixed:
-                    parts.append(part)
-                    linked[0] += len(part) if link else 0
+                parts.append(part)
+                linked[0] += len(part) if link else 0
             elif part.tag == "br" or part.tag in ("td", "th"):
                 parts.append(" ")
                 if part.tag != "br" and not part.furniture:
@@ -257,26 +383,26 @@ def _blocks(root: Node, template: set[int], inside: bool) -> list[tuple[str, int
                 break
         else:
             if node.tag in BLOCK:
-                flush()
-    flush()
+                flush(node.tag in HEADINGS)
+    flush(False)
     return blocks
 
 
 def _main(root: Node) -> tuple[Node, bool]:
-    """The element that bounds the article, and whether the page names it."""
+    """The element that bounds the article by its element or name, and whether the page names it."""
     kept, open_ = [], [root]
     while open_:
         node = open_.pop()
         kept.append(node)
-        open_.extend(k for k in reversed(node.kids) if not k.comment and (k.tag not in FURNITURE) and not (k.furniture and not _holds_article(k)))
+        open_.extend(k for k in reversed(node.kids) if not k.comment and (k.tag not in FURNITURE and k.tag not in RAW) and not (k.furniture and not _holds_article(k)))
 
     def text_size(node: Node) -> int:
-        return sum(b[1] for b in _blocks(node, set(), True))
+        return sum(len(b[0]) for b in _blocks(node, True))
 
     for named in (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.named and n.tag not in ("body", "html")):
         found = [n for n in kept if named(n)]
         if found:
-            return max(found, key=text_size), True
+            return found[0] if len(found) == 1 else max(found, key=text_size), True
     return root, False
 
 
@@ -284,17 +410,36 @@ def _holds_article(node: Node) -> bool:
     return any(n.tag in ("article", "main") for n in _nodes(node))
 
 
+def _trim(regions: list[list[tuple[str, int, bool]]]) -> None:
+    """Takes off blocks that nearly all different regions end or begin with; equal regions are one witness.
+
+    What stands between varying blocks is the article's own, and so is a heading that many articles open with.
+    """
+    for end in (-1, 0):
+        witnesses = list({tuple(b[0] for b in blocks): blocks for blocks in regions}.values())
+        while len(witnesses) >= TEMPLATE_PAGES:
+            told = Counter((blocks[end][0], blocks[end][2]) for blocks in witnesses if len(blocks) > 1)
+            (text, heading), n = told.most_common(1)[0] if told else (("", False), 0)
+            if n < TEMPLATE_PAGES or n < TEMPLATE_SHARE * len(witnesses) or heading and end == 0:
+                break
+            for blocks in regions:
+                if len(blocks) > 1 and blocks[end][0] == text:
+                    blocks.pop(end)
+
+
 def extract_group(sources: list[str | None]) -> list[str]:
     """Main texts of pages that are aligned with each other."""
     pages = [parse(s or "") for s in sources]
+    regions = induce(pages)
     out = []
-    for page, template in zip(pages, template_nodes(pages), strict=True):
-        main, named = _main(page)
-        blocks = _blocks(main, template, named)
+    for page, region in zip(pages, regions, strict=True):
+        main, named = (region, True) if region is not None else _main(page)
+        blocks = _blocks(main, named)
         if not named:  # what is mostly links is a menu
-            blocks = [b for b in blocks if b[2] <= 0.6 * b[1]]
-        out.append("\n".join(b[0] for b in blocks))
-    return out
+            blocks = [b for b in blocks if b[1] <= 0.6 * len(b[0])]
+        out.append(blocks)
+    _trim([blocks for blocks, region in zip(out, regions, strict=True) if region is not None])
+    return ["\n".join(b[0] for b in blocks) for blocks in out]
 
 
 def _extract(rows: pd.DataFrame) -> pd.DataFrame:
@@ -305,21 +450,21 @@ def _extract(rows: pd.DataFrame) -> pd.DataFrame:
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """One row per input row: id, url, text (blocks joined by a line feed), n_chars.
 
-    Null html is empty; a page without main text gives an empty text. Pages with a null url share one host. Groups
-    of a host are dealt by a hash of id and url, so repeated rows meet in one group and count once as witnesses.
-    An empty table gives an empty result. Other columns of `pages` are not read.
+    Null html is empty; a page without main text gives an empty text. Pages with a null url share one host. Rows of
+    a large host are dealt into groups row by row, so repeated rows and rows without id or url spread too; equal pages
+    of a group count once as witnesses. An empty table gives an empty result. Other columns of `pages` are not read.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     tables = Tables(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).withColumn("row", F.monotonically_increasing_id())
     counts = rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
     large = tables.write(counts.select(F.col("host").alias("l_host"), "groups"), "hosts")
     if large.count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
     dealt = rows.join(large, F.col("host") == F.col("l_host"), "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1)))).select("page_id", "url", "html", "host", "part")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1)))).select("page_id", "url", "html", "host", "part")
     id_type = pages.schema[id_col].dataType.simpleString()
     out = dealt.groupBy("host", "part").applyInPandas(_extract, f"page_id {id_type}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"page_id": id_col, "url": url_col})
