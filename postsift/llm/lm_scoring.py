@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import _BASE, Tables, Words, bound_batches, mix64, pack_counts, plain, rolling, unpack_counts, within
+from .support import Tables, Words, bound_batches, pack_counts, plain, runs, unpack_counts, within
 
 BATCH_CHARS = 3_000_000
 #: Entries that one task counts at a time: 8 MB of keys.
@@ -49,25 +49,30 @@ def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _grams(texts: list, order: int, shards: int):
-    """(words, positions, index of each position's n-gram, n-grams by shard, their counts, first of each shard)."""
+    """(words, positions, index of each position's n-gram, n-grams by shard, their counts, shards used, first of each and past the last).
+
+    The shard comes from a second, independent hash, and keys are compared within a shard: the identity of an n-gram
+    has 64 bits and those of the shard's number, so collisions stay rare as the corpus and the shards grow.
+    """
     words = Words([t if t is None else t.encode("utf-8", "replace").lower().decode() for t in texts])
     at = within(words, order)
-    keys = mix64(rolling(words.hash, order, _BASE)[at], order) if len(at) else np.zeros(0, np.uint64)
-    own, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    shard = (mix64(own, 99) % np.uint64(shards)).astype(np.int64)
+    keys = runs(words.hash, order)[at] if len(at) else np.zeros(0, np.uint64)
+    own, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    other = runs(words.hashes(1), order, 1)[at][first] if len(at) else own
+    shard = (other % np.uint64(shards)).astype(np.int64)
     by = np.argsort(shard, kind="stable")
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
-    return words, at, place[inverse], own[by], counts[by], np.searchsorted(shard[by], np.arange(shards + 1))
+    cuts = np.flatnonzero(np.diff(shard[by], prepend=-1))
+    return words, at, place[inverse], own[by], counts[by], shard[by][cuts], np.append(cuts, len(by))
 
 
 def _send(order: int, shards: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for name, payload in zip(rows["batch"], rows["payload"], strict=True):
-                _, _, _, keys, counts, cuts = _grams(pickle.loads(payload)[1], order, shards)
-                used = np.flatnonzero(np.diff(cuts))
-                yield plain(pd.DataFrame({"batch": name, "shard": used.astype(np.int32), "keys": [keys[cuts[s] : cuts[s + 1]].tobytes() for s in used], "counts": [pack_counts(counts[cuts[s] : cuts[s + 1]]) for s in used]}))
+                _, _, _, keys, counts, used, cuts = _grams(pickle.loads(payload)[1], order, shards)
+                yield plain(pd.DataFrame({"batch": name, "shard": used.astype(np.int32), "keys": [keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], "counts": [pack_counts(counts[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]}))
 
     return each
 
@@ -90,7 +95,7 @@ def _score(order: int, shards: int, total: int, backoff: float, min_count: int):
                 ids, texts = pickle.loads(payload)
                 before = score = None
                 for n in range(1, order + 1):
-                    words, at, gram, keys, _, _ = _grams(texts, n, shards)
+                    words, at, gram, keys, *_ = _grams(texts, n, shards)
                     counts = np.zeros(len(keys), np.int64)
                     answers = sorted(rows[f"answers{n}"].iloc[i] if rows[f"answers{n}"].iloc[i] is not None else [], key=lambda x: x["shard"])
                     if answers:

@@ -81,6 +81,9 @@ class WordTokenizer:
         for a, b in in_chunks(texts):
             words = Words(texts[a:b])
             _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            odd = np.flatnonzero(~words.equal(np.arange(len(inverse)), first[inverse]))  # another word of the same hash
+            inverse[odd] = len(first) + np.arange(len(odd))
+            first = np.concatenate([first, odd])
             if len(self.known) > _CACHE_WORDS:
                 self.known.clear()
             ids = []

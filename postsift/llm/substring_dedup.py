@@ -1,11 +1,14 @@
 """Substring dedup: a count-min prefilter, then exact grouping of the windows estimated repeated.
 
-Pass 1 hashes every window of `width` words and sketches the counts of a task's rows: two rows of cells, saturating at
-two. Sketches travel as sorted 16-bit offsets in blocks of 65,536 cells, are added per block, and become bitmaps
-of the cells reached twice; those are an upper bound of every count, so no repeated window is lost. Pass 2 tests
-each window against the bitmaps. Windows estimated repeated are grouped exactly by 128 bits of two independent
-hashes of their word sequence: each batch of documents sends its distinct keys, packed, to the key's shard, and
-the shard answers with one bit a key. Documents without such windows are finished in the pass itself.
+Documents are gathered into batches in a written table. Pass 1 sketches windows by their anchors: the anchor of a
+window of `width` words is the least hash of a run of (width + 1) // 2 words in it, the leftmost of equals. Equal windows
+have equal anchors at different places, so the count of an anchor's places is an upper bound of the count of each of
+its windows, and neighbouring windows share one: some 0.1 entries a word. A batch's sketch has two rows of cells,
+saturating at two, and travels in ranges of cells; the sketches of a range are added by one task, which answers each
+batch with one bit an entry: reached twice? Cells and ranges grow with the data, so the estimate stays as sharp.
+Pass 2 groups the windows estimated repeated by 128 bits of two independent hashes of their words: each batch sends its
+distinct keys, packed, to the key's shard, and the shard answers with one bit a key. Documents without such windows
+are finished in the pass itself.
 """
 
 from __future__ import annotations
@@ -19,73 +22,99 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, Words, bound_batches, in_chunks, mix64, plain, rolling, within
+from .support import Tables, Words, bound_batches, mix64, plain, runs, within
 
-#: Cells of a sketch row: four a window, within these bounds. At most 2 x 32 MB of bitmaps are broadcast; with more
-#: windows more pass the prefilter, and the exact grouping still decides.
-MIN_CELLS, MAX_CELLS = 1 << 20, 1 << 28
-ROWS, BLOCK = 2, 1 << 16
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+#: Cells of a sketch row: four an anchor, at least MIN_CELLS.
+MIN_CELLS, ROWS = 1 << 20, 2
+#: Sketch entries that one task adds at a time, about.
+_SKETCH_FLUSH = 1_000_000
 #: Keys that one task groups at a time: 16 MB.
 SHARD_KEYS = 1_000_000
-_SKETCH_FLUSH = 1_000_000
 _CHUNK_CHARS = 2_000_000
 
 
-def _windows(words: Words, width: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    at = within(words, width)
-    return at, mix64(rolling(words.hash, width, base)[at]) if len(at) else np.zeros(0, np.uint64)
+def _anchors(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words of the windows, number of each window's anchor, the anchors' hashes); an anchor is one place."""
+    at, inner = within(words, width), (width + 1) // 2
+    if not len(at):
+        return at, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    grams, span = runs(words.hash, inner), width - inner + 1
+    value, place, size = grams, np.arange(len(grams)), 1
+    while size < span:  # the least of 2, 4, 8, ... runs, at last of two that overlap
+        step = min(size, span - size)
+        later = value[step:] < value[:-step]
+        value = np.where(later, value[step:], value[:-step])
+        place = np.where(later, place[step:], place[:-step])
+        size += step
+    place = place[at]
+    first = np.diff(place, prepend=-1) != 0
+    return at, np.cumsum(first) - 1, grams[place[first]]
 
 
 def _cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mix64(keys, row + 1) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _sketch(width: int, bits: int):
-    """Texts -> blocks of a partition's sketch: offsets of the cells hit once, and of those hit at least twice."""
+def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows -> batches of about _CHUNK_CHARS characters."""
+    from pyspark import TaskContext
+
+    part, turn, held, size = TaskContext.get().partitionId(), 0, ([], []), 0
+
+    def batch() -> pd.DataFrame:
+        return plain(pd.DataFrame({"batch": [f"{part}-{turn}"], "words": [int(Words(held[1], hashed=False).count.sum())], "payload": [pickle.dumps(held, 5)]}))
 
-    def flush(held: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        keys = np.concatenate(held)
-        for row in range(ROWS):
-            cells, counts = np.unique(_cells(keys, row, bits), return_counts=True)
-            cuts = np.flatnonzero(np.diff(cells >> 16, prepend=-1))
-            blocks = cells[cuts] >> 16
-            low, twice = (cells & 0xFFFF).astype("<u2"), counts > 1
-            once = [low[a:b][~twice[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(cells)], strict=True)]
-            more = [low[a:b][twice[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(cells)], strict=True)]
-            yield pd.DataFrame({"row": np.int32(row), "block": blocks.astype(np.int32), "once": once, "more": more})
+    for rows in batches:
+        ids, texts = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist(), rows["text"].tolist()
+        for doc, text in zip(ids, texts, strict=True):
+            held[0].append(doc)
+            held[1].append(text)
+            size += len(text or "")
+            if size >= _CHUNK_CHARS:
+                yield batch()
+                held, size, turn = ([], []), 0, turn + 1
+    if held[0]:
+        yield batch()
+
+
+def _sketch(width: int, bits: int, low_bits: int):
+    """Batches -> their sketches by row and range: offsets of the cells hit, and one bit each: more than once?"""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
         for rows in batches:
-            texts = rows["text"].tolist()
-            for a, b in in_chunks(texts, _CHUNK_CHARS):
-                keys = _windows(Words(texts[a:b]), width, _BASES[0])[1]
-                held.append(keys)
-                n += len(keys)
-                if n >= _SKETCH_FLUSH:
-                    yield from flush(held)
-                    held, n = [], 0
-        if n:
-            yield from flush(held)
+            for name, payload in zip(rows["batch"], rows["payload"], strict=True):
+                keys = _anchors(Words(pickle.loads(payload)[1]), width)[2]
+                for row in range(ROWS if len(keys) else 0):
+                    cells, counts = np.unique(_cells(keys, row, bits), return_counts=True)
+                    cuts = [*np.flatnonzero(np.diff(cells >> low_bits, prepend=-1)).tolist(), len(cells)]
+                    low = (cells & (1 << low_bits) - 1).astype("<u4")
+                    packed = [low[i:j].tobytes() + np.packbits(counts[i:j] > 1).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+                    yield plain(pd.DataFrame({"batch": name, "row": np.int32(row), "range": cells[cuts[:-1]] >> low_bits, "n": np.diff(cuts), "payload": packed}))
 
     return each
 
 
-def _merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Adds the blocks of one range of cells; the bitmap of the cells with two or more."""
-    counts = np.zeros(BLOCK, np.uint8)
-    for once, more in zip(rows["once"], rows["more"], strict=True):
-        np.minimum(counts + 1, 2, out=counts, where=_mask(once))
-        counts[np.frombuffer(more, "<u2")] = 2
-    bitmap = counts >= 2
-    return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bitmap": [np.packbits(bitmap, bitorder="little").tobytes()]})[: 1 if bitmap.any() else 0]
+def _merge(rows: pd.DataFrame) -> pd.DataFrame:
+    """Adds the sketches of one range of cells; each batch's answer is one bit an entry."""
+    sizes = rows["n"].tolist()
+    cells = np.concatenate([np.frombuffer(x, "<u4", n) for x, n in zip(rows["payload"], sizes, strict=True)])
+    more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, -1, 4 * n), count=n) for x, n in zip(rows["payload"], sizes, strict=True)])
+    _, inverse = np.unique(cells, return_inverse=True)
+    twice = (np.bincount(inverse) + np.bincount(inverse, more) > 1)[inverse]
+    ends = np.cumsum(sizes)
+    return plain(pd.DataFrame({"batch": rows["batch"], "row": rows["row"], "range": rows["range"], "bits": [np.packbits(twice[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]}))
 
 
-def _mask(offsets: bytes) -> np.ndarray:
-    mask = np.zeros(BLOCK, bool)
-    mask[np.frombuffer(offsets, "<u2")] = True
-    return mask
+def _repeated(keys: np.ndarray, bits: int, low_bits: int, answers: list) -> np.ndarray:
+    """Whether an anchor's cells were all reached twice."""
+    told = {(x["row"], x["range"]): x["bits"] for x in answers}
+    maybe = np.ones(len(keys), bool)
+    for row in range(ROWS if len(keys) else 0):
+        cells, inverse = np.unique(_cells(keys, row, bits), return_inverse=True)
+        ranges, sizes = np.unique(cells >> low_bits, return_counts=True)
+        own = np.concatenate([np.unpackbits(np.frombuffer(told[row, r], np.uint8), count=n) for r, n in zip(ranges.tolist(), sizes.tolist(), strict=True)])
+        maybe &= own[inverse].astype(bool)
+    return maybe
 
 
 def _digest(words: Words, doc: int, removed: np.ndarray | None) -> str:
@@ -98,41 +127,32 @@ def _digest(words: Words, doc: int, removed: np.ndarray | None) -> str:
 PASS_SCHEMA = "kind int, batch string, doc_id {id}, n_words long, kept_sha256 string, shard int, payload binary"
 
 
-def _candidates(width: int, bits: int, filters, shards: int):
-    """Documents -> finished rows (kind 0), batches that wait for answers (1), and packed keys for the shards (2)."""
+def _candidates(width: int, bits: int, low_bits: int, shards: int):
+    """Batches with their answers -> finished rows (kind 0), batches that wait for answers (1), and packed keys for the shards (2)."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        bitmaps = [np.frombuffer(x, np.uint8) for x in filters.value]
-        part, turn = TaskContext.get().partitionId(), 0
         for rows in batches:
-            ids, texts = rows["doc_id"].astype(object).where(rows["doc_id"].notna(), None).tolist(), rows["text"].tolist()
-            for a, b in in_chunks(texts, _CHUNK_CHARS):
-                words = Words(texts[a:b])
-                at, key1 = _windows(words, width, _BASES[0])
-                maybe = np.ones(len(at), bool)
-                for row, bitmap in enumerate(bitmaps):
-                    cell = _cells(key1, row, bits)
-                    maybe &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                at, key1 = at[maybe], key1[maybe]
-                key2 = mix64(rolling(words.hash, width, _BASES[1])[at]) if len(at) else key1
+            for name, payload, answers in zip(rows["batch"], rows["payload"], rows["answers"], strict=True):
+                ids, texts = pickle.loads(payload)
+                words = Words(texts)
+                at, anchor, keys = _anchors(words, width)
+                if len(at):
+                    at = at[_repeated(keys, bits, low_bits, answers)[anchor]]
                 doc = words.documents()[at]
-                waiting = np.zeros(b - a, bool)
+                waiting = np.zeros(len(ids), bool)
                 waiting[doc] = True
                 done = np.flatnonzero(~waiting)
                 if len(done):
-                    yield plain(pd.DataFrame({"kind": 0, "batch": None, "doc_id": pd.Series([ids[a + i] for i in done], dtype=object), "n_words": words.count[done], "kept_sha256": [_digest(words, i, None) for i in done], "shard": 0, "payload": None}))
+                    yield plain(pd.DataFrame({"kind": 0, "batch": None, "doc_id": pd.Series([ids[i] for i in done], dtype=object), "n_words": words.count[done], "kept_sha256": [_digest(words, i, None) for i in done], "shard": 0, "payload": None}))
                 if not len(at):
                     continue
-                pairs = np.stack([key1, key2], 1)
+                pairs = np.stack([runs(words.hash, width)[at], runs(words.hashes(1), width, 1)[at]], 1)
                 keys, inverse, counts = np.unique(pairs.view("V16").ravel(), return_inverse=True, return_counts=True)
                 keys = np.ascontiguousarray(keys).view(np.uint64).reshape(-1, 2)
                 shard = (keys[:, 0] % np.uint64(shards)).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
-                name, turn = f"{part}-{turn}", turn + 1
                 kept = np.flatnonzero(waiting)
-                batch = {"ids": [ids[a + i] for i in kept], "texts": [texts[a + i] for i in kept], "doc": np.searchsorted(kept, doc).astype(np.int32), "at": (at - words.first[doc]).astype(np.int64), "key": np.argsort(order)[inverse].astype(np.int32), "shard": shard[order]}
+                batch = {"ids": [ids[i] for i in kept], "texts": [texts[i] for i in kept], "doc": np.searchsorted(kept, doc).astype(np.int32), "at": (at - words.first[doc]).astype(np.int64), "key": np.argsort(order)[inverse].astype(np.int32), "shard": shard[order]}
                 yield plain(pd.DataFrame({"kind": 1, "batch": [name], "doc_id": [None], "n_words": 0, "kept_sha256": None, "shard": 0, "payload": [pickle.dumps(batch, 5)]}))
                 cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
                 sent = [keys[order[i:j]].tobytes() + (counts[order[i:j]] > 1).tobytes() for i, j in zip(cuts, [*cuts[1:], len(order)], strict=True)]
@@ -180,41 +200,44 @@ def _finish(width: int):
     return each
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", max_cells: int | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256.
 
     Every word goes that a window covers whose word sequence also starts elsewhere, in the same document or
     another. Windows are judged on the input. Null text has no words; a text under `width` words loses none.
     Null and repeated ids are carried as they are: each row is a document of its own, so repeated rows remove
-    each other's windows. An empty table gives an empty result. Other columns of `docs` are not read.
+    each other's windows. An empty table gives an empty result. Other columns of `docs` are not read. `max_cells`
+    bounds the sketch: more windows then take the exact pass, and the result is the same.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     tables = Tables(spark, "passages")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(max_cells, max(MIN_CELLS, 1 << max(0, (4 * size // 6 - 1)).bit_length()))
-    bits = cells.bit_length() - 1
-    sketch = rows.select("text").mapInPandas(_sketch(width, bits), "row int, block int, once binary, more binary")
-    merged = tables.write(sketch.groupBy("row", "block").applyInPandas(_merge, "row int, block int, bitmap binary"), "bitmaps")
-    held = [bytearray(cells // 8) for _ in range(ROWS)]  # bounded by MAX_CELLS
-    for row, block, bitmap in merged.toLocalIterator(prefetchPartitions=True):
-        held[row][block * BLOCK // 8 : (block + 1) * BLOCK // 8] = bitmap
-    filters = spark.sparkContext.broadcast([bytes(x) for x in held])
-    del held
-    shards = max(1, size // 6 // 3 // shard_keys + 1)
-    passed = tables.write(rows.mapInPandas(_candidates(width, bits, filters, shards), PASS_SCHEMA.format(id=id_type)), "passed", partition_by="kind")
+    gathered = tables.write(rows.mapInPandas(_gather, "batch string, words long, payload binary"), "gathered")
+    total = gathered.agg(F.sum("words")).first()[0] or 0
+    anchors = 2 * total // ((width + 1) // 2 + 1)
+    bits = max(MIN_CELLS, 4 * anchors).bit_length()
+    bits = min(bits, max_cells.bit_length() - 1) if max_cells else bits
+    low_bits = min(bits, 32, (4 * _SKETCH_FLUSH).bit_length() - 1)
+    sketch = gathered.select("batch", "payload").mapInPandas(_sketch(width, bits, low_bits), "batch string, row int, range long, n int, payload binary")
+    merged = sketch.groupBy("row", "range").applyInPandas(_merge, "batch string, row int, range long, bits binary")
+    estimates = merged.groupBy(F.col("batch").alias("e_batch")).agg(F.collect_list(F.struct("row", "range", "bits")).alias("answers"))
+    estimates = tables.write(estimates, "estimates", batch_rows=1)  # a row is a batch of documents
+    shards = max(1, total // 3 // shard_keys + 1)
+    met = gathered.join(estimates, F.col("batch") == F.col("e_batch"), "left").select("batch", "payload", "answers")
+    passed = tables.write(met.mapInPandas(_candidates(width, bits, low_bits, shards), PASS_SCHEMA.format(id=id_type)), "passed", partition_by="kind", batch_rows=1)
+    tables.drop("gathered", "estimates")
     packed = passed.where("kind = 2").select("batch", "shard", "payload")
     answers = packed.groupBy("shard").applyInPandas(_group, "batch string, shard int, bits binary")
     answers = tables.write(answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers")), "answers")
-    tables.drop("bitmaps", "passed/kind=2")
+    tables.drop("passed/kind=2")
     waiting = passed.where("kind = 1").select("batch", "payload").join(answers, "batch").select("payload", "answers")
     finished = waiting.mapInPandas(_finish(width), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
-    finished = tables.write(finished, "finished", batch_rows=1)  # a row is a batch of documents
+    finished = tables.write(finished, "finished", batch_rows=1)
     tables.drop("passed/kind=1", "answers")
-    plain = passed.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return plain.union(finished).withColumnRenamed("doc_id", id_col)
+    alone = passed.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
+    return alone.union(finished).withColumnRenamed("doc_id", id_col)
 
 
 SQL = r"""

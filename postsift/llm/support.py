@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +46,6 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_BYTE_CODES = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
-        have = np.full(size, base % 2**64, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
-
-
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finaliser over uint64."""
     x = x + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
@@ -70,12 +54,28 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def chain(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of two hashes in order; it mixes between the steps, so no sums of products cancel."""
+    x = a ^ (a >> np.uint64(32))
+    x *= np.uint64(_LANES[lane])
+    x ^= b
+    return mix64(x, lane + 3)
+
+
+#: Words of over so many bytes are hashed one by one.
+_LONG_WORD = 64
+_LANES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
 class Words:
-    """Words of a list of texts: one byte buffer, starts and ends in it, a 64-bit hash of each, and the document of each."""
+    """Words of a list of texts: one byte buffer, starts and ends in it, hashes of each, and the document of each.
+
+    `hash` is 64 bits of a word's bytes; hashes(1) is 64 further, independent bits.
+    """
 
     def __init__(self, texts: list[str | None], hashed: bool = True):
         encoded = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-        self.buffer = b"\n".join(encoded) + b"\n"
+        self.buffer = b"\n".join(encoded) + b"\n" * 9  # eight bytes can be read at any byte of a word
         data = np.frombuffer(self.buffer, np.uint8)
         space = _IS_SPACE[data]
         turns = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -86,26 +86,35 @@ class Words:
         self.first = np.searchsorted(self.start, text_start)  # of each document, and one past the last
         self.count = np.diff(self.first)
         if hashed:
-            self.hash = self._hash(data)
-
-    def _hash(self, data: np.ndarray) -> np.ndarray:
-        if not len(self.start):
-            self._sums = self._low = self._back = np.zeros(0, np.uint64)
-            return np.zeros(0, np.uint64)
-        n = len(data)
-        self._sums = _BYTE_CODES[data]
-        self._sums *= powers(_BASE, n)
-        np.cumsum(self._sums, out=self._sums)
-        self._low = np.where(self.start > 0, self._sums[self.start - 1], np.uint64(0))
-        self._back = powers(pow(_BASE, -1, 2**64), n)[self.start]
-        return self._until(self.end)
-
-    def _until(self, end: np.ndarray) -> np.ndarray:
-        return mix64((self._sums[end - 1] - self._low) * self._back) if len(end) else np.zeros(0, np.uint64)
-
-    def prefix_hash(self, size: int) -> np.ndarray:
-        """Hash of the first `size` bytes of each word (of the whole word where it is shorter)."""
-        return self._until(np.minimum(self.start + size, self.end))
+            self.hash = self.hashes()
+
+    def hashes(self, lane: int = 0, size: int | None = None) -> np.ndarray:
+        """Hashes of the words, or of the first `size` bytes of each (of the whole word where it is shorter)."""
+        end = self.end if size is None else np.minimum(self.start + size, self.end)
+        length = end - self.start
+        at_byte = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, strides=(1,))
+        out = mix64(length.astype(np.uint64), lane + 1)
+        for done in range(0, min(_LONG_WORD, int(length.max(initial=0))), 8):
+            open_ = slice(None) if not done else np.flatnonzero((length > done) & (length <= _LONG_WORD))
+            left = np.minimum(length[open_] - done, 8).astype(np.uint64)
+            eight = at_byte[self.start[open_] + done] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+            out[open_] = chain(out[open_], eight, lane)
+        for i in np.flatnonzero(length > _LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.buffer[self.start[i] : end[i]], seed=lane + 1)
+        return out
+
+    def equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words at `a` and at `b` have the same bytes."""
+        length = (self.end - self.start)[a]
+        same = length == (self.end - self.start)[b]
+        at_byte = np.ndarray((len(self.buffer) - 7,), "<u8", self.buffer, strides=(1,))
+        for done in range(0, min(_LONG_WORD, int(length.max(initial=0))), 8):
+            open_ = np.flatnonzero(same & (length > done) & (length <= _LONG_WORD))
+            rest = np.uint64(64) - np.uint64(8) * np.minimum(length[open_] - done, 8).astype(np.uint64)
+            same[open_] = (at_byte[self.start[a[open_]] + done] ^ at_byte[self.start[b[open_]] + done]) << rest == 0
+        for i in np.flatnonzero(same & (length > _LONG_WORD)).tolist():
+            same[i] = self.word(a[i]) == self.word(b[i])
+        return same
 
     def documents(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -114,13 +123,21 @@ class Words:
         return self.buffer[self.start[i] : self.end[i]]
 
 
-def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
+def runs(hashes: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     """Hash of each run of `width` consecutive word hashes (runs across documents too; the caller drops those)."""
-    n = len(hashes)
-    if n < width:
+    n = len(hashes) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(base, n))])
-    return (sums[width:] - sums[:-width]) * powers(pow(base, -1, 2**64), n)[: n - width + 1]
+    power, size, done, out = hashes, 1, 0, None
+    while True:  # runs of 1, 2, 4, ... words, joined by the binary digits of the width
+        if width & size:
+            own = power[done : done + n]
+            out = mix64(own, lane + 7) if out is None else chain(out, own, lane)
+            done += size
+        if done == width:
+            return out
+        power = chain(power[:-size], power[size:], lane)
+        size *= 2
 
 
 def within(words: Words, width: int) -> np.ndarray:

@@ -34,7 +34,7 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for size in (4, 5):
         long = length > size
         docs.append(doc[long])
-        buckets.append(mix64(words.prefix_hash(size)[long], size) >> shift)
+        buckets.append(mix64(words.hashes(0, size)[long], size) >> shift)
     return np.concatenate(docs), np.concatenate(buckets).astype(np.int64)
 
 
