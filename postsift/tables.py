@@ -15,9 +15,11 @@ BROADCAST_ROWS = 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that all executors share, under spark.checkpoint.dir; set here only where it is unset."""
+    """A folder that all executors share, under spark.checkpoint.dir; set here only where it is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"/tmp/postsift-checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/postsift"
@@ -60,6 +62,10 @@ class Tables:
             (out.partitionBy(partition_by) if partition_by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, names: list[str], schema: str) -> DataFrame:
+        """The rows of several tables of one schema."""
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{name}" for name in names])
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
