@@ -1,13 +1,16 @@
 """Mixing sources to target weights: Pareto order sampling, DataFrame functions only.
 
 A source's target in words is a weight share of the whole, capped at `max_repeat` times its size. Each document
-first gets the certain whole copies, floor(target / size of source). For the remaining word budget documents are
-ranked by Pareto order, random odds divided by inclusion odds, and taken from the lowest rank while the budget
-lasts; last, the one unused document whose size comes closest to what is left is taken if that brings the sum
-nearer the target. The random number of a document is a hash of its id, so reruns agree.
-
-Ranks need no sort of a whole source: sizes are summed per (source, bucket of the random number), the bucket in
-which the budget ends is found from those sums, and only that bucket's documents are ordered.
+first gets the certain whole copies, floor(target / size of source). The remaining word budget is a sample of fixed
+size in words, of unequal probabilities: a document's inclusion probability is proportional to its size, p = rate x
+size, those that reach 1 are certain, and the rate is such that the expected words are the budget. Documents longer
+than the budget have none. The others are ranked by Pareto order, random odds u / (1 - u) divided by inclusion odds
+p / (1 - p), and taken from the lowest rank on; one that does not fit in what is left of the budget is passed over. Last,
+the one unused document whose size comes closest to what is left is taken if that brings the sum nearer the target.
+The random number of a document is a hash of its id, so reruns agree.
+
+Ranks need no sort of a whole source: sizes are summed per (source, bucket of the rank), the bucket in which the budget
+ends is found from those sums, and only that bucket's documents are ordered.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from .support import WORD_CLASS, Tables
 
 BUCKETS = 4096
+#: Words of room up to which a source's draw is finished in one pass.
+TAIL_ROOM = 10_000
 #: Fixed weights of the contract, repeating over the sources in code point order.
 WEIGHTS = (5, 2, 1)
 
@@ -46,14 +51,31 @@ def _targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> D
     return level.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("share") * F.col("w")).alias("target"))
 
 
-def _within(rows: DataFrame, tables: Tables, name: str) -> DataFrame:
+def _rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """`targets` with `rate` and `certain_over`: sizes above are certain, smaller ones have probability rate x size.
+
+    With sizes from large to small, a size is certain while the rate that all larger ones leave gives it 1 or more.
+    Windows run over distinct sizes, not documents.
+    """
+    key = targets.select(F.col("source").alias("h_source"), "room", "budget")
+    sizes = sizes.where("size > 0").join(key, F.col("source").eqNullSafe(F.col("h_source"))).where("size <= room")
+    whole = F.col("size").cast("decimal(18,0)")
+    larger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    up_to = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.col("budget") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0)).cast("double")
+    squares = F.sum((F.col("n") * whole).cast("decimal(19,0)") * whole).over(up_to).cast("double")
+    rated = sizes.select("source", "size", (left / squares).alias("rate"))
+    best = rated.where("rate * size < 1").groupBy("source").agg(F.max(F.struct("size", "rate")).alias("top"))
+    best = best.select(F.col("source").alias("b_source"), F.col("top.size").alias("top"), F.col("top.rate").alias("rate"))
+    return targets.join(best, F.col("source").eqNullSafe(F.col("b_source")), "left").drop("b_source").withColumn("certain_over", F.coalesce("top", F.lit(0))).drop("top")
+
+
+def _within(rows: DataFrame) -> DataFrame:
     """`rows` with `drawn`: whether the sizes up to a row, in order of rank in its source, stay within `room`."""
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("b_size"), F.first("room").alias("b_room"))
     upto = Window.partitionBy("source").orderBy("bucket")
-    ends = tables.write(
-        sums.withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
-        .select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "b_before", (F.col("b_before") + F.col("b_size") <= F.col("b_room")).alias("b_whole"), (F.col("b_before") >= F.col("b_room")).alias("b_none")),
-        name,
+    ends = sums.withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size")).select(
+        F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "b_before", (F.col("b_before") + F.col("b_size") <= F.col("b_room")).alias("b_whole"), (F.col("b_before") >= F.col("b_room")).alias("b_none")
     )
     placed = rows.join(ends, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
     inside = Window.partitionBy("source", "bucket").orderBy("rank", F.col("doc_id").asc_nulls_last(), "row")
@@ -61,11 +83,27 @@ def _within(rows: DataFrame, tables: Tables, name: str) -> DataFrame:
     return placed.where("b_whole or b_none").withColumn("drawn", F.col("b_whole")).unionByName(split.drop("sum_to")).drop("e_source", "e_bucket", "b_before", "b_whole", "b_none")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", fill: bool = False) -> DataFrame:
-    """One row per input row: id, size, source_size, target, taken, copies (whole copies in the mix).
+def _tail(open_: DataFrame, most: int) -> DataFrame:
+    """(source, row, size): what the draw takes of `open_`, whose rooms are at most `most` words.
+
+    Of equal sizes those of lower rank are taken, at most room / size of them: per source no more than some
+    room x log(room) documents meet in one row, however many fit.
+    """
+    by_size = Window.partitionBy("source", "size").orderBy("rank", F.col("doc_id").asc_nulls_last(), "row")
+    few = open_.withColumn("nth", F.row_number().over(by_size)).where(F.col("nth") <= most).where("nth * size <= room")
+    listed = few.groupBy("source").agg(F.first("room").alias("room"), F.array_sort(F.collect_list(F.struct("rank", F.col("doc_id").isNull().alias("last"), "doc_id", "row", "size"))).alias("docs"))
+    kept = "array<struct<row:bigint,size:bigint>>"
+    start = F.struct(F.col("room").alias("room"), F.array().cast(kept).alias("kept"))
+
+    def take(a, x):
+        one = F.array(F.struct(x["row"].alias("row"), x["size"].alias("size"))).cast(kept)
+        return F.when(x["size"] <= a["room"], F.struct((a["room"] - x["size"]).alias("room"), F.concat(a["kept"], one).alias("kept"))).otherwise(a)
 
-    `fill`: behind a document that overflows the budget the draw goes on with those that fit, until none does; the
-    query of the contract, like its SQL, ends the draw there.
+    return listed.select("source", F.explode(F.aggregate("docs", start, take, lambda a: a["kept"])).alias("k")).select("source", "k.row", "k.size")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken, copies (whole copies in the mix).
 
     Size is the number of words (null or empty text: 0). Null sources form the last source. A source of size 0
     has target 0. Ties in rank go to the smaller id, null ids last; repeated rows are separate documents. An
@@ -78,43 +116,41 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
         .withColumns({"u": draw, "row": F.monotonically_increasing_id()}),
         "sized",
     )
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = tables.write(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    sources = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     ratio = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    targets = tables.write(
-        _targets(sources, weights, max_repeat)
-        .withColumn("copies", F.floor(ratio))
-        .withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size"))
-        .withColumn("odds", F.try_divide(F.col("budget"), F.col("source_size") - F.col("budget"))),
-        "targets",
-    )
-    key = targets.select(F.col("source").alias("t_source"), "source_size", "target", "copies", "budget", "odds")
-    with_target = sized.join(key, F.col("source").eqNullSafe(F.col("t_source")))
-    # Within a source the Pareto rank rises with u, so buckets of u are buckets of rank.
-    ranked = with_target.select("doc_id", "row", "source", "size", "source_size", "target", "copies", "budget", F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds")).alias("rank"), F.floor(F.col("u") * BUCKETS).alias("bucket"))
-    # A document of the end bucket past the budget stays out, even if a smaller one behind it would fit.
-    drawn = tables.write(_within(ranked.withColumn("room", F.col("budget")), tables, "ends").drop("room"), "drawn")
-    turn = 0
-    while fill:
-        room = drawn.groupBy("source").agg((F.first("budget") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0))).alias("room")).select(F.col("source").alias("r_source"), "room")
-        fitting = drawn.where("not drawn and size > 0").drop("drawn").join(room, F.col("source").eqNullSafe(F.col("r_source"))).where("size <= room").drop("r_source")
-        more = tables.write(_within(fitting, tables, f"ends{turn}").where("drawn").select(F.col("row").alias("m_row")), f"more{turn}")
-        if more.isEmpty():
-            break
-        drawn = tables.write(drawn.join(more, F.col("row") == F.col("m_row"), "left").withColumn("drawn", F.col("drawn") | F.col("m_row").isNotNull()).drop("m_row"), f"drawn{turn}")
-        turn += 1
-    left = drawn.groupBy("source").agg(
-        (F.first("budget") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0))).alias("gap")
-    ).select(F.col("source").alias("l_source"), "gap")
-    unused = drawn.where("not drawn and size > 0").join(left, F.col("source").eqNullSafe(F.col("l_source")))
+    targets = _targets(sources, weights, max_repeat).withColumn("copies", F.floor(ratio)).withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("room", F.floor("budget"))
+    plan = tables.write(_rates(sizes, targets), "plan")
+    rates = plan.select(F.col("source").alias("t_source"), "room", "rate", "certain_over")
+    p = F.col("rate") * F.col("size")
+    rank = F.when(F.col("size") > F.col("certain_over"), 0.0).otherwise((F.col("u") / (1 - F.col("u"))) / (p / (1 - p)))
+    open_ = sized.where("size > 0").join(rates, F.col("source").eqNullSafe(F.col("t_source"))).where("size <= room")
+    open_ = open_.select("doc_id", "row", "source", "size", "room", rank.alias("rank")).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS))
+    names, most = [], TAIL_ROOM + 1
+    while most > TAIL_ROOM:  # what does not fit is passed over: the next turn goes on with what fits in the room that is left
+        n = len(names)
+        turn = tables.write(_within(open_), f"turn{n}")
+        left = turn.groupBy("source").agg((F.first("room") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("room"))
+        left = left.select(F.col("source").alias("r_source"), "room")
+        names.append(f"turn{n}")
+        open_ = turn.where("not drawn").drop("drawn", "room").join(left, F.col("source").eqNullSafe(F.col("r_source"))).where("size <= room").drop("r_source")
+        most = left.agg(F.max("room")).first()[0] or 0
+    drawn = tables.read(names, f"doc_id {docs.schema[id_col].dataType.simpleString()}, row long, source string, size long, drawn boolean").where("drawn")
+    taken = tables.write(drawn.select("source", "row", "size").union(_tail(open_, most)), "taken")
+    used = taken.groupBy("source").agg(F.sum("size").alias("words")).select(F.col("source").alias("u_source"), "words")
+    gaps = plan.join(used, F.col("source").eqNullSafe(F.col("u_source")), "left").select(F.col("source").alias("g_source"), (F.col("budget") - F.coalesce("words", F.lit(0))).alias("gap"))
+    unused = sized.where("size > 0").join(taken.select("row"), "row", "left_anti").join(gaps, F.col("source").eqNullSafe(F.col("g_source")))
     closest = (
         unused.groupBy("source", "gap")
-        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), "rank", F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("c"))
+        .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("c"))
         .where("c.miss < gap")
-        .select(F.col("c.row").alias("c_row"))
+        .select(F.col("c.row").alias("row"))
     )
-    done = drawn.join(closest, F.col("row") == F.col("c_row"), "left")
-    copies = (F.col("copies") + (F.col("drawn") | F.col("c_row").isNotNull()).cast("int")).cast("long")
-    copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1).cast("long"))
+    more = taken.select("row").union(closest).select(F.col("row").alias("m_row"))
+    tables.drop("sizes", *names)
+    key = plan.select(F.col("source").alias("t_source"), "source_size", "target", "copies")
+    done = sized.join(more, F.col("row") == F.col("m_row"), "left").join(key, F.col("source").eqNullSafe(F.col("t_source")))
+    copies = F.when(F.col("size") > 0, F.col("copies") + F.col("m_row").isNotNull().cast("int")).otherwise(1).cast("long")
     return done.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("row").alias("row_number"))
 
 
@@ -153,16 +189,30 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS copies FROM t
 ), t3 AS (
   SELECT *, target - copies * source_size AS budget FROM t2
-), k AS (
-  SELECT d.doc_id, d.source, d.size, source_size, target, copies, budget,
-         (u / (1 - u)) / (budget / nullif(source_size - budget, 0)) AS rank, u
+), e AS (
+  SELECT d.doc_id, d.source, d.size, u, source_size, target, copies, budget, floor(budget)::BIGINT AS room
   FROM d JOIN t3 ON d.source IS NOT DISTINCT FROM t3.source
+), h AS (
+  SELECT source, size, any_value(budget) AS budget, count(*) AS n FROM e WHERE size > 0 AND size <= room GROUP BY source, size
+), q AS (
+  SELECT source, size, (budget - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING))::DOUBLE AS rate FROM h
+), o AS (
+  SELECT source, max(size) AS top, arg_max(rate, size) AS rate FROM q WHERE rate * size < 1 GROUP BY source
+), k AS (
+  SELECT e.source, doc_id, size, room, CASE WHEN size > coalesce(top, 0) THEN 0 ELSE (u / (1 - u)) / (rate * size / (1 - rate * size)) END AS rank
+  FROM e LEFT JOIN o ON e.source IS NOT DISTINCT FROM o.source WHERE size > 0 AND size <= room
+), y AS (
+  SELECT source, list_reduce(
+    [{'room': any_value(room), 'size': 0::BIGINT, 'ids': []::BIGINT[]}] || list({'room': 0::BIGINT, 'size': size, 'ids': [doc_id]} ORDER BY rank, doc_id),
+    lambda a, x: CASE WHEN x.size <= a.room THEN {'room': a.room - x.size, 'size': 0::BIGINT, 'ids': a.ids || x.ids} ELSE a END).ids AS ids
+  FROM k GROUP BY source
 ), z AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) <= budget AS drawn FROM k
+  SELECT e.*, coalesce(list_contains(ids, doc_id), false) AS drawn FROM e LEFT JOIN y ON e.source IS NOT DISTINCT FROM y.source
 ), g AS (
   SELECT source, any_value(budget) - coalesce(sum(size) FILTER (drawn), 0) AS gap FROM z GROUP BY source
 ), f AS (
-  SELECT arg_min(doc_id, {'miss': abs(size - gap), 'rank': rank, 'id': doc_id}) AS pick, min(abs(size - gap)) AS miss, any_value(gap) AS gap
+  SELECT arg_min(doc_id, {'miss': abs(size - gap), 'id': doc_id}) AS pick, min(abs(size - gap)) AS miss, any_value(gap) AS gap
   FROM z JOIN g ON z.source IS NOT DISTINCT FROM g.source WHERE NOT drawn AND size > 0 GROUP BY z.source
 )
 SELECT doc_id, size, source_size, target,
