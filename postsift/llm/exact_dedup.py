@@ -10,15 +10,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, normalised
+from .support import Tables, drop_rows, normalised
 
 BLOCK_BITS = 32_768  # what bitmap_construct_agg holds
-#: Counters a row, and blocks at most: the bitmaps stay under 64 MB. Beyond, the filter lets more rows through.
-COUNTERS_A_ROW, MAX_BLOCKS = 16, 16_384
-#: Bitmaps of up to so many bytes are broadcast; larger ones are joined by shuffling 24-byte rows.
+COUNTERS_A_ROW = 16
+#: Bitmaps of up to so many bytes, those of some 33 million rows, are broadcast; larger ones are joined by shuffling
+#: narrow rows, in SALTS parts a block.
 BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
@@ -43,7 +43,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "digests",
     )
     rows = max(1, digests.count())
-    blocks = min(MAX_BLOCKS, max(1, math.ceil(rows * COUNTERS_A_ROW / BLOCK_BITS)))
+    blocks = max(1, math.ceil(rows * COUNTERS_A_ROW / BLOCK_BITS))
     placed = digests.withColumns({
         "block": F.pmod(F.xxhash64("sha"), F.lit(blocks)),
         "p1": F.pmod(F.xxhash64("sha", F.lit(1)), F.lit(BLOCK_BITS)).cast("int"),
@@ -53,8 +53,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = counters.where("n >= 2").groupBy("block").agg(F.bitmap_construct_agg(F.col("p").cast("long")).alias("bitmap"))
     bitmaps = tables.write(repeated, "bitmaps")
     if blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES:
-        bitmaps = F.broadcast(bitmaps)
-    tested = placed.join(bitmaps, "block", "left")
+        tested = placed.join(F.broadcast(bitmaps), "block", "left")
+    else:  # a text with many copies is one block's
+        salted = bitmaps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        tested = placed.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["block", "salt"], "left")
     maybe = F.coalesce(_bit(F.col("bitmap"), F.col("p1")) & _bit(F.col("bitmap"), F.col("p2")), F.lit(False))
     tested = tables.write(tested.select("doc_id", "sha", "row", maybe.alias("maybe")), "tested")
     tables.drop("digests")
@@ -81,12 +83,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that exact_dedup drops, all columns kept; rows that repeat an id and a text stay once."""
-    found = exact_dedup(docs, id_col, text_col)
-    stay = found.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept")).where("_kept")
-    with_sha = docs.withColumn("_own", F.sha2(normalised(F.col(text_col)), 256))
-    joined = with_sha.join(stay, with_sha[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
-    once = Window.partitionBy(F.col("_id"), F.col("_sha")).orderBy(F.col("_id"))
-    return joined.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
+    found = exact_dedup(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), "kept")
+    keys = {"id": F.col(f"`{id_col}`"), "sha": F.sha2(normalised(F.col(f"`{text_col}`")), 256)}
+    return drop_rows(docs, keys, found, Tables(docs.sparkSession, "exact"))
 
 
 SQL = r"""

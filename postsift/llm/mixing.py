@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import WORD_CLASS, Tables
+from .support import WORD_CLASS, Tables, free_names
 
 BUCKETS = 4096
 #: Words of room up to which a source's draw is finished in one pass.
@@ -160,10 +160,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Copies of a document are equal rows. Ids are expected to be unique; rows that share an id share their copies' sum.
     """
     id_col = options.get("id_col", "doc_id")
-    found = mix_sources(docs, **options).groupBy(F.col(id_col).alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id"))).where("_copies > 0")
-    each = F.greatest(F.lit(1), F.floor(F.col("_copies") / F.col("_rows")).cast("int"))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), each))).select(*[docs[c] for c in docs.columns])
+    key, copies, rows, nth = free_names(docs, "key", "copies", "rows", "nth")
+    found = mix_sources(docs, **options).groupBy(F.col(id_col).alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    joined = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(key))).where(F.col(copies) > 0)
+    each = F.greatest(F.lit(1), F.floor(F.col(copies) / F.col(rows)).cast("int"))
+    return joined.withColumn(nth, F.explode(F.sequence(F.lit(1), each))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, bound_batches, connected_components
+from .support import Tables, bound_batches, connected_components, drop_rows
 
 BITS = 64
 #: Distinct fingerprints of a bucket that one task searches: 32 KB.
@@ -159,9 +159,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> Data
 
     Rows with a null id stay. Of rows that repeat a kept id the first by their columns' digest stays.
     """
-    found = simhash_components(docs, id_col=id_col, **options)
-    heads = found.where(F.col("component_id") == F.col(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"))
-    joined = docs.join(heads, docs[id_col] == F.col("_id"))
-    once = Window.partitionBy("_id").orderBy(F.when(F.col("_rows") > 1, F.xxhash64(*[docs[c] for c in docs.columns])))
-    kept = joined.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select(*[docs[c] for c in docs.columns])
-    return kept.union(docs.where(docs[id_col].isNull()))
+    found = simhash_components(docs, id_col=id_col, **options).where(F.col(id_col).isNotNull())
+    decided = found.select(F.col(id_col).alias("id"), (F.col("component_id") == F.col(id_col)).alias("kept"))
+    return drop_rows(docs, {"id": F.col(f"`{id_col}`")}, decided, Tables(docs.sparkSession, "copies"))

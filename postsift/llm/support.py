@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import Tables
+from ..tables import Tables, broadcast_if_small
 
 #: ASCII white space, the separator of words in every operator here.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -28,12 +30,15 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def hash_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """About `rows` rows, those whose key hashes lowest, and never over twice as many; all of a smaller table.
 
-    Tasks return their own share only, where ordering by the hash would have each send `rows` rows.
+    Rows without a key go by their other columns. Tasks return their own share only, where ordering by the hash
+    would have each send `rows` rows; which rows stay does not depend on their order of arrival.
     """
     n = df.count()
     if n <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int(rows / n * (1 << 40))).limit(2 * rows)
+    others = [c for c in df.columns if c != key]
+    place = F.pmod(F.when(F.col(key).isNull(), F.xxhash64(*others)).otherwise(F.xxhash64(key)), F.lit(1 << 40))
+    return df.where(place < int(rows / n * (1 << 40))).orderBy(place, *others).limit(2 * rows)
 
 
 def plain(frame: pd.DataFrame) -> pd.DataFrame:
@@ -42,6 +47,41 @@ def plain(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype(odd) if odd else frame
 
 
+def free_names(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names that are no columns of `docs`, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def drop_rows(docs: DataFrame, keys: dict[str, Column], decided: DataFrame, tables: Tables) -> DataFrame:
+    """`docs` without the rows whose keys `decided` (the keys by their names, kept: one row each) keeps nowhere.
+
+    Rows that repeat a kept key stay once: the first by their columns' digest. Only keys that go or repeat are sent;
+    where they are few no text moves. Keys that are not in `decided` stay.
+    """
+    names = free_names(docs, *keys, "nth")
+    own = [F.col(n) for n in names[:-1]]
+    told = decided.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    t_keys = free_names(docs, *[f"t_{k}" for k in keys])
+    told = tables.write(told.withColumnsRenamed(dict(zip(keys, t_keys, strict=True))), "told")
+    same = reduce(lambda a, b: a & b, [mine.eqNullSafe(F.col(t)) for mine, t in zip(own, t_keys, strict=True)])
+    keyed = docs.withColumns(dict(zip(names, keys.values(), strict=False)))
+    left = keyed.join(broadcast_if_small(told.where("not kept").select(*t_keys)), same, "left_anti")
+    again = told.where("kept").select(*t_keys)
+    if not again.isEmpty():
+        again = broadcast_if_small(again)
+        digest = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+        once = left.join(again, same, "left_semi").withColumn(names[-1], F.row_number().over(Window.partitionBy(*own).orderBy(digest)))
+        left = left.join(again, same, "left_anti").unionByName(once.where(F.col(names[-1]) == 1).drop(names[-1]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 # --- vectorised words ---------------------------------------------------------------------------
 
 _IS_SPACE = np.zeros(256, bool)
