@@ -4,7 +4,8 @@ Two GRUs read the bytes of a segment, one from each end; at every position a lin
 the languages' probabilities. A document's probabilities are the mean over all its positions that hold letters
 (ASCII letters and bytes of 128 and over). Long texts are cut into segments of SEGMENT bytes, each read with
 MARGIN further bytes on both sides as context, so every byte of every text is labelled once. The network is fitted by back-propagation through
-time on segments of a bounded sample of rows with a language (SAMPLE_ROWS, a parameter).
+time on a bounded sample of rows with a language (SAMPLE_ROWS, a parameter); every step draws segments of
+TRAIN_BYTES bytes from anywhere in their whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .support import bound_batches, hash_sample, in_chunks, plain
 #: Labelled rows that the fit uses, about: those of the smallest hash of their id.
 SAMPLE_ROWS = 4000
 UNITS, SEGMENT, MARGIN = 12, 112, 8
-STEPS, BATCH, TRAIN_BYTES, SAMPLE_BYTES = 300, 192, 64, 2048
+STEPS, BATCH, TRAIN_BYTES = 300, 192, 64
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
@@ -150,7 +151,7 @@ def predict(net: BiGru, texts: list[str | None], rows_at_once: int = 1024) -> np
         d, s = doc[at : at + rows_at_once], start[at : at + rows_at_once]
         place = s[None, :] + offset
         there = (place >= 0) & (place < size[d][None, :])
-        codes = np.where(there, flat[np.where(there, place + base[d][None, :], 0)], 256)
+        codes = np.where(there, flat[np.where(there, place + base[d][None, :], 0)], np.int16(256))
         use = there & own & np.append(_LETTER, False)[codes]
         p = net.probabilities(codes)[MARGIN:-MARGIN]
         use = use[MARGIN:-MARGIN]
@@ -195,11 +196,9 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     known = hash_sample(rows.where("not held_out and lang is not null"), sample_rows).where("text is not null")
-    # Where in its text a sampled row is read also follows from its id; the network sees at most SAMPLE_BYTES of it.
-    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - SAMPLE_BYTES)).cast("int") + 1
-    sample = known.select(F.xxhash64("doc_id").alias("h"), F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"), "lang")
-    found = sorted((r["h"], r["text"], r["lang"]) for r in sample.collect())  # about sample_rows x SAMPLE_BYTES
-    net = train([(text, lang) for _, text, lang in found], steps)
+    found = known.select("text", "lang").collect()  # at most 2 x sample_rows whole texts
+    found = sorted((r["text"], r["lang"]) for r in found)
+    net = train(found, steps)
     sent = spark.sparkContext.broadcast(net)
     id_type = docs.schema[id_col].dataType.simpleString()
     labelled = rows.select("doc_id", "held_out", "text").mapInPandas(_labeller(sent), f"doc_id {id_type}, held_out boolean, lang_pred string, score double")
