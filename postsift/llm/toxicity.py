@@ -3,8 +3,9 @@
 Terms are lower-cased words and, for longer words, their first four and five bytes, hashed into buckets. The machine is
 score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the distinct terms of a text; the pair term learns what
 terms mean together. It is fitted in numpy on a bounded sample of labelled rows (SAMPLE_ROWS, a parameter), over
-the buckets whose presence differs between the classes by a likelihood-ratio test; all others carry no weight, so
-a long text of ordinary words is not pushed either way. Every row's whole text is then scored.
+the buckets whose presence differs between the classes by a likelihood-ratio test, by itself or among the rows that
+hold a bucket chosen by itself; all others carry no weight, so a long text of ordinary words is not pushed either
+way. Every row's whole text is then scored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .support import Words, bound_batches, hash_sample, in_chunks, mix64, plain
 BUCKET_BITS = 20
 #: Labelled rows that the fit uses, about: those of the smallest hash of their id.
 SAMPLE_ROWS = 8_000
-FACTORS, EPOCHS, SCREEN, MAX_TERMS = 4, 30, 12.0, 8192
+FACTORS, EPOCHS = 4, 30
+#: Least likelihood ratio of a term by itself, and of one beside another: those tests are many more.
+SCREEN, PAIR_SCREEN = 12.0, 36.0
 _NOT_LETTERS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -74,6 +77,21 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
+def _gain(buckets: np.ndarray, toxic: np.ndarray, n: int, positives: int) -> tuple[np.ndarray, np.ndarray]:
+    """(likelihood ratio of presence against class, rows that hold it) of each bucket; (buckets, toxic): one a row and bucket."""
+    in_toxic = np.bincount(buckets[toxic], minlength=1 << BUCKET_BITS).astype(float)
+    in_clean = np.bincount(buckets[~toxic], minlength=1 << BUCKET_BITS).astype(float)
+    at = np.flatnonzero(in_toxic + in_clean)
+    yes, no, base = in_toxic[at], in_clean[at], positives / n
+    seen, gain = yes + no, np.zeros(1 << BUCKET_BITS)
+
+    def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
+
+    gain[at] = 2 * (part(yes, seen * base) + part(no, seen * (1 - base)) + part(positives - yes, (n - seen) * base) + part(n - positives - no, (n - seen) * (1 - base)))
+    return gain, in_toxic + in_clean
+
+
 def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> FactorizationMachine:
     """Screening, then Adagrad on log loss; no rows or one class only: the machine is its bias."""
     n, positives = len(labels), int(labels.sum())
@@ -83,17 +101,20 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Factoriza
         return FactorizationMachine(slot, np.zeros(0), np.zeros((0, FACTORS)), bias)
     docs = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
     flat = np.concatenate(terms)
-    in_toxic = np.bincount(flat[labels[docs] == 1], minlength=1 << BUCKET_BITS).astype(float)
-    in_clean = np.bincount(flat[labels[docs] == 0], minlength=1 << BUCKET_BITS).astype(float)
-    base = positives / n
-
-    def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
-
-    seen = in_toxic + in_clean
-    gain = 2 * (part(in_toxic, seen * base) + part(in_clean, seen * (1 - base)) + part(positives - in_toxic, (n - seen) * base) + part(n - positives - in_clean, (n - seen) * (1 - base)))
-    chosen = np.flatnonzero((gain > SCREEN) & (seen >= 3))
-    chosen = np.sort(chosen[np.argsort(-gain[chosen], kind="stable")[:MAX_TERMS]])
+    first = np.searchsorted(docs, np.arange(n + 1))
+    gain, seen = _gain(flat, labels[docs] == 1, n, positives)
+    chosen = (gain > SCREEN) & (seen >= 3)
+    holders = flat[chosen[flat]], docs[chosen[flat]]
+    by = np.argsort(holders[0], kind="stable")
+    paired = np.zeros_like(chosen)
+    for rows in np.split(holders[1][by], np.flatnonzero(np.diff(holders[0][by])) + 1) if len(by) else []:
+        toxic = int(labels[rows].sum())
+        if 0 < toxic < len(rows):  # what else tells the classes apart among the rows of one chosen term
+            sizes = first[rows + 1] - first[rows]
+            at = np.repeat(first[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            beside, counts = _gain(flat[at], labels[docs[at]] == 1, len(rows), toxic)
+            paired |= (beside > PAIR_SCREEN) & (counts >= 3)
+    chosen = np.flatnonzero(chosen | paired)
     slot[chosen] = np.arange(len(chosen))
     keep = slot[flat] >= 0
     docs, slots = docs[keep], slot[flat[keep]].astype(np.int64)
@@ -162,7 +183,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: fl
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
     model = train(rows.where("not held_out").select("doc_id", "text"), labels.select("doc_id", "toxic").where(~F.coalesce(held_out, F.lit(False))), sample_rows)
-    sent = spark.sparkContext.broadcast(model)  # 4 MB of slots and at most MAX_TERMS rows
+    sent = spark.sparkContext.broadcast(model)  # 4 MB of slots, and a row for each term that the sample's tests chose
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInPandas(_scorer(sent), f"doc_id {id_type}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("doc_id", id_col)
