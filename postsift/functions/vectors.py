@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,10 @@ def min_max(value: Column) -> Column:
     whole = Window.partitionBy()
     low, high = F.min(value).over(whole), F.max(value).over(whole)
     return F.when(high == low, F.lit(1.0)).otherwise((value - low) / (high - low))
+
+
+def scaled(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """`rows` with `name`: as min_max, for tables of any size; the bounds are one row that every task gets."""
+    bounds = rows.agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    share = F.when(F.col("_high") == F.col("_low"), F.lit(1.0)).otherwise((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn(name, share).drop("_low", "_high")

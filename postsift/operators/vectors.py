@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_even, post_text, terms
 from ..functions.vectors import cosine, squared_distance
-from ..tables import broadcast_if_small
+from ..tables import chunks_of
+
+#: Vectors of a chunk that is broadcast.
+CHUNK_ROWS = 10_000
 
 
 def embed_posts(posts: DataFrame, dimensions: int = 256) -> DataFrame:
@@ -37,23 +43,24 @@ def cluster(rows: DataFrame, k: int = 10, seed: int = 42, tries: int = 10, itera
 
 
 def centroids(rows: DataFrame) -> DataFrame:
-    """(cluster_id, size, centroid): element-wise means, aggregated before the shuffle per (cluster, dimension)."""
-    each = rows.select("cluster_id", F.posexplode("embedding").alias("dim", "x"))
-    means = each.groupBy("cluster_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
-    listed = means.groupBy("cluster_id").agg(F.max("n").alias("size"), F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    return listed.select("cluster_id", "size", F.transform("v", lambda e: e["x"]).alias("centroid"))
+    """(cluster_id, size, centroid): element-wise means of vectors of one length; a task sends one vector a cluster."""
+    whole = rows.where("size(embedding) > 0").select("cluster_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    means = whole.groupBy("cluster_id").agg(F.count("*").alias("size"), Summarizer.mean(F.col("v")).alias("v"))
+    return means.select("cluster_id", "size", vector_to_array("v").alias("centroid"))
 
 
 def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, distance): the k smallest squared distances, ties to the smaller id; exact.
 
-    `queries` (query_id, vector) is the stated, small side: it is broadcast while its size allows, so the index is
-    read once and neither side shuffles before each task has cut its rows to k a query.
+    `queries` (query_id, vector) is the stated side: it is broadcast in chunks of bounded size, so the index is read
+    once a chunk and neither side shuffles before each task has cut its rows to k a query.
     """
-    pairs = index.select("id", F.col("embedding").alias("_e")).crossJoin(broadcast_if_small(queries.select("query_id", F.col("embedding").alias("_q")), 10_000))
-    scored = pairs.select("query_id", "id", squared_distance(F.col("_q"), F.col("_e")).alias("distance"))
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    order, found = Window.partitionBy("query_id").orderBy("distance", "id"), []
+    for some in chunks_of(queries.select("query_id", F.col("embedding").alias("_q")), "query_id", CHUNK_ROWS):
+        pairs = index.select("id", F.col("embedding").alias("_e")).crossJoin(F.broadcast(some))
+        scored = pairs.select("query_id", "id", squared_distance(F.col("_q"), F.col("_e")).alias("distance"))
+        found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance"))
+    return reduce(DataFrame.union, found)
 
 
 def max_similarity(items: DataFrame, history: DataFrame, key: str = "cluster_id", vector: str = "centroid") -> DataFrame:
@@ -61,8 +68,9 @@ def max_similarity(items: DataFrame, history: DataFrame, key: str = "cluster_id"
 
     Both sides are one row a cluster of a run; the history is capped by its writer.
     """
-    pairs = items.select(key, F.col(vector).alias("_a")).crossJoin(broadcast_if_small(history.select(F.col("vector").alias("_b")), 10_000))
-    best = pairs.groupBy(key).agg(F.max(cosine(F.col("_a"), F.col("_b"))).alias("max_similarity"))
+    own = items.select(key, F.col(vector).alias("_a"))
+    parts = [own.crossJoin(F.broadcast(some)).select(key, cosine(F.col("_a"), F.col("_b")).alias("s")) for some in chunks_of(history.select(F.col("vector").alias("_b")), "_b", CHUNK_ROWS)]
+    best = reduce(DataFrame.union, parts).groupBy(key).agg(F.max("s").alias("max_similarity"))
     return items.select(key).join(best, key, "left")
 
 

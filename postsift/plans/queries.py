@@ -586,7 +586,7 @@ def post_schema(spark, sf):
 
 @query(f"WITH {POSTS}, n AS (SELECT min(score) AS lo, max(score) AS hi FROM posts) SELECT id, (score - lo) / (hi - lo) AS s FROM posts, n")
 def min_max_scale(spark, sf):
-    return posts(spark, sf).select("id", vec.min_max(F.col("score")).alias("s"))
+    return vec.scaled(posts(spark, sf).select("id", "score"), "score", "s").select("id", "s")
 
 
 # --- whole plans --------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import wtp_score
 from ..functions.text import half_even, post_text, truncate_to_tokens
 from ..operators import cleaning, dedupe, ranking, scoring, vectors
-from ..tables import spread
+from ..tables import Tables, spread
 from . import providers
 
 
@@ -73,6 +73,17 @@ def estimate(posts: DataFrame, prices: DataFrame, settings: Settings = Settings(
     return embed.crossJoin(price).withColumn("total_cost_usd", F.col("embed_cost_usd") + F.col("summary_cost_usd"))
 
 
+def statistics(posts: DataFrame, cleaned: DataFrame, deduped: DataFrame, clusters: DataFrame, embed_cost: float, summary_cost: float, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
+    """One row about a run: rows after each step, costs to four digits, and the weights of the priority."""
+    steps = {"total_posts": posts, "after_cleaning": cleaned, "after_dedup": deduped, "num_clusters": clusters}
+    counts = None
+    for name, rows in steps.items():
+        one = rows.agg(F.count("*").alias(name))  # one row each
+        counts = one if counts is None else counts.crossJoin(F.broadcast(one))
+    costs = {"embeddings_cost_usd": embed_cost, "summary_cost_usd": summary_cost, "total_cost_usd": embed_cost + summary_cost}
+    return counts.select("*", *[F.lit(round(v, 4)).alias(k) for k, v in costs.items()], F.struct(*[F.lit(w).alias(k) for k, w in weights.items()]).alias("priority_weights"))
+
+
 def score_clusters(posts: DataFrame, summary: DataFrame, trends: DataFrame | None = None, fits: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:
     """One row a cluster with every score. `posts` has cluster_id, pos and wtp_signals; `summary` one row a cluster."""
     stats = scoring.cluster_stats(posts)
@@ -104,7 +115,7 @@ def scan(posts: DataFrame, settings: Settings = Settings(), heavy: providers.Com
     """Insights of `posts` (POST schema and pos), ranked. `history` is (vector) of past centroids."""
     embedded = posts if "embedding" in posts.columns else vectors.embed_posts(posts)
     clustered = embedded if "cluster_id" in posts.columns else vectors.cluster(embedded, settings.clusters)
-    tagged = cleaning.enrich_wtp(spread(clustered), examples=False).persist()
+    tagged = Tables(posts.sparkSession, "scan").write(cleaning.enrich_wtp(spread(clustered), examples=False), "tagged")  # read by several plans below
     ordered = ranking.tiers(scoring.cluster_stats(tagged).withColumn("heuristic_score", scoring.heuristic_pain()), settings.heavy_top_k)
     scored = score_clusters(tagged, summarize(tagged, ordered, settings, heavy, light))
     insights = scored.join(vectors.centroids(tagged).select("cluster_id", F.col("centroid").alias("embedding")), "cluster_id").join(ranking.examples(tagged), "cluster_id")

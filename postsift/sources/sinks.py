@@ -11,6 +11,11 @@ def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> Non
     (out.partitionBy(partition_by) if partition_by else out).json(path)
 
 
+def write_dumps(posts: DataFrame, folder: str, stamp: str) -> None:
+    """Raw posts, one folder a source: `dump=posts_<source>_<stamp>.json`."""
+    write_json(posts.withColumn("dump", F.concat(F.lit("posts_"), "source", F.lit(f"_{stamp}.json"))), folder, "dump")
+
+
 def _joined(names: str, separator: str = ", ") -> Column:
     return F.array_join(F.filter(F.coalesce(F.col(names), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")), separator)
 

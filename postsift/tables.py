@@ -82,6 +82,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def chunks_of(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
+    """`df` in parts of about `rows` rows, by a hash of `key`: each small enough to be broadcast."""
+    parts = max(1, -(-df.count() // rows))
+    return [df] if parts == 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint when it has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
