@@ -77,13 +77,13 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
-def _gain(buckets: np.ndarray, toxic: np.ndarray, n: int, positives: int) -> tuple[np.ndarray, np.ndarray]:
-    """(likelihood ratio of presence against class, rows that hold it) of each bucket; (buckets, toxic): one a row and bucket."""
-    in_toxic = np.bincount(buckets[toxic], minlength=1 << BUCKET_BITS).astype(float)
-    in_clean = np.bincount(buckets[~toxic], minlength=1 << BUCKET_BITS).astype(float)
+def _gain(terms: np.ndarray, toxic: np.ndarray, n: int, positives: int, size: int = 1 << BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(likelihood ratio of presence against class, rows that hold it) of each term under `size`; (terms, toxic): one a row and term."""
+    in_toxic = np.bincount(terms[toxic], minlength=size).astype(float)
+    in_clean = np.bincount(terms[~toxic], minlength=size).astype(float)
     at = np.flatnonzero(in_toxic + in_clean)
     yes, no, base = in_toxic[at], in_clean[at], positives / n
-    seen, gain = yes + no, np.zeros(1 << BUCKET_BITS)
+    seen, gain = yes + no, np.zeros(size)
 
     def part(k: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(expected, 1e-9)), 0)
@@ -100,9 +100,9 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Factoriza
     if not positives or positives == n:
         return FactorizationMachine(slot, np.zeros(0), np.zeros((0, FACTORS)), bias)
     docs = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-    flat = np.concatenate(terms)
+    own, flat = np.unique(np.concatenate(terms), return_inverse=True)  # the terms that occur, numbered
     first = np.searchsorted(docs, np.arange(n + 1))
-    gain, seen = _gain(flat, labels[docs] == 1, n, positives)
+    gain, seen = _gain(flat, labels[docs] == 1, n, positives, len(own))
     chosen = (gain > SCREEN) & (seen >= 3)
     holders = flat[chosen[flat]], docs[chosen[flat]]
     by = np.argsort(holders[0], kind="stable")
@@ -112,12 +112,13 @@ def fit(terms: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Factoriza
         if 0 < toxic < len(rows):  # what else tells the classes apart among the rows of one chosen term
             sizes = first[rows + 1] - first[rows]
             at = np.repeat(first[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            beside, counts = _gain(flat[at], labels[docs[at]] == 1, len(rows), toxic)
+            beside, counts = _gain(flat[at], labels[docs[at]] == 1, len(rows), toxic, len(own))
             paired |= (beside > PAIR_SCREEN) & (counts >= 3)
     chosen = np.flatnonzero(chosen | paired)
-    slot[chosen] = np.arange(len(chosen))
-    keep = slot[flat] >= 0
-    docs, slots = docs[keep], slot[flat[keep]].astype(np.int64)
+    slot[own[chosen]] = np.arange(len(chosen))
+    slots = slot[own][flat]
+    keep = slots >= 0
+    docs, slots = docs[keep], slots[keep].astype(np.int64)
     first = np.searchsorted(docs, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     machine = FactorizationMachine(slot, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)), bias)
