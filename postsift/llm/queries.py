@@ -1,4 +1,4 @@
-"""The ten operators as queries over their whole tables, in the digest form of their contracts."""
+"""The operators as queries over their whole tables, in the digest form of their contracts."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_extract, language_id, lm_scoring, mixing, packing, simhash, substring_dedup, topk, toxicity
+from . import centroid_clusters, exact_dedup, html_extract, importance, language_id, lm_scoring, mixing, packing, quality, simhash, substring_dedup, topk, toxicity
 
 
 def tokenizer_path() -> str:
@@ -65,6 +65,18 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.centroid_clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_toxicity,
         op10_topk_search,
+        op11_importance_resampling,
+        op12_centroid_clustering,
+        op13_quality_rules,
     )
 }
 #: The others (fingerprints by XXH64, DOM alignment, tokenizer ids, trained models) have no SQL form.
@@ -87,4 +102,7 @@ ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op8_lm_scoring": lm_scoring.SQL,
     "op10_topk_search": topk.SQL,
+    "op11_importance_resampling": importance.SQL,
+    "op12_centroid_clustering": centroid_clusters.SQL,
+    "op13_quality_rules": quality.SQL,
 }
