@@ -2,20 +2,27 @@
 
 Matches are equal identity hashes, equal content hashes, titles of indel similarity 90 or more, and token sets of
 Jaccard similarity 0.7 or more. Rows meet through nodes (a hash, a title, a token set), and only different nodes
-are compared, so a thousand equal rows are one node and never pairs. Rounds decide rows until none is open: a row
-with an earlier kept match goes, one with no earlier kept or open match stays. The outcome is that of reading the
-rows in order, however they are partitioned.
+are compared, so a thousand equal rows are one node and never pairs. Rows that share no node and have no link stay
+at once. The others fall into components of the graph of matches; a task reads the rows of a component in order, and
+components too large for one task are decided in rounds: a row with an earlier kept match goes, one with no earlier
+kept or open match stays. The outcome is that of reading all rows in order, however they are partitioned.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..functions.text import content_hash, identity_hash, token_set
 from ..tables import Tables
+from .graph import connected_components
+from .pairs import indel_ratio, jaccard_pairs, similar_titles
+
+__all__ = ["drop_known", "exact_first", "greedy_dedupe", "indel_ratio", "jaccard_pairs", "similar_titles"]
+
+#: Rows and links of a component that one task decides; a larger one is decided in rounds.
+GROUP_ROWS = 500_000
 
 
 def exact_first(rows: DataFrame, key: Column, pos: str = "pos") -> DataFrame:
@@ -29,118 +36,91 @@ def drop_known(posts: DataFrame, history: DataFrame) -> DataFrame:
     return posts.withColumn("hash", identity_hash(F.col("id"), F.col("url"))).join(history.select("hash").distinct(), "hash", "left_anti")
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity) with a < b of `sets` (node, tokens: distinct); exact, by prefix filter.
-
-    Tokens are ordered from rare to frequent. Two sets as similar as the threshold share a token among the first
-    n - ceil(threshold n) + 1 of each, so only those meet; the frequent ones never do. Of the tokens that two sets
-    need to share, all but one lie behind the first that they do, which bounds its rank in both.
-    """
-    sized = sets.where(F.size("tokens") > 0).select("node", "tokens", F.size("tokens").alias("n"))
-    each = sized.select("node", "n", F.explode("tokens").alias("token"))
-    ordered = each.join(each.groupBy("token").agg(F.count("*").alias("df")), "token")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
-    prefix = ordered.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("token", "node", "n", "rank")
-    left, right = (prefix.select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("rank").alias(f"r{x}")) for x in "ab")
-    needed = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    fits = (F.col("ra") <= F.col("na") - needed + 1) & (F.col("rb") <= F.col("nb") - needed + 1)
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & fits).select("a", "b").distinct()
-    first, second = sized.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), sized.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    scored = met.join(first, "a").join(second, "b").withColumn("shared", shared)
-    return scored.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def _common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows in one integer."""
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        hit = row & masks.get(c, 0)
-        row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """100 x twice the common subsequence over both lengths; equal strings: 100."""
-    return 100.0 if a == b else 200.0 * _common(a, b) / (len(a) + len(b))
-
-
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def similar_titles(titles: DataFrame, threshold: int = 90) -> DataFrame:
-    """(a, b) with a < b of `titles` (node, title: distinct) of indel ratio >= threshold; exact.
-
-    With ratio r the lengths allow d = (1 - r)(la + lb) edits, each of which spoils at most three trigrams. Trigrams
-    are ordered from rare to frequent; titles with d edits between them share one among their first 3d + 1. Titles
-    of under five characters match only if equal, and then they are one node.
-    """
-    slack = 1 - threshold / 100
-    title = titles.where(F.length("title") >= 5).select("node", "title", F.length("title").alias("n"))
-    grams = title.select("node", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - 2), lambda i: F.substring(F.col("title"), i, F.lit(3)))).alias("gram"))
-    counted = grams.groupBy("node", "n", "gram").agg(F.count("*").alias("times")).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
-    ordered = counted.join(counted.groupBy("gram", "nth").agg(F.count("*").alias("df")), ["gram", "nth"])
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "gram", "nth"))
-    # The longer title has at most n (1 + slack) / (1 - slack) characters, so this bounds d for any partner.
-    edits = F.floor(F.col("n") * (1 + (1 + slack) / (1 - slack)) * slack + 1e-9)
-    prefix = ordered.withColumn("rank", rank).where(F.col("rank") <= 3 * edits + 1).select("gram", "nth", "node", "n")
-    left, right = prefix.select("gram", "nth", F.col("node").alias("a"), F.col("n").alias("na")), prefix.select("gram", "nth", F.col("node").alias("b"), F.col("n").alias("nb"))
-    fits = 2 * F.least("na", "nb") >= threshold / 100 * (F.col("na") + F.col("nb"))
-    met = left.join(right, ["gram", "nth"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    named = met.join(title.select(F.col("node").alias("a"), F.col("title").alias("ta")), "a").join(title.select(F.col("node").alias("b"), F.col("title").alias("tb")), "b")
-    # An indel distance is at least the edit distance, whose banded form runs in the JVM and leaves few pairs for Python.
-    allowed = F.floor((F.length("ta") + F.length("tb")) * slack + 1e-9).cast("int")
-    close = named.withColumn("allowed", allowed).where("levenshtein(ta, tb, allowed) >= 0")
-    return close.where(_ratio("ta", "tb") >= threshold).select("a", "b")
-
-
-def greedy_dedupe(posts: DataFrame, history: DataFrame | None = None, cross_source: bool = True, title_threshold: int = 90, set_threshold: float = 0.7) -> DataFrame:
-    """`posts` (with `pos`, unique) without rows that match an earlier kept row, or a hash of `history`.
-
-    `cross_source` False leaves out content hashes and token sets. All columns are kept; order is by `pos`.
-    """
-    tables = Tables(posts.sparkSession, "dedupe")
-    known = posts if history is None else drop_known(posts, history).drop("hash")
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    keyed = tables.write(
-        known.select(
-            "pos",
-            identity_hash(F.col("id"), F.col("url")).alias("h"),
-            content_hash(F.col("title"), F.col("body")).alias("c"),
-            F.lower("title").alias("title"),
-            F.array_sort(token_set(text)).alias("tokens"),
-        ).withColumns({"t": F.md5(F.col("title")), "s": F.md5(F.array_join("tokens", " "))}),
-        "keyed",
-    )
-    titles = keyed.groupBy(F.col("t").alias("node")).agg(F.first("title").alias("title"))
-    links = [similar_titles(titles, title_threshold).select(F.concat(F.lit("t:"), "a").alias("a"), F.concat(F.lit("t:"), "b").alias("b"))]
-    kinds = [("h", F.lit(True)), ("t", F.lit(True))]
-    if cross_source:
-        sets = keyed.groupBy(F.col("s").alias("node")).agg(F.first("tokens").alias("tokens"))
-        links.append(jaccard_pairs(sets, set_threshold).select(F.concat(F.lit("s:"), "a").alias("a"), F.concat(F.lit("s:"), "b").alias("b")))
-        kinds += [("c", F.lit(True)), ("s", F.size("tokens") > 0)]
-    both = links[0] if len(links) == 1 else links[0].union(links[1])
-    edges = tables.write(both.union(both.select("b", "a")).select("a", "b"), "edges")
-    nodes = F.array_compact(F.array(*[F.when(when, F.concat(F.lit(f"{k}:"), F.col(k))) for k, when in kinds]))
-    member = tables.write(keyed.select("pos", F.explode(nodes).alias("node")), "member")
+def _decide(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """(pos, kept) of a component: rows in order; a row that stays blocks its nodes and those that they link to."""
+    near: dict[int, list[int]] = {}
+    for a, b in zip(links["a"].tolist(), links["b"].tolist(), strict=True):
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    nodes: dict[int, list[int]] = {}
+    for pos, node in zip(members["pos"].tolist(), members["node"].tolist(), strict=True):
+        nodes.setdefault(pos, []).append(node)
+    blocked: set[int] = set()
+    out = []
+    for pos in sorted(nodes):
+        kept = blocked.isdisjoint(nodes[pos])
+        out.append((pos, kept))
+        if kept:
+            for node in nodes[pos]:
+                if node not in blocked:
+                    blocked.add(node)
+                    blocked.update(near.get(node, ()))
+    return pd.DataFrame(out, columns=["pos", "kept"])
+
+
+def _rounds(member: DataFrame, links: DataFrame, tables: Tables) -> DataFrame:
+    """(pos, kept) of rows by rounds over nodes; each round is a written table."""
     own = member.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
-    reach = tables.write(edges.union(own), "reach")  # node a is matched by the rows of node b
-    state = tables.write(keyed.select("pos", F.lit(None).cast("boolean").alias("kept")), "state0")
-    turn = 0
+    reach = tables.write(links.union(links.select("b", "a")).union(own), "reach")  # node a is matched by the rows of node b
+    state, turn = tables.write(member.select("pos").distinct().withColumn("kept", F.lit(None).cast("boolean")), "state0"), 0
     while state.where("kept is null").limit(1).count():
         rows = member.join(state, "pos")
         firsts = rows.groupBy("node").agg(F.min(F.when(F.col("kept"), F.col("pos"))).alias("kept_pos"), F.min(F.when(F.col("kept").isNull(), F.col("pos"))).alias("open_pos"))
         near = reach.join(firsts, reach["b"] == firsts["node"]).groupBy("a").agg(F.min("kept_pos").alias("kept_pos"), F.min("open_pos").alias("open_pos"))
         seen = rows.where("kept is null").join(near, F.col("node") == F.col("a")).groupBy("pos").agg(F.min("kept_pos").alias("kept_pos"), F.min("open_pos").alias("open_pos"))
         decided = seen.select("pos", F.when(F.col("kept_pos") < F.col("pos"), False).when(F.col("open_pos") >= F.col("pos"), True).alias("now"))
-        after = state.join(decided, "pos", "left").select("pos", F.coalesce("kept", "now").alias("kept"))
         turn += 1
-        after = tables.write(after, f"state{turn}")
+        after = tables.write(state.join(decided, "pos", "left").select("pos", F.coalesce("kept", "now").alias("kept")), f"state{turn}")
         tables.drop(f"state{turn - 1}")
         state = after
-    return known.join(state.where("kept").select("pos"), "pos", "left_semi")
+    return state
+
+
+def greedy_dedupe(
+    posts: DataFrame, history: DataFrame | None = None, cross_source: bool = True, title_threshold: int = 90, set_threshold: float = 0.7, group_rows: int = GROUP_ROWS
+) -> DataFrame:
+    """`posts` (with `pos`: integer, unique) without rows that match an earlier kept row, or a hash of `history`.
+
+    `cross_source` False leaves out content hashes and token sets. All columns are kept; order is by `pos`. A null
+    title has no title to match; a row without tokens matches by none.
+    """
+    tables = Tables(posts.sparkSession, "dedupe")
+    known = posts if history is None else drop_known(posts, history).drop("hash")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    keyed = known.select(
+        F.col("pos").cast("long").alias("pos"),
+        identity_hash(F.col("id"), F.col("url")).alias("h"),
+        content_hash(F.col("title"), F.col("body")).alias("c"),
+        F.lower("title").alias("title"),
+        F.array_sort(token_set(text)).alias("tokens"),
+    )
+    keyed = tables.write(keyed.withColumns({"t": F.md5(F.col("title")), "s": F.when(F.size("tokens") > 0, F.md5(F.array_join("tokens", " ")))}), "keyed")
+    kinds = ["h", "t", "c", "s"] if cross_source else ["h", "t"]
+    # A node is a kind and a value, numbered by the first row that has it: 4 pos + kind.
+    each = keyed.select("pos", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("value")) for i, k in enumerate(kinds)])).alias("x")).select("pos", "x.*").where("value is not null")
+    nodes = tables.write(each.groupBy("kind", "value").agg((4 * F.min("pos") + F.col("kind")).alias("node"), F.count("*").alias("n")), "nodes")
+    titles = keyed.where("t is not null").groupBy("t").agg((4 * F.min("pos") + 1).alias("node"), F.first("title").alias("title"))
+    links = similar_titles(titles.select("node", "title"), title_threshold)
+    if cross_source:
+        sets = keyed.where("s is not null").groupBy("s").agg((4 * F.min("pos") + 3).alias("node"), F.min_by("tokens", "pos").alias("tokens"))
+        links = links.union(jaccard_pairs(sets.select("node", "tokens"), set_threshold).select("a", "b"))
+    links = tables.write(links, "links")
+
+    linked = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("linked", F.lit(True))
+    shared = nodes.join(linked, "node", "left").where("n > 1 or linked").select("kind", "value", "node")
+    member = tables.write(each.join(shared, ["kind", "value"]).select("pos", "node"), "member")
+    first = lambda c: F.floor(F.col(c) / 4).cast("long")  # noqa: E731  the row that numbers a node
+    roots = tables.write(connected_components(member.select(F.col("pos").alias("a"), first("node").alias("b")).union(links.select(first("a"), first("b"))), tables), "roots")
+    roots = roots.withColumnRenamed("node", "row")
+    rooted = tables.write(member.join(roots, F.col("pos") == F.col("row")).select("root", "pos", "node"), "rooted")
+    tied = tables.write(links.join(roots, first("a") == F.col("row")).select("root", "a", "b"), "tied")
+    sizes = rooted.select("root").union(tied.select("root")).groupBy("root").count()
+    large = tables.write(sizes.where(F.col("count") > group_rows).select("root"), "large")
+    small_rows, small_links = rooted.join(large, "root", "left_anti"), tied.join(large, "root", "left_anti")
+    decided = small_rows.groupBy("root").cogroup(small_links.groupBy("root")).applyInPandas(_decide, "pos long, kept boolean")
+    gone = tables.write(decided.where("not kept").select("pos"), "gone")
+    if not large.isEmpty():
+        big_rows = tables.write(rooted.join(large, "root", "left_semi").select("pos", "node"), "big_member")
+        big_links = tables.write(tied.join(large, "root", "left_semi").select("a", "b"), "big_links")
+        gone = gone.union(_rounds(big_rows, big_links, tables).where("not kept").select("pos"))
+    return known.join(gone.withColumnRenamed("pos", "_gone"), F.col("pos") == F.col("_gone"), "left_anti")

@@ -232,7 +232,7 @@ def history_anti_join(spark, sf):
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.w = b.w AND a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY 1, 2)
 SELECT a, b, round_even(c / (na + nb - c) * 1e6, 0) / 1e6 AS similarity FROM p WHERE c / (na + nb - c) >= 0.7""")
 def jaccard_pairs(spark, sf):
-    sets = _t(spark, sf, "documents").select(F.col("doc_id").alias("node"), text.token_set(F.col("text")).alias("tokens"))
+    sets = spread(_t(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("node"), text.token_set(F.col("text")).alias("tokens"))
     return dedupe.jaccard_pairs(sets).select("a", "b", text.half_even(F.col("similarity"), 6).alias("similarity"))
 
 
@@ -244,7 +244,7 @@ def fuzzy_titles(spark, sf):
 
 @query()
 def dedupe_greedy(spark, sf):
-    return dedupe.greedy_dedupe(posts(spark, sf)).select("id", "pos")
+    return dedupe.greedy_dedupe(spread(posts(spark, sf))).select("id", "pos")
 
 
 # --- joins --------------------------------------------------------------------------------------
