@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import spread
+from ..tables import spread, with_ranks
 from .support import Tables
 
 BUCKETS = 10_000
@@ -63,20 +63,6 @@ def gain_table(documents: DataFrame, target: DataFrame, buckets: int) -> DataFra
     return both.select("bucket", F.floor(1000 * F.log(ratio)).cast("long").alias("gain"))
 
 
-def with_ranks(rows: DataFrame, order: list[Column], tables: Tables, name: str = "sorted") -> DataFrame:
-    """`rows` with `rank` (1, 2, 3, ...) in `order`: a sort by ranges, and an offset a partition; no row meets all others."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    # The id numbers the rows of a partition in their order: partition in the upper 31 bits, row in the lower 33.
-    laid = tables.write(placed.withColumn("place", F.monotonically_increasing_id()), name)
-    part = F.shiftright("place", 33)
-    sizes = laid.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))  # one row a partition
-    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    numbered = laid.withColumn("part", part).join(F.broadcast(offsets), "part")
-    rank = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1) + 1
-    return numbered.withColumn("rank", rank).drop("part", "place", "before")
-
-
 def resample(
     docs: DataFrame, target: DataFrame, percent: int = 10, n: int = 1, buckets: int = BUCKETS, seed: int = 2024, min_words: int = 20,
     id_col: str = "doc_id", text_col: str = "text", target_col: str = "text",

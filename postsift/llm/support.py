@@ -10,8 +10,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from ..tables import Tables, broadcast_if_small
 
+__all__ = ["Tables", "broadcast_if_small", "connected_components"]
+
 #: ASCII white space, the separator of words in every operator here.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -217,36 +220,6 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return out
 
 
-# --- connected components -----------------------------------------------------------------------
-
-
-def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root) for each node of `edges` (a, b: long); root is the component's smallest node.
-
-    Alternating large-star and small-star rounds. Each round is a written table, so no lineage grows and
-    nothing but a count and a checksum of a round reaches the driver.
-    """
-    spark = edges.sparkSession
-    oriented = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    current, mark, turn = tables.write(oriented, "cc0"), None, 0
-    while True:
-        both = current.union(current.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        middle = tables.write(large, f"cc{turn}_large")
-        low = middle.groupBy("u").agg(F.min("v").alias("m"))
-        small = middle.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        after = tables.write(small, f"cc{turn + 1}")
-        seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        tables.drop(f"cc{turn}", f"cc{turn}_large")
-        current, turn = after, turn + 1
-        if seen == mark:
-            break
-        mark = seen
-    roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
-
-
 def normalised(text: Column) -> Column:
     """Null as empty; each run of white space as one space."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")

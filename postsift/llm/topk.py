@@ -27,6 +27,7 @@ PIVOTS = 64
 QUERY_BYTES = 8 << 20
 EXACT = 2**53
 LONG = 2**63
+LARGEST = 1.7976931348623157e308
 
 
 def _padded(vectors: list, width: int) -> np.ndarray:
@@ -174,7 +175,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     Vectors that are null or hold a null, NaN or infinite component take no part, nor do rows with a null id;
     shorter vectors count as padded with zeros. Ties go to the smaller id. A row that repeats the query's id is
     the query's own; of query rows that share an id the smallest vector asks. With fewer than k candidates all
-    are returned; an empty table gives an empty result. Scores beyond the range of long saturate. Other columns are not read.
+    are returned; an empty table gives an empty result. Scores beyond the range of long saturate, and components that
+    the scale takes beyond the range of double count as its largest value. Other columns are not read.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -183,7 +185,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     whole = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False)))
 
     def lower(x: Column) -> Column:  # doubles from 2**53 on are whole, and may not fit a long
-        scaled = x.cast("double") * scale
+        scaled = F.greatest(F.least(x.cast("double") * scale, F.lit(LARGEST)), F.lit(-LARGEST))
         return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)
 
     lowered = F.transform(F.col(vector_col), lower)

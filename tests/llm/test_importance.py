@@ -8,10 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from postsift.llm import importance
-from postsift.tables import Tables
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -62,22 +60,3 @@ def test_empty_tables(spark):
     assert importance.resample(none, some).count() == 0
     assert Counter(map(tuple, importance.resample(some, none, 50, min_words=0).collect())) == plain([(1, "a b"), (2, "a")], [], 50, 1, 10_000, 0)
     assert [r.doc_id for r in importance.drawn_documents(some, none, 50, min_words=0).collect()] in ([1], [2])
-
-
-def test_ranks_split_a_repeated_row_over_tasks(spark):
-    rows = spark.range(0, 4000, 1, 6).select((F.col("id") % 2 * 5).alias("score"), F.col("id").alias("row"))
-    ranked = importance.with_ranks(rows, [F.col("score").desc(), F.col("row").asc()], Tables(spark, "ranks"))
-    found = ranked.orderBy("rank").collect()
-    assert [r["rank"] for r in found] == list(range(1, 4001))
-    assert [(-r.score, r.row) for r in found] == sorted((-r.score, r.row) for r in found)
-
-
-def test_ranks_go_over_partitions(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        tables = Tables(spark, "ranks")
-        ranked = importance.with_ranks(spark.range(4000).select(F.lit(1).alias("score"), F.col("id").alias("row")), [F.col("score").desc(), F.col("row").asc()], tables)
-        assert [r["rank"] for r in ranked.orderBy("row").collect()] == list(range(1, 4001))
-        assert spark.read.parquet(f"{tables.root}/sorted").select(F.shiftright("place", 33)).distinct().count() > 1
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -12,13 +12,13 @@ def test_stages_by_their_operators(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact dedup", "SimHash near-dedup", "mixing sources", "packing"]
-    from postsift.llm import exact_dedup, mixing, simhash, toxicity
+    from postsift.llm import exact_dedup, mixing, near_copies, toxicity
 
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     kept = {
         "toxicity": lambda d: d.join(toxicity.toxicity(d, labels, queries.fold(4) == 2).where("predicted = 0"), "doc_id", "left_semi"),
         "exact dedup": lambda d: d.join(exact_dedup.exact_dedup(d).where("kept"), "doc_id", "left_semi"),
-        "SimHash near-dedup": lambda d: d.join(simhash.simhash_components(d).where("doc_id = component_id"), "doc_id", "left_semi"),
+        "SimHash near-dedup": lambda d: d.join(near_copies.near_components(d).where("doc_id = component_id"), "doc_id", "left_semi"),
         "mixing sources": lambda d: d.join(mixing.mix_sources(d).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "copies"))), "doc_id"),
     }
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):

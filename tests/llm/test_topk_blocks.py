@@ -56,3 +56,14 @@ def test_blocks_of_alike_documents_are_skipped():
             want = sorted(((-int(s), i) for i, s in enumerate(scores[row]) if i != q))[:5]
             assert [(int(s), int(i)) for s, i in zip(search.best[row], search.best_ids[row], strict=True)] == [(-s, i) for s, i in want]
     assert shares[1] < 0.25 and shares[1] < shares[0] / 2
+
+
+def test_components_that_the_scale_takes_beyond_doubles(spark):
+    rows = [(0, [1e306, 1.0]), (1, [1.0, 0.0]), (2, [-1.7e308, 3.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, 5).collect()
+    top = 2**63
+    assert {(r.query_id, r.vec_id): r.score for r in found} == {
+        (0, 1): top - 1, (0, 4): top - 1, (0, 3): 256 * 512, (0, 2): -top,
+        (2, 3): 768 * 512, (2, 1): -top, (2, 4): -top, (2, 0): -top,
+        (4, 0): top - 1, (4, 3): 256 * 512, (4, 1): 256 * 256, (4, 2): -top,
+    }
