@@ -3,10 +3,12 @@
 Pages of a host are dealt into groups of about GROUP_PAGES. In a group each page's DOM tree is aligned with a
 reference page by simple tree matching. A node whose text is the same on nearly all different pages of the group
 is template; a node whose text varies is a slot. The element that holds most of the varying text of the group is
-the content region, on every page the node that is aligned with it; blocks that nearly all regions begin or end with
-are template too. Elements that HTML itself marks as furniture
-(menus, forms, asides), roles, and names of class or id are left out inside the region; a page without evidence (too
-few different pages, or no region) is bounded by its article or main element, or by such names alone.
+the content region, on every page the node that is aligned with it; all that stands inside it stays, but for elements
+that HTML itself marks as furniture (menus, forms, asides), roles, and names of class or id. A page without evidence
+(too few different pages, or no region) is bounded by its article or main elements, or by such names alone.
+
+Groups follow from the pages' contents, so no partitioning or order of rows changes a text: equal pages share a group,
+and a page that a host has very often is extracted once.
 """
 
 from __future__ import annotations
@@ -20,17 +22,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import Tables, bound_batches, plain
+from .support import Tables, bound_batches, broadcast_if_small, plain
 
 #: Pages that are aligned together; a host with more has several groups.
 GROUP_PAGES = 96
 #: Hosts of up to this number are sent as a broadcast table of (host, groups); more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
+#: Often repeated pages up to this number are joined to their rows by broadcast.
+BROADCAST_TEXTS = 100
 #: A slot's text counts as template from this share of different pages on, of at least TEMPLATE_PAGES.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 3
 #: Share of the varying text that the content region holds, and of all text that varies on a host of different articles.
 REGION_SHARE, VARYING_SHARE = 0.75, 0.2
 
+#: Cells of an alignment table that is kept to be traced back, two bits each; larger ones are halved.
+TRACE_CELLS = 1 << 26
+
 # Fixed values of the HTML standard: void elements, elements of raw text, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math".split())
@@ -60,8 +67,10 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies discus
 CONTENT = frozenset("content article post entry story main body text".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Elements that hold the page itself, whatever they are named.
+PAGE = frozenset(("html", "body"))
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -84,11 +93,15 @@ class Node:
         self.furniture, self.comment, self.named = tag in FURNITURE or tag in RAW, False, False
         self.shape = self.size = 0
         if attributes:
-            found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
+            found: dict[str, str] = {}
+            for m in _ATTRIBUTE.finditer(attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             names, role = _names(found), found.get("role", "").lower()
-            self.comment = _all_of(names, COMMENTS)
             self.named = any(own & CONTENT for own in names) or found.get("itemprop", "") == "articleBody" or role == "main"
-            self.furniture = self.furniture or _all_of(names, NAMES) or role in ROLES or bool(_HIDDEN.search(attributes))
+            if tag not in PAGE:
+                hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDDEN_STYLE.search(found.get("style", "")))
+                self.comment = _all_of(names, COMMENTS)
+                self.furniture = self.furniture or _all_of(names, NAMES) or role in ROLES or hidden
 
 
 def parse(source: str) -> Node:
@@ -133,6 +146,7 @@ def parse(source: str) -> Node:
             at = source.find(">", close.start()) + 1 or end if close else end
         elif tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
             node = new
+    _release(root)
     return root
 
 
@@ -145,6 +159,18 @@ def _nodes(root: Node) -> list[Node]:
     return found
 
 
+def _release(root: Node) -> None:
+    """Forms, and elements whose names tell furniture, are none where they hold an article or main element, or most of the page's text."""
+    nodes, size, holds = _nodes(root), {}, {}
+    for node in reversed(nodes):
+        own = sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        size[id(node)] = 0 if node.tag in RAW else own + sum(size[id(k)] for k in node.kids)
+        holds[id(node)] = any(k.tag in ("article", "main") and not k.comment or holds[id(k)] for k in node.kids) and not node.comment
+    for node in nodes:
+        if node.furniture and (node.tag == "form" or node.tag not in FURNITURE and node.tag not in RAW) and (holds[id(node)] or node.tag == "form" and 2 * size[id(node)] > size[id(root)]):
+            node.furniture = False
+
+
 def _own_text(node: Node) -> str:
     return " ".join(" ".join(p for p in node.parts if isinstance(p, str)).split())
 
@@ -220,6 +246,43 @@ def _fold(weights: list[np.ndarray], steps: bool = False) -> tuple[int, list[tup
     return int(line[-1]), kept
 
 
+def _pairing(weights: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(row, column) pairs of the heaviest order-keeping pairing. Many rows are halved at the column where the two halves' sums are largest, so memory stays bounded."""
+    found, open_ = [], [(0, len(weights), 0, len(weights[0]) if weights else 0)]
+    while open_:
+        top, end, left, right = open_.pop()
+        if (end - top) * (right - left) > TRACE_CELLS and end - top > 1:
+            middle = (top + end) // 2
+            above = _line([w[left:right] for w in weights[top:middle]], right - left)
+            below = _line([w[left:right][::-1] for w in reversed(weights[middle:end])], right - left)[::-1]
+            cut = left + int((above + below).argmax())
+            open_ += [(top, middle, left, cut), (middle, end, cut, right)]
+            continue
+        rows = [w[left:right] for w in weights[top:end]]
+        steps = _fold(rows, True)[1] if right > left else []
+        r, c = len(steps), right - left
+        while r and c:
+            up, beside = steps[r - 1]
+            byte, bit = c - 1 >> 3, 7 - (c - 1 & 7)
+            if up[byte] >> bit & 1:
+                r -= 1
+            elif beside[byte] >> bit & 1:
+                c -= 1
+            else:
+                r, c = r - 1, c - 1
+                found.append((top + r, left + c))
+    return found
+
+
+def _line(weights: list[np.ndarray], width: int) -> np.ndarray:
+    """The heaviest pairing of all rows with the first 0, 1, ... columns."""
+    line = np.zeros(width + 1, np.int64)
+    for row in weights:
+        above, line = line, np.zeros_like(line)
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + row), out=line[1:])
+    return line
+
+
 def match(a: Node, b: Node, memo: dict[tuple[int, int], int]) -> int:
     """Simple tree matching: the most node pairs of an order-keeping, level-keeping alignment of two trees.
 
@@ -251,18 +314,7 @@ def _align(a: Node, b: Node, memo: dict) -> list[tuple[Node, Node]]:
             for x, y in unknown:
                 match(x, y, memo)
             weights = _weights(a, b, memo)[0]
-        steps = _fold(weights, True)[1]
-        r, c = i - low, j - low
-        while r and c:
-            up, left = steps[r - 1]
-            byte, bit = c - 1 >> 3, 7 - (c - 1 & 7)
-            if up[byte] >> bit & 1:
-                r -= 1
-            elif left[byte] >> bit & 1:
-                c -= 1
-            else:
-                r, c = r - 1, c - 1
-                pairs.append((a.kids[low + r], b.kids[low + c]))
+        pairs += [(a.kids[low + r], b.kids[low + c]) for r, c in _pairing(weights)]
     return pairs
 
 
@@ -310,11 +362,8 @@ def _region(reference: Node, pages: list[tuple[Node, dict[int, int], dict[int, s
     region = reference
     while large := [k for k in region.kids if sums[id(k)] >= REGION_SHARE * total]:
         region = large[0]
-    outer = region
-    while outer is not None and outer.tag not in ("article", "main"):
-        outer = outer.parent
-    if outer is not None:
-        return outer
+    while region.parent is not None and sum(k.tag == region.tag == "article" and sums[id(k)] > 0 for k in region.parent.kids) > 1:
+        region = region.parent  # one of several articles
     while region.parent is not None and region.tag not in ("body", "html") and any(k.tag in HEADINGS and sums[id(k)] for k in region.parent.kids):
         region = region.parent  # a varying heading beside it is the article's
     return None if region.tag in ("#root", "html", "body") else region
@@ -388,43 +437,23 @@ def _blocks(root: Node, inside: bool) -> list[tuple[str, int, bool]]:
     return blocks
 
 
-def _main(root: Node) -> tuple[Node, bool]:
-    """The element that bounds the article by its element or name, and whether the page names it."""
+def _main(root: Node) -> tuple[list[Node], bool]:
+    """The elements that bound the article by their element or name, and whether the page names them. Articles side by side all stay."""
     kept, open_ = [], [root]
     while open_:
         node = open_.pop()
         kept.append(node)
-        open_.extend(k for k in reversed(node.kids) if not k.comment and (k.tag not in FURNITURE and k.tag not in RAW) and not (k.furniture and not _holds_article(k)))
+        open_.extend(k for k in reversed(node.kids) if not k.comment and not k.furniture)
 
     def text_size(node: Node) -> int:
         return sum(len(b[0]) for b in _blocks(node, True))
 
-    for named in (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.named and n.tag not in ("body", "html")):
+    for named in (lambda n: n.tag == "article", lambda n: n.tag == "main", lambda n: n.named and n.tag not in PAGE):
         found = [n for n in kept if named(n)]
         if found:
-            return found[0] if len(found) == 1 else max(found, key=text_size), True
-    return root, False
-
-
-def _holds_article(node: Node) -> bool:
-    return any(n.tag in ("article", "main") for n in _nodes(node))
-
-
-def _trim(regions: list[list[tuple[str, int, bool]]]) -> None:
-    """Takes off blocks that nearly all different regions end or begin with; equal regions are one witness.
-
-    What stands between varying blocks is the article's own, and so is a heading that many articles open with.
-    """
-    for end in (-1, 0):
-        witnesses = list({tuple(b[0] for b in blocks): blocks for blocks in regions}.values())
-        while len(witnesses) >= TEMPLATE_PAGES:
-            told = Counter((blocks[end][0], blocks[end][2]) for blocks in witnesses if len(blocks) > 1)
-            (text, heading), n = told.most_common(1)[0] if told else (("", False), 0)
-            if n < TEMPLATE_PAGES or n < TEMPLATE_SHARE * len(witnesses) or heading and end == 0:
-                break
-            for blocks in regions:
-                if len(blocks) > 1 and blocks[end][0] == text:
-                    blocks.pop(end)
+            best = found[0] if len(found) == 1 else max(found, key=text_size)
+            return [n for n in found if n is best or n.tag == best.tag == "article" and n.parent is best.parent], True
+    return [root], False
 
 
 def extract_group(sources: list[str | None]) -> list[str]:
@@ -433,38 +462,56 @@ def extract_group(sources: list[str | None]) -> list[str]:
     regions = induce(pages)
     out = []
     for page, region in zip(pages, regions, strict=True):
-        main, named = (region, True) if region is not None else _main(page)
-        blocks = _blocks(main, named)
+        mains, named = ([region], True) if region is not None else _main(page)
+        blocks = [b for main in mains for b in _blocks(main, named)]
         if not named:  # what is mostly links is a menu
             blocks = [b for b in blocks if b[1] <= 0.6 * len(b[0])]
         out.append(blocks)
-    _trim([blocks for blocks, region in zip(out, regions, strict=True) if region is not None])
     return ["\n".join(b[0] for b in blocks) for blocks in out]
 
 
 def _extract(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["html", "page_id"], kind="stable", na_position="first")  # the order of arrival tells nothing
     texts = extract_group(rows["html"].tolist())
-    return plain(pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}))
+    return plain(pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "host": rows["host"], "digest": rows["digest"], "often": rows["often"], "text": texts, "n_chars": [len(t) for t in texts]}))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
     """One row per input row: id, url, text (blocks joined by a line feed), n_chars.
 
     Null html is empty; a page without main text gives an empty text. Pages with a null url share one host. Rows of
-    a large host are dealt into groups row by row, so repeated rows and rows without id or url spread too; equal pages
-    of a group count once as witnesses. An empty table gives an empty result. Other columns of `pages` are not read.
+    a host are dealt into groups by a hash of their html, so equal pages of a host give equal texts; one that a host
+    has more than `group_pages` times is extracted once, and its text joined to its rows. An empty table gives an
+    empty result. Other columns of `pages` are not read.
     """
     spark = pages.sparkSession
     bound_batches(spark)
     tables = Tables(spark, "html")
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).withColumn("row", F.monotonically_increasing_id())
-    counts = rows.groupBy("host").agg(F.ceil(F.count("*") / group_pages).alias("groups")).where("groups > 1")
-    large = tables.write(counts.select(F.col("host").alias("l_host"), "groups"), "hosts")
+    digest = F.md5(F.coalesce(F.col("html"), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host")).withColumn("digest", digest)
+    copies = tables.write(rows.groupBy("host", "digest").agg(F.count("*").alias("n")), "copies")
+    often = tables.write(copies.where(F.col("n") > group_pages).select(F.col("host").alias("o_host"), F.col("digest").alias("o_digest")), "often")
+    once = copies.groupBy("host").agg(F.ceil(F.sum(F.when(F.col("n") > group_pages, 1).otherwise(F.col("n"))) / group_pages).alias("groups")).where("groups > 1")
+    large = tables.write(once.select(F.col("host").alias("l_host"), "groups"), "hosts")
+    tables.drop("copies")
     if large.count() <= BROADCAST_HOSTS:
         large = F.broadcast(large)
-    dealt = rows.join(large, F.col("host") == F.col("l_host"), "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("groups", F.lit(1)))).select("page_id", "url", "html", "host", "part")
+    is_often = (F.col("host") == F.col("o_host")) & (F.col("digest") == F.col("o_digest"))
+    repeated = not often.isEmpty()
+    single = rows.withColumn("often", F.lit(False))
+    if repeated:
+        known = broadcast_if_small(often)
+        one = rows.join(known, is_often, "left_semi").groupBy("host", "digest").agg(F.first("html").alias("html"))  # equal rows meet before the shuffle
+        nameless = one.select(F.lit(None).cast(pages.schema[id_col].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), "html", "host", "digest", F.lit(True).alias("often"))
+        single = rows.join(known, is_often, "left_anti").withColumn("often", F.lit(False)).unionByName(nameless)
+    dealt = single.join(large, F.col("host") == F.col("l_host"), "left")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.coalesce("groups", F.lit(1)))).drop("l_host", "groups")
     id_type = pages.schema[id_col].dataType.simpleString()
-    out = dealt.groupBy("host", "part").applyInPandas(_extract, f"page_id {id_type}, url string, text string, n_chars long")
-    return out.withColumnsRenamed({"page_id": id_col, "url": url_col})
+    out = dealt.groupBy("host", "part").applyInPandas(_extract, f"page_id {id_type}, url string, host string, digest string, often boolean, text string, n_chars long")
+    names = ["page_id", "url", "text", "n_chars"]
+    if repeated:
+        out = tables.write(out, "texts")
+        told = out.where("often").select(F.col("host").alias("o_host"), F.col("digest").alias("o_digest"), "text", "n_chars")
+        out = out.where("not often").select(*names).unionByName(rows.drop("html").join(broadcast_if_small(told, BROADCAST_TEXTS), is_often).select(*names))
+    return out.select(*names).withColumnsRenamed({"page_id": id_col, "url": url_col})

@@ -83,10 +83,65 @@ def test_a_heading_common_to_articles_stays():
     assert html_extract.extract_group([furnished(i, b) for i, b in enumerate(bodies)]) == [text_of(b) for b in bodies]
 
 
-def test_template_at_the_edge_of_the_region_goes():
-    bodies = [article(i) for i in range(6)]
-    pages = [furnished(i, f"<p>Printed edition</p>{b}<p>Tell a friend about us</p>") for i, b in enumerate(bodies)]
-    assert html_extract.extract_group(pages) == [text_of(b) for b in bodies]
+def test_paragraphs_inside_the_region_stay():
+    """A dateline and a closing sentence that all articles of a host share are part of each, however many pages there are."""
+    for n in (2, 3, 6):
+        bodies = [f"<p>Printed edition</p>{article(i)}<p>Reported by our own staff.</p>" for i in range(n)]
+        found = html_extract.extract_group([page(f"<div class=menu>menu {i}</div><article>{b}</article>") for i, b in enumerate(bodies)])
+        assert found == [text_of(b) for b in bodies]
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<form action=x><div><article><p>The article.</p></article><input name=q></div></form>", "The article."),
+        (f"<form><div><h1>T</h1><p>{'Words of the page. ' * 9}</p></div></form><form><p>search</p></form>", "T\n" + ("Words of the page. " * 9).strip()),
+        ("<main><article><p>first</p></article><div class=ad>buy</div><article><p>second, longer</p></article></main>", "first\nsecond, longer"),
+        ("<article><div data-title='A hidden gem'><p>seen</p></div><p onclick=\"x.style='display:none'\">clicked</p></article>", "seen\nclicked"),
+        ("<article><p hidden>a</p><p style='color:red; display : none'>b</p><p aria-hidden=true>c</p><p aria-hidden=false>d</p></article>", "d"),
+        ("<div class=modal><article><p>in a frame of a bad name</p></article></div>", "in a frame of a bad name"),
+        ("<article><p>text</p></article><div class=comments><article><p>a reader says much more than the text</p></article></div>", "text"),
+        ("<article><p>text</p><aside><article><p>teaser</p></article></aside></article>", "text"),
+    ],
+)
+def test_no_article_is_lost(body, text):
+    assert html_extract.extract_group([page(body)]) == [text]
+
+
+@pytest.mark.parametrize("attributes", ["class='comments open'", "class=menu id=sidebar", "hidden", "style='display:none'", "role=navigation"])
+def test_the_body_is_never_furniture(attributes):
+    assert html_extract.extract_group([f"<html><body {attributes}><article><p>text</p></article></body></html>"]) == ["text"]
+
+
+def test_several_articles_of_aligned_pages_stay():
+    pages = [page(f"<div><a href=x>menu {i}</a></div><div><article><p>Story {i} is told here at length.</p></article><article><p>And story {i * 7} beside it, too.</p></article></div>") for i in range(6)]
+    assert html_extract.extract_group(pages) == [f"Story {i} is told here at length.\nAnd story {i * 7} beside it, too." for i in range(6)]
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 26])
+def test_halved_tables_give_as_heavy_a_pairing(monkeypatch, cells):
+    monkeypatch.setattr(html_extract, "TRACE_CELLS", cells)
+    rng = np.random.default_rng(cells)
+    for _ in range(80):
+        r, c = rng.integers(0, 12), rng.integers(1, 12)
+        weights = [rng.integers(0, 4, c) for _ in range(r)]
+        pairs = sorted(html_extract._pairing(weights))
+        assert all(a < b and x < y for (a, x), (b, y) in zip(pairs, pairs[1:], strict=False))
+        assert sum(int(weights[i][j]) for i, j in pairs) == html_extract._fold(weights)[0]
+
+
+def test_no_partitioning_changes_a_text(spark):
+    """One host, most pages with the same first line, pages that repeat, and one that repeats more often than a group has rows."""
+    rows = [(i, f"http://h/{i}", page(f"<div>menu {i % 7}</div><div><p>{'Same first line' if i % 5 else f'Line {i}'}</p><p>Story {i % 170} goes on.</p></div>")) for i in range(300)]
+    rows += [(1000 + i, "http://h/often", page("<div>menu</div><div><p>Repeated text here.</p></div>")) for i in range(60)] + [(None, None, None)] * 30
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for dealt in (frame.coalesce(1), frame.repartition(6), frame.orderBy(F.rand(5))):
+        out = html_extract.extract_main_text(dealt, group_pages=24).collect()
+        assert len(out) == len(rows)
+        found.append(sorted((r.page_id or -1, r.url or "", r.text, r.n_chars) for r in out))
+    assert found[0] == found[1] == found[2]
+    assert len({t for i, u, t, n in found[0] if u == "http://h/often"}) == 1
 
 
 @pytest.mark.parametrize("name, kept", [("social-history", True), ("related-work", True), ("ad-banner", False), ("siteFooter", False), ("cookie_notice", False), ("related posts", False)])
