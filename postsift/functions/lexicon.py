@@ -5,10 +5,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from .text import half_even
 
@@ -146,19 +144,26 @@ def rule_intent(text: Column, patterns: dict[str, list[str]] = INTENT_PATTERNS)
     return F.when(best["score"] > 0, best["name"])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _snippets(text: pd.Series) -> pd.Series:
-    """Offsets are needed here, which built-in functions do not give. Runs on rows with a signal only."""
-    compiled = [[re.compile(p, re.I) for p in own] for own in WTP_PATTERNS.values()]
+def _snippets(text: Column, patterns: dict[str, list[str]]) -> Column:
+    """Up to three extracts: the first two matches of each kind's first pattern with any, and 30 characters on both sides.
 
-    def of(value: str) -> list[str]:
-        lowered, out = value.lower(), []
-        for own in compiled:
-            hits = next((h for p in own if (h := [m for _, m in zip(range(2), p.finditer(lowered), strict=False)])), [])
-            out += [value[max(0, m.start() - 30) : m.end() + 30].strip() for m in hits]
-        return out[:3]
+    Offsets follow from the pieces between the matches and the matches' own lengths.
+    """
+    lowered = F.lower(text)
+    edges = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+    def shown(start: Column, length: Column) -> Column:
+        low = F.greatest(start - 30, F.lit(0))
+        return F.regexp_replace(F.substring(text, low + 1, start + length + 30 - low), edges, "")
+
+    def of(pattern: str) -> Column:
+        hits, between = F.regexp_extract_all(lowered, F.lit(_java(pattern)), F.lit(0)), F.split(lowered, _java(pattern), 3)
+        first = F.length(F.get(between, F.lit(0)))
+        second = first + F.length(F.get(hits, F.lit(0))) + F.length(F.get(between, F.lit(1)))
+        return F.when(F.size(hits) > 0, F.array_compact(F.array(shown(first, F.length(F.get(hits, F.lit(0)))), F.when(F.size(hits) > 1, shown(second, F.length(F.get(hits, F.lit(1))))))))
 
-    return text.map(lambda v: of(v) if v else [])
+    none = F.array().cast("array<string>")
+    return F.slice(F.concat(*[F.coalesce(*[of(p) for p in own], none) for own in patterns.values()]), 1, 3)
 
 
 def wtp_matches(text: Column, patterns: dict[str, list[str]] = WTP_PATTERNS) -> Column:
@@ -169,13 +174,13 @@ def wtp_matches(text: Column, patterns: dict[str, list[str]] = WTP_PATTERNS) ->
     return F.filter(firsts, lambda x: x["n"].isNotNull())
 
 
-def wtp_signals(matches: Column, text: Column, examples: bool = True) -> Column:
+def wtp_signals(matches: Column, text: Column, examples: bool = True, patterns: dict[str, list[str]] = WTP_PATTERNS) -> Column:
     """struct<has_wtp, signal_types, signal_count, examples> of a column of wtp_matches; types in the lexicon's order.
 
     `matches` should be a column of its own, as it is read more than once.
     """
     total = F.aggregate(matches, F.lit(0), lambda s, x: s + x["n"])
-    shown = F.when(F.size(matches) > 0, _snippets(text)).otherwise(F.array().cast("array<string>")) if examples else F.array().cast("array<string>")
+    shown = F.when(F.size(matches) > 0, _snippets(text, patterns)).otherwise(F.array().cast("array<string>")) if examples else F.array().cast("array<string>")
     return F.struct((F.size(matches) > 0).alias("has_wtp"), F.transform(matches, lambda x: x["name"]).alias("signal_types"), total.cast("int").alias("signal_count"), shown.alias("examples"))
 
 

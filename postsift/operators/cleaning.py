@@ -73,7 +73,7 @@ def filter_intents(posts: DataFrame, allowed: tuple[str, ...] = lexicon.WANTED_I
 def enrich_wtp(posts: DataFrame, patterns: dict[str, list[str]] = lexicon.WTP_PATTERNS, examples: bool = True) -> DataFrame:
     words = joined_text(F.col("title"), F.col("body"))
     matched = posts.withColumn("_matches", lexicon.wtp_matches(words, patterns))
-    return matched.withColumn("wtp_signals", lexicon.wtp_signals(F.col("_matches"), words, examples)).drop("_matches")
+    return matched.withColumn("wtp_signals", lexicon.wtp_signals(F.col("_matches"), words, examples, patterns)).drop("_matches")
 
 
 def filter_wtp(posts: DataFrame) -> DataFrame:

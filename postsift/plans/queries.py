@@ -180,18 +180,6 @@ def intent_rules(spark, sf):
     return cleaning.tag_intent(own).select("id", "intent")
 
 
-@query()
-def wtp_signals(spark, sf):
-    own = _samples(spark).unionByName(spread(posts(spark, sf)).select("id", "title", "body"))
-    s = F.col("wtp_signals")
-    return cleaning.enrich_wtp(own).select("id", s["has_wtp"].alias("has_wtp"), s["signal_types"].alias("signal_types"), s["signal_count"].alias("signal_count"), s["examples"].alias("examples"), lexicon.wtp_score(s).alias("wtp_score"))
-
-
-@query("SELECT 10::BIGINT AS posts, 3::BIGINT AS with_signal, 30.0::DOUBLE AS rate")
-def wtp_rate(spark, sf):
-    return cleaning.wtp_rate(cleaning.enrich_wtp(_samples(spark), examples=False))
-
-
 @query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source")
 def source_frequencies(spark, sf):
     return cleaning.frequencies(_t(spark, sf, "documents"), "source")
@@ -528,26 +516,11 @@ def shift_weeks(spark, sf):
 
 # --- parsing, feeds, sinks ----------------------------------------------------------------------
 
-_RESPONSES = [("a", '{"title": "T", "pain_score_llm": 12}'), ("b", 'Here:\n```json\n{"title": "U", "pain_score_llm": 3}\n```'), ("c", '```\n{"title": "V"}\n```'), ("d", "no json"), ("e", "")]
-
-
-@query("SELECT * FROM (VALUES ('a', 'T', 10.0::DOUBLE), ('b', 'U', 3.0::DOUBLE), ('c', 'V', 5.0::DOUBLE), ('d', NULL, 5.0::DOUBLE), ('e', NULL, 5.0::DOUBLE)) t(id, title, pain)")
-def parse_responses(spark, sf):
-    r = spark.createDataFrame(_RESPONSES, "id string, response string").withColumn("j", parsing.response_json(F.col("response")))
-    return r.select("id", parsing.response_field(F.col("j"), "title", "string").alias("title"), F.coalesce(parsing.clamp(parsing.response_field(F.col("j"), "pain_score_llm", "double"), 1.0, 10.0), F.lit(5.0)).alias("pain"))
-
-
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_keys(props) AS keys FROM events")
 def json_fields(spark, sf):
     return _t(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.json_object_keys("props").alias("keys"))
 
 
-@query("SELECT 'x' AS id, * FROM (VALUES ('monetization_ideas', ['- a', '- b']), ('validation_steps', ['1. call', '* test'])) t(section, items)")
-def exploration_sections(spark, sf):
-    said = "intro\n- lost\n## Monetization\n- a\ntext\n - b\n**Validation**\n1. call\n* test\n"
-    return parsing.exploration_sections(spark.createDataFrame([("x", said)], "id string, said string"), "id", "said")
-
-
 @query("SELECT conv_id, CASE WHEN n % 2 = 0 THEN 'finance_accounting' ELSE 'other' END AS sector FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)")
 def sector_labels(spark, sf):
     n = _t(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
@@ -555,23 +528,6 @@ def sector_labels(spark, sf):
     return n.select("conv_id", parsing.valid_sector(F.lit(None).cast("string"), said).alias("sector"))
 
 
-_FEED = [("hn", '{"objectID":"1","title":"Ask","story_text":"t","created_at_i":100,"points":30,"num_comments":4}'), ("hn", '{"objectID":"2","title":"Low","points":3}')]
-
-
-@query("SELECT * FROM (VALUES ('hn_1', 'hn', 'Ask', 30::BIGINT), ('yt_v', 'rss', 'Video', 1200000::BIGINT), ('se_ux_9', 'se', 'Q', 7::BIGINT), ('gh_5', 'rss', 'o/r', 42::BIGINT), ('r1', 'reddit', 'R', 5::BIGINT)) t(id, source, title, score)")
-def feed_union(spark, sf):
-    rows = lambda *x: spark.createDataFrame([(v, "ux") for v in x], "payload string, site string")
-    found = feeds.union_sources(
-        feeds.hn_posts(rows(*[p for _, p in _FEED])),
-        feeds.youtube_posts(rows('{"id":"v","title":"Video","views":"1.2M views"}', '{"id":"w","title":"Few","views":"12 views"}')),
-        feeds.stackexchange_posts(rows('{"question_id":9,"title":"Q","body":"b","score":7,"answer_count":2}')),
-        feeds.github_posts(rows('{"id":"5","full_name":"o/r","stargazers_count":42,"topics":["a","b"]}', '{"id":"6","full_name":"o/s","stargazers_count":1}')),
-        feeds.reddit_posts(rows('{"id":"r1","title":"R","selftext":"s","score":5,"permalink":"/r/x"}')),
-        feeds.twitter_posts(spark),
-    )
-    return found.select("id", "source", "title", "score")
-
-
 @query(f"WITH {POSTS} SELECT source, count(*) AS n FROM (SELECT source FROM posts WHERE pos % 2 = 0 UNION ALL SELECT source FROM posts WHERE pos % 3 = 0) GROUP BY 1")
 def union_sources(spark, sf):
     p = posts(spark, sf)
@@ -641,12 +597,6 @@ def kmeans(spark, sf):
     return vectors.cluster(e, 10).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query()
-def embed_posts(spark, sf):
-    p = vectors.embed_posts(posts(spark, sf), 64)
-    return p.select("id", F.size("embedding").alias("dimensions"), text.half_even(vec.norm(F.col("embedding")), 4).alias("norm"))
-
-
 @query()
 def summaries(spark, sf):
     c = clustered(spark, sf)

@@ -6,6 +6,8 @@ under the session's shared folder and read back.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,15 +173,18 @@ _KIND = "CASE WHEN n_nationkey % 2 = 0 THEN 'reddit' ELSE 'stackexchange' END"
 
 @query(f"SELECT {_KIND} AS type, n_name AS name, 'cat' || n_regionkey AS category, (n_nationkey + 1)::INT AS max_posts FROM nation UNION ALL SELECT 'quota', 'cat' || r_regionkey, 'cat' || r_regionkey, (r_regionkey * 10)::INT FROM region")
 def sources_config(spark, sf):
-    rows, path = _t(spark, sf, "nation").collect(), _root(spark, "config")  # 25 rows
-    lines = []
+    path, nation = _root(spark, "config"), _t(spark, sf, "nation")
+    line = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    parts = []
     for section, odd, key, size in (("reddit_sources", 0, "name", "max_posts"), ("stackexchange_sources", 1, "site", "max_questions")):
-        lines.append(f"{section}:")
-        for r in rows:
-            if r["n_nationkey"] % 2 == odd:
-                lines += [f"  - {key}: \"{r['n_name']}\"  # a source", f"    category: cat{r['n_regionkey']}", f"    {size}: {r['n_nationkey'] + 1}"]
-    lines += ["# quotas", "category_quotas:", *[f"  cat{r['r_regionkey']}: {r['r_regionkey'] * 10}" for r in _t(spark, sf, "region").collect()]]
-    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+        parts.append(spark.range(1).select(F.lit(2 * odd).alias("part"), F.lit(0).cast("long").alias("at"), F.array(F.lit(f"{section}:")).alias("lines")))
+        said = F.array(line(f'  - {key}: "', F.col("n_name"), '"  # a source'), line("    category: cat", F.col("n_regionkey").cast("string")), line(f"    {size}: ", (F.col("n_nationkey") + 1).cast("string")))
+        parts.append(nation.where(F.col("n_nationkey") % 2 == odd).select(F.lit(2 * odd + 1), F.col("n_nationkey").cast("long"), said))
+    parts.append(spark.range(1).select(F.lit(4), F.lit(0).cast("long"), F.array(F.lit("# quotas"), F.lit("category_quotas:"))))
+    quota = line("  cat", F.col("r_regionkey").cast("string"), ": ", (F.col("r_regionkey") * 10).cast("string"))
+    parts.append(_t(spark, sf, "region").select(F.lit(5), F.col("r_regionkey").cast("long"), F.array(quota)))
+    lines = reduce(DataFrame.union, parts).select("part", "at", F.posexplode("lines").alias("k", "value"))
+    lines.repartition(1).sortWithinPartitions("part", "at", "k").select("value").write.text(path)  # a file of settings
     sources, quotas = files.read_sources_config(spark, path)
     return sources.union(quotas.select(F.lit("quota"), "category", "category", "quota"))
 
