@@ -7,20 +7,17 @@ the same plan runs on fetched pages, on saved dumps and in tests without a netwo
 from __future__ import annotations
 
 import json
-import time
-import urllib.error
 import urllib.parse
-import urllib.request
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.lexicon import any_keyword
 from ..functions.text import iso_epoch, view_count, with_ellipsis
 from ..schemas import POST, as_posts
+from .feed_source import read_feed
 
 
 def _field(path: str, kind: str = "string") -> Column:
@@ -141,11 +138,12 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def isolated(spark: SparkSession, fetch: Callable[[], DataFrame]) -> DataFrame:
-    """What `fetch` returns, or no rows if it fails: one source does not stop the others."""
+    """What `fetch` plans, or no rows if it cannot: one source does not stop the others.
+
+    Nothing is fetched here. What fails later, page by page, is the reader's to pass over (`on_error` skip).
+    """
     try:
-        posts = fetch()
-        posts.limit(1).collect()
-        return posts
+        return fetch()
     except Exception:  # noqa: BLE001  any failure of a feed
         return spark.createDataFrame([], POST)
 
@@ -155,55 +153,16 @@ def booster(spark: SparkSession, reddit: Callable[[], DataFrame], indiehackers:
     return union_sources(isolated(spark, reddit).where(F.col("score") >= min_score), isolated(spark, indiehackers), isolated(spark, nitter))
 
 
-class _Page(InputPartition):
-    def __init__(self, url: str, items: str, extra: str):
-        super().__init__(url)
-        self.url, self.items, self.extra = url, items, extra
-
-
-class _FeedReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = options
-
-    def partitions(self) -> list[_Page]:
-        return [_Page(u, self.options.get("items", ""), self.options.get("site", "")) for u in json.loads(self.options["urls"])]
-
-    def read(self, partition: _Page):
-        for turn in range(int(self.options.get("tries", "3"))):
-            try:
-                request = urllib.request.Request(partition.url, headers={"User-Agent": "postsift"})
-                with urllib.request.urlopen(request, timeout=float(self.options.get("timeout", "30"))) as answer:
-                    found = json.load(answer)
-                break
-            except urllib.error.HTTPError as error:
-                if error.code != 429:
-                    raise
-                time.sleep(float(error.headers.get("Retry-After", 2**turn)))
-        else:
-            raise RuntimeError(f"too many requests: {partition.url}")
-        for name in filter(None, partition.items.split(".")):
-            found = found[name]
-        for item in found:
-            yield json.dumps(item.get("data", item) if isinstance(item, dict) else item), partition.extra
-
-
-class FeedSource(DataSource):
-    """Format `feed`: one partition a URL (option `urls`, a JSON list), rows from the list at `items` of each answer."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "feed"
-
-    def schema(self) -> str:
-        return "payload string, site string"
-
-    def reader(self, schema) -> _FeedReader:
-        return _FeedReader(self.options)
+def subreddit_items(spark: SparkSession, subreddits: list[str], mode: str = "new", limit: int = 1000, **options: str) -> DataFrame:
+    """Items of subreddits, page after page up to `limit` each; one that fails gives what it has."""
+    settings = {"next": "data.after", "cursor": "after", "time": "created_utc", "limit": str(limit), "on_error": "skip"} | ({"order": "newest"} if mode == "new" else {})
+    return read_feed(spark, reddit_urls(subreddits, mode), "data.children", sites=json.dumps(subreddits), **settings | options)
 
 
-def read_feed(spark: SparkSession, urls: list[str], items: str = "", site: str = "") -> DataFrame:
-    spark.dataSource.register(FeedSource)
-    return spark.read.format("feed").options(urls=json.dumps(urls), items=items, site=site).load()
+def nitter_items(spark: SparkSession, queries: list[str], instances: list[str], **options: str) -> DataFrame:
+    """Entries of searches, each from the first of the instances that answers."""
+    urls = ["{mirror}/search/rss?" + urllib.parse.urlencode({"f": "tweets", "q": q}) for q in queries]
+    return read_feed(spark, urls, kind="rss", mirrors=json.dumps(instances), sites=json.dumps(queries), **{"on_error": "skip"} | options)
 
 
 def hn_urls(queries: list[str], min_points: int = 20, since: int | None = None, limit: int = 100) -> list[str]:
