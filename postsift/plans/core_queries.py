@@ -9,6 +9,7 @@ from ..functions import vectors as vec
 from ..operators import cleaning, language, vectors
 from ..operators.index import VectorIndex, build_index
 from ..sources import feeds
+from ..streaming import incremental, stateful
 from ..tables import Tables, spread
 from .queries import ORACLE_SQL, POSTS, _samples, _t, posts, query
 from .table_queries import _ALL, _TITLE, _entries, _entry_sql, _payloads, _quoted, _wtp_sql
@@ -119,3 +120,38 @@ def feed_union(spark, sf):
 def embed_posts(spark, sf):
     p = vectors.embed_posts(posts(spark, sf), 64)
     return p.select("id", F.size("embedding").alias("dimensions"), text.half_even(vec.norm(F.col("embedding")), 4).alias("norm"))
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf, name):
+    """The table as a stream of its files."""
+    return spark.readStream.schema(_t(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+
+
+@query("""SELECT user_id::VARCHAR AS key, event_id AS pos FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
+WHERE previous IS NULL OR epoch_ms(ts) - epoch_ms(previous) > 86400000""")
+def stream_first_sights(spark, sf):
+    """Events of users who were not seen in the day before: state with timers, over all there is now."""
+    with stateful.rocksdb(spark):
+        seen = stateful.first_sights(_stream(spark, sf, "events"), "user_id", "ts", "event_id", "1 day")
+        return stateful.drain(seen, Tables(spark, "sights").root).select("key", "pos")
+
+
+@query("""SELECT event_type AS cluster_id, date_trunc('week', ts)::TIMESTAMP AS week, count(*) AS size FROM events GROUP BY 1, 2
+HAVING date_trunc('week', any_value(ts)) + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_weekly_sizes(spark, sf):
+    """Weeks that the watermark has passed."""
+    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stateful.drain(incremental.weekly_sizes(events, "ts", "event_type"), Tables(spark, "weeks").root)
+
+
+@query(f"WITH {POSTS} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY md5(trim(regexp_replace(lower(title || ' ' || body), '\\s+', ' ', 'g')))) AS n, count(*) OVER (PARTITION BY md5(trim(regexp_replace(lower(title || ' ' || body), '\\s+', ' ', 'g')))) AS many FROM posts) WHERE many = 1")
+def stream_dedupe(spark, sf):
+    """Contents that the stream has once, by its deduplicated rows and the batch's counts."""
+    docs = _stream(spark, sf, "documents")
+    rows = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("id"), F.lit(None).cast("string").alias("url"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"), F.col("doc_id").cast("double").alias("created_ts"))
+    once = stateful.drain(incremental.dedupe_stream(rows, by_content=True).select("id", "hash"), Tables(spark, "once").root)
+    counted = posts(spark, sf).groupBy(text.content_hash(F.col("title"), F.col("body")).alias("hash")).agg(F.count("*").alias("n")).where("n = 1")
+    return once.join(counted, "hash").select("id")

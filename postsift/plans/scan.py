@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import wtp_score
@@ -73,15 +73,27 @@ def estimate(posts: DataFrame, prices: DataFrame, settings: Settings = Settings(
     return embed.crossJoin(price).withColumn("total_cost_usd", F.col("embed_cost_usd") + F.col("summary_cost_usd"))
 
 
-def statistics(posts: DataFrame, cleaned: DataFrame, deduped: DataFrame, clusters: DataFrame, embed_cost: float, summary_cost: float, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
+class Steps:
+    """Counts the rows of a plan's steps as they pass: nothing is run again to be counted."""
+
+    def __init__(self):
+        self._seen: list[Observation] = []
+
+    def seen(self, rows: DataFrame, **steps: Column | None) -> DataFrame:
+        """`rows`, observed: each step counts those that meet its condition, or all."""
+        self._seen.append(Observation())
+        return rows.observe(self._seen[-1], *[(F.count(F.lit(1)) if c is None else F.count_if(c)).alias(name) for name, c in steps.items()])
+
+    def counts(self) -> dict[str, int]:
+        """By step, after an action on what `seen` returned; waits for one that runs."""
+        return {name: n for one in self._seen for name, n in one.get.items()}
+
+
+def statistics(spark: SparkSession, counts: dict[str, int], embed_cost: float, summary_cost: float, weights: dict[str, float] = scoring.WEIGHTS) -> DataFrame:
     """One row about a run: rows after each step, costs to four digits, and the weights of the priority."""
-    steps = {"total_posts": posts, "after_cleaning": cleaned, "after_dedup": deduped, "num_clusters": clusters}
-    counts = None
-    for name, rows in steps.items():
-        one = rows.agg(F.count("*").alias(name))  # one row each
-        counts = one if counts is None else counts.crossJoin(F.broadcast(one))
     costs = {"embeddings_cost_usd": embed_cost, "summary_cost_usd": summary_cost, "total_cost_usd": embed_cost + summary_cost}
-    return counts.select("*", *[F.lit(round(v, 4)).alias(k) for k, v in costs.items()], F.struct(*[F.lit(w).alias(k) for k, w in weights.items()]).alias("priority_weights"))
+    row = [F.lit(n).cast("long").alias(k) for k, n in counts.items()] + [F.lit(round(v, 4)).alias(k) for k, v in costs.items()]
+    return spark.range(1).select(*row, F.struct(*[F.lit(w).alias(k) for k, w in weights.items()]).alias("priority_weights"))
 
 
 def score_clusters(posts: DataFrame, summary: DataFrame, trends: DataFrame | None = None, fits: DataFrame | None = None, sectors: DataFrame | None = None) -> DataFrame:

@@ -424,9 +424,12 @@ def top_scores(spark, sf):
 @query("""WITH d AS (SELECT count(*) AS n, count(*) FILTER (length(text) > 200) AS c, (SELECT count(*) FROM (SELECT DISTINCT source FROM documents)) AS s, count(*) FILTER (length(text) > 200 AND lang = 'en') AS e FROM documents)
 SELECT n AS total_posts, c AS after_cleaning, e AS after_dedup, s AS num_clusters, 0.1235::DOUBLE AS embeddings_cost_usd, 0.5::DOUBLE AS summary_cost_usd, 0.6235::DOUBLE AS total_cost_usd, 0.3::DOUBLE AS pain_weight FROM d""")
 def run_statistics(spark, sf):
-    p = posts(spark, sf)
-    clean = p.where(F.length("body") > 200)
-    found = scan.statistics(p, clean, clean.where("lang = 'en'"), p.select(F.col("source").alias("cluster_id")).distinct(), 0.123456, 0.5)
+    """Rows of each step and of the clusters, counted in one pass over the documents."""
+    steps, long = scan.Steps(), F.length("body") > 200
+    p = steps.seen(posts(spark, sf), total_posts=None, after_cleaning=long, after_dedup=long & (F.col("lang") == "en"))
+    clusters = steps.seen(p.groupBy(F.col("source").alias("cluster_id")).agg(F.count("*").alias("size")), num_clusters=None)
+    clusters.write.format("noop").mode("overwrite").save()
+    found = scan.statistics(spark, steps.counts(), 0.123456, 0.5)
     return found.select("*", F.col("priority_weights.pain").alias("pain_weight")).drop("priority_weights")
 
 
