@@ -4,12 +4,13 @@ Two GRUs read the bytes of a segment, one from each end; at every position a lin
 the languages' probabilities. A document's probabilities are the mean over all its positions that hold letters
 (ASCII letters and bytes of 128 and over). Long texts are cut into segments of SEGMENT bytes, each read with
 MARGIN further bytes on both sides as context, so every byte of every text is labelled once. The network is fitted by back-propagation through
-time on a bounded sample of rows with a language (SAMPLE_ROWS, a parameter); every step draws segments of
-TRAIN_BYTES bytes from anywhere in their whole texts.
+time on a bounded sample of rows with a language (SAMPLE_ROWS, a parameter); tasks draw segments of TRAIN_BYTES bytes
+from anywhere in their whole texts, and every step draws from those.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from .support import bound_batches, hash_sample, in_chunks, plain
 SAMPLE_ROWS = 4000
 UNITS, SEGMENT, MARGIN = 12, 112, 8
 STEPS, BATCH, TRAIN_BYTES = 300, 192, 64
+#: Segments that a text of the sample gives to the fit, at most: 4 KB.
+DRAWN_SEGMENTS = 64
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
@@ -108,9 +111,24 @@ class BiGru:
         return loss, grads
 
 
-def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> BiGru | None:
-    """(text, language) rows -> network by Adam; None without rows. Languages are drawn equally often."""
-    texts = [(np.frombuffer(t.encode("utf-8", "replace"), np.uint8), lang) for t, lang in rows if t]
+def segments_of(text: str) -> list[bytes]:
+    """Up to DRAWN_SEGMENTS runs of TRAIN_BYTES bytes of the whole text, at places that follow from its bytes."""
+    data = text.encode("utf-8", "replace")
+    if len(data) <= TRAIN_BYTES:
+        return [data]
+    rng = np.random.default_rng(zlib.crc32(data))
+    starts = rng.integers(0, len(data) - TRAIN_BYTES + 1, min(DRAWN_SEGMENTS, -(-2 * len(data) // TRAIN_BYTES)))
+    return [data[i : i + TRAIN_BYTES] for i in starts.tolist()]
+
+
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield plain(pd.DataFrame({"digest": rows["digest"], "lang": rows["lang"], "segments": [segments_of(t) for t in rows["text"]]}))
+
+
+def train(rows: list[tuple[list[bytes], str]], steps: int = STEPS, seed: int = 0) -> BiGru | None:
+    """(segments of a text, language) rows -> network by Adam; None without rows. Languages are drawn equally often, then texts."""
+    texts = [([np.frombuffer(x, np.uint8) for x in own], lang) for own, lang in rows if any(own)]
     languages = sorted({lang for _, lang in texts})
     if not languages:
         return None
@@ -121,9 +139,8 @@ def train(rows: list[tuple[str, str]], steps: int = STEPS, seed: int = 0) -> BiG
         labels = rng.integers(0, len(languages), BATCH)
         codes = np.full((TRAIN_BYTES, BATCH), 256, np.int64)
         for i, label in enumerate(labels):
-            data = by[label][rng.integers(len(by[label]))]
-            at = rng.integers(max(1, len(data) - TRAIN_BYTES + 1))
-            part = data[at : at + TRAIN_BYTES]
+            own = by[label][rng.integers(len(by[label]))]
+            part = own[rng.integers(len(own))]
             codes[: len(part), i] = part
         _, grads = net.gradients(codes, labels)
         scale = min(1.0, 1.0 / (np.sqrt(sum(float((g**2).sum()) for g in grads)) + 1e-9))
@@ -195,9 +212,12 @@ def identify_languages(docs: DataFrame, held_out: Column, id_col: str = "doc_id"
     spark = docs.sparkSession
     bound_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
-    known = hash_sample(rows.where("not held_out and lang is not null"), sample_rows).where("text is not null")
-    found = known.select("text", "lang").collect()  # at most 2 x sample_rows whole texts
-    found = sorted((r["text"], r["lang"]) for r in found)
+    known = rows.where("not held_out and lang is not null and text is not null").select("doc_id", "lang", "text", F.xxhash64("text", "lang").alias("digest"))
+    picked = hash_sample(known.select("doc_id", "digest"), sample_rows).distinct().select(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"))
+    taken = known.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest")))  # at most 2 x sample_rows ids
+    # Tasks send segments, some KB a text, and of repeated rows one.
+    drawn = taken.select("digest", "lang", "text").mapInPandas(_draw, "digest long, lang string, segments array<binary>").groupBy("digest").agg(F.min(F.struct("lang", "segments")).alias("r"))
+    found = sorted(([bytes(x) for x in r["segments"]], r["lang"]) for r in drawn.select("r.*").collect())
     net = train(found, steps)
     sent = spark.sparkContext.broadcast(net)
     id_type = docs.schema[id_col].dataType.simpleString()

@@ -51,7 +51,7 @@ def _collect_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in in_chunks(rows["text"].tolist()):
             docs, buckets = _distinct(*_terms(rows["text"].tolist()[a:b]))
             cuts = np.searchsorted(docs, np.arange(b - a + 1))
-            yield pd.DataFrame({"toxic": rows["toxic"].to_numpy()[a:b], "terms": [buckets[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
+            yield pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[a:b], "toxic": rows["toxic"].to_numpy()[a:b], "terms": [buckets[i:j].astype(np.int32).tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
 
 
 class FactorizationMachine:
@@ -153,9 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """`docs` (doc_id, text) and `labels` (doc_id, toxic); rows with a null id or label are left out."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = hash_sample(known, sample_rows)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("toxic", "text")  # at most 2 x sample_rows ids
-    found = rows.mapInPandas(_collect_terms, "toxic int, terms binary").limit(3 * sample_rows).collect()
-    found = sorted((r["toxic"], bytes(r["terms"])) for r in found)
+    rows = docs.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text")  # at most 2 x sample_rows ids
+    # One text an id, the first by its terms: an id with many rows neither grows the sample nor makes it depend on arrival.
+    firsts = rows.mapInPandas(_collect_terms, "doc_id string, toxic int, terms binary").groupBy("doc_id").agg(F.min(F.struct("toxic", "terms")).alias("r"))
+    found = sorted((r["toxic"], bytes(r["terms"])) for r in firsts.select("r.*").collect())
     labels = np.array([y for y, _ in found], np.int64)
     terms = [np.frombuffer(t, np.int32) for _, t in found]
     del found
