@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,10 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import half_even, post_text, terms
 from ..functions.vectors import cosine, squared_distance
-from ..tables import chunks_of
+from ..tables import Tables, chunks_of
 
 #: Vectors of a chunk that is broadcast.
 CHUNK_ROWS = 10_000
+#: Rows that the starts of k-means are drawn from, at most.
+START_ROWS = 10_000
 
 
 def embed_posts(posts: DataFrame, dimensions: int = 256) -> DataFrame:
@@ -28,18 +32,96 @@ def embed_posts(posts: DataFrame, dimensions: int = 256) -> DataFrame:
     return scaled.withColumn("embedding", vector_to_array("_v", "float32")).drop("_words", "_tf", "_idf", "_v")
 
 
+def start_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of `sample` by k-means++: each next one in proportion to its squared distance to the nearest so far."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(sample)))]
+    far = ((sample - sample[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < k:
+        total = far.sum()
+        chosen.append(int(np.searchsorted(np.cumsum(far), rng.random() * total, "right").clip(0, len(sample) - 1)) if total > 0 else int(rng.integers(len(sample))))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
+def _squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(row, centre) squared distances, in one matrix product."""
+    return np.maximum((rows**2).sum(1)[:, None] - 2 * (rows @ centres.T) + (centres**2).sum(1)[None, :], 0.0)
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame({"rows": [np.array(rows["v"].tolist(), np.float64).tobytes()] if len(rows) else []})
+
+
+def _add(a, b):
+    return b if a is None else a if b is None else tuple(x + y for x, y in zip(a, b, strict=True))
+
+
+def fit_clusters(rows: DataFrame, k: int, seed: int = 42, tries: int = 10, iterations: int = 300, tolerance: float = 1e-4) -> tuple[np.ndarray, float] | None:
+    """(centres, cost) of k-means on `embedding`: the lowest cost of `tries` starts; None without vectors.
+
+    All tries share a pass: a task multiplies its rows with the centres of every try that still moves and returns
+    sums of `tries` x k rows, which a tree of additions combines. Starts are drawn by k-means++ from a bounded sample
+    of rows, those of the smallest hash, so a run can be replayed. A try ends when its centres move less than
+    `tolerance` of the mean variance of a component.
+    """
+    spark, tables = rows.sparkSession, Tables(rows.sparkSession, "kmeans")
+    whole = rows.where("size(embedding) > 0").select(F.col("embedding").cast("array<double>").alias("v"))
+    sample = np.array([r["v"] for r in whole.orderBy(F.xxhash64("v"), "v").limit(START_ROWS).collect()])
+    if not len(sample):
+        return None
+    width, k = sample.shape[1], min(k, len(sample))
+    packed = tables.write(whole.mapInPandas(_packed, "rows binary"), "rows").rdd
+    centres = np.stack([start_centres(sample, k, seed + i) for i in range(tries)])
+    least = tolerance * float(sample.var(0).mean())
+    moving, costs = list(range(tries)), np.full(tries, np.inf)
+    for turn in range(iterations + 1):
+        sent = spark.sparkContext.broadcast(centres[moving])
+
+        def partial(row, sent=sent):
+            data = np.frombuffer(bytes(row["rows"]), np.float64).reshape(-1, width)
+            far = _squared(data, sent.value.reshape(-1, width)).reshape(len(data), -1, k)
+            near, sums, counts = far.argmin(2), np.zeros(sent.value.shape), np.zeros(sent.value.shape[:2])
+            for i in range(near.shape[1]):
+                np.add.at(sums[i], near[:, i], data)
+                counts[i] = np.bincount(near[:, i], minlength=k)
+            return sums, counts, far.min(2).sum(0)
+
+        sums, counts, cost = packed.map(partial).treeAggregate(None, _add, _add)
+        sent.unpersist()
+        costs[moving] = cost  # of the centres that were sent
+        if turn == iterations:
+            break
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres[moving])
+        shift = ((moved - centres[moving]) ** 2).sum((1, 2))
+        going = shift > least
+        # A try that ends keeps the centres whose cost is known.
+        centres[np.array(moving)[going]] = moved[going]
+        moving = [i for i, g in zip(moving, going.tolist(), strict=True) if g]
+        if not moving:
+            break
+    tables.drop("rows")
+    best = int(costs.argmin())
+    return centres[best], float(costs[best])
+
+
 def cluster(rows: DataFrame, k: int = 10, seed: int = 42, tries: int = 10, iterations: int = 300) -> DataFrame:
-    """`rows` with `cluster_id` by k-means on `embedding`: the lowest cost of `tries` seeds, at most one cluster a row."""
-    data = rows.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>"))).persist()
-    k = min(k, data.count())
-    if k < 2:
-        data.unpersist()
-        return rows.withColumn("cluster_id", F.lit(0))
-    models = [KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_v", predictionCol="cluster_id").fit(data) for i in range(tries)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(rows.withColumn("_v", array_to_vector(F.col("embedding").cast("array<double>")))).drop("_v")
-    data.unpersist()
-    return out
+    """`rows` with `cluster_id`: the nearest centre of fit_clusters, at most one cluster a row; null without a vector."""
+    fitted = fit_clusters(rows, k, seed, tries, iterations)
+    if fitted is None:
+        return rows.withColumn("cluster_id", F.lit(None).cast("int"))
+    sent = rows.sparkSession.sparkContext.broadcast(fitted[0])
+
+    @F.pandas_udf("int")
+    def nearest_centre(vectors: pd.Series) -> pd.Series:
+        known = vectors.map(lambda v: v is not None and len(v) > 0)
+        out = pd.Series([None] * len(vectors), dtype="Int32")
+        if known.any():
+            out[known.to_numpy()] = _squared(np.array(vectors[known].tolist(), np.float64), sent.value).argmin(1)
+        return out
+
+    return rows.withColumn("cluster_id", nearest_centre(F.col("embedding").cast("array<double>")))
 
 
 def centroids(rows: DataFrame) -> DataFrame:
@@ -60,7 +142,15 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         pairs = index.select("id", F.col("embedding").alias("_e")).crossJoin(F.broadcast(some))
         scored = pairs.select("query_id", "id", squared_distance(F.col("_q"), F.col("_e")).alias("distance"))
         found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance"))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, _one_by_one(found))
+
+
+def _one_by_one(parts: list[DataFrame]) -> list[DataFrame]:
+    """One plan as it is; several are run and written in turn, so that one broadcast lives at a time."""
+    if len(parts) == 1:
+        return parts
+    tables = Tables(parts[0].sparkSession, "chunks")
+    return [tables.write(part, str(i)) for i, part in enumerate(parts)]
 
 
 def max_similarity(items: DataFrame, history: DataFrame, key: str = "cluster_id", vector: str = "centroid") -> DataFrame:
@@ -70,7 +160,7 @@ def max_similarity(items: DataFrame, history: DataFrame, key: str = "cluster_id"
     """
     own = items.select(key, F.col(vector).alias("_a"))
     parts = [own.crossJoin(F.broadcast(some)).select(key, cosine(F.col("_a"), F.col("_b")).alias("s")) for some in chunks_of(history.select(F.col("vector").alias("_b")), "_b", CHUNK_ROWS)]
-    best = reduce(DataFrame.union, parts).groupBy(key).agg(F.max("s").alias("max_similarity"))
+    best = reduce(DataFrame.union, _one_by_one([p.groupBy(key).agg(F.max("s").alias("s")) for p in parts])).groupBy(key).agg(F.max("s").alias("max_similarity"))
     return items.select(key).join(best, key, "left")
 
 
