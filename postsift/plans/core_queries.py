@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, parsing, text
 from ..functions import vectors as vec
 from ..operators import cleaning, language, vectors
 from ..operators.index import VectorIndex, build_index
-from ..sources import feeds
+from ..sources import feeds, store
 from ..streaming import incremental, stateful
 from ..tables import Tables, spread
-from .queries import ORACLE_SQL, POSTS, _samples, _t, posts, query
+from . import explore, providers
+from .queries import _CENTROIDS, _PAIN, _STATS, _TRACTION, CLUSTERED, COSINE, ORACLE_SQL, POSTS, _samples, _t, posts, query
 from .table_queries import _ALL, _TITLE, _entries, _entry_sql, _payloads, _quoted, _wtp_sql
 
 # --- language -----------------------------------------------------------------------------------
@@ -155,3 +157,73 @@ def stream_dedupe(spark, sf):
     once = stateful.drain(incremental.dedupe_stream(rows, by_content=True).select("id", "hash"), Tables(spark, "once").root)
     counted = posts(spark, sf).groupBy(text.content_hash(F.col("title"), F.col("body")).alias("hash")).agg(F.count("*").alias("n")).where("n = 1")
     return once.join(counted, "hash").select("id")
+
+
+# --- SQL of the whole scan, from fixed clusters -------------------------------------------------
+
+_W = "(0.30::DOUBLE + 0.25::DOUBLE + 0.15::DOUBLE + 0.20::DOUBLE + 0.10::DOUBLE)"
+#: The offline provider's summary of each cluster's first six texts, cut to their share of the prompt.
+_SUMMARIES = """f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY pos) AS nth FROM clustered),
+x AS (SELECT cluster_id, pos, CASE WHEN body <> '' THEN title || ' ' || body ELSE title END AS t, greatest(1000 // count(*) OVER (PARTITION BY cluster_id), 50)::BIGINT AS share FROM f WHERE nth <= 6),
+y AS (SELECT cluster_id, pos, regexp_replace(CASE WHEN length(t) > 4 * share THEN substr(t, 1, 4 * share) || '...' ELSE t END, '^\\s+|\\s+$', '', 'g') AS t FROM x),
+summary AS (SELECT cluster_id, count(*) AS parts, coalesce(arg_min(t, pos) FILTER (t <> ''), '') AS first FROM y GROUP BY 1),
+told AS (SELECT cluster_id, array_to_string(regexp_extract_all(first, '\\S+')[1:6], ' ') AS title, substr(first, 1, 200) AS problem, parts || ' extracts' AS context, parts > 1 AS monetizable, least(10, 3 + parts)::INT AS pain_score_llm FROM summary)"""
+_SCANNED = f"""WITH {_STATS}, {_SUMMARIES}, {_CENTROIDS},
+wtp AS (SELECT cluster_id, round_even(avg(wtp_score) * 10, 0) / 10 AS wtp_score FROM ({_wtp_sql(POSTS + ', src AS (SELECT * FROM posts)')}) JOIN clustered USING (id) GROUP BY 1),
+h AS (SELECT cluster_id, size, source_mix, {_PAIN}::DOUBLE AS heuristic_score, {_TRACTION} AS traction_score, greatest(0, least(10, 9 + CASE WHEN size > 20 THEN -2 WHEN size > 10 THEN -1 ELSE 1 END))::DOUBLE AS novelty_score FROM stats),
+i AS (SELECT *, round_even(least((pain_score_llm * 0.7::DOUBLE + heuristic_score * 0.3::DOUBLE) * (0.30::DOUBLE / {_W}) + traction_score * (0.25::DOUBLE / {_W}) + novelty_score * (0.15::DOUBLE / {_W}) + wtp_score * (0.20::DOUBLE / {_W}) + 5.0::DOUBLE * (0.10::DOUBLE / {_W}), 10) * 100, 0) / 100 AS priority_score
+  FROM h JOIN told USING (cluster_id) JOIN wtp USING (cluster_id) JOIN (SELECT cluster_id, v FROM c) USING (cluster_id)),
+n AS (SELECT *, CASE WHEN hi = lo THEN 1 ELSE (priority_score - lo) / (hi - lo) END AS norm FROM i, (SELECT min(priority_score) AS lo, max(priority_score) AS hi FROM i)),
+one AS (SELECT * FROM n ORDER BY norm DESC, cluster_id LIMIT 1),
+two AS (SELECT n.* FROM n, one WHERE n.cluster_id <> one.cluster_id ORDER BY 0.7::DOUBLE * n.norm - 0.3::DOUBLE * {COSINE.format(a='n.v', b='one.v')} DESC, n.cluster_id LIMIT 1),
+picked AS (SELECT *, 1 AS rank FROM one UNION ALL SELECT *, 2 AS rank FROM two)"""
+
+ORACLE_SQL["summaries"] = f"WITH {CLUSTERED}, {_SUMMARIES} SELECT cluster_id, title, monetizable, pain_score_llm FROM told"
+ORACLE_SQL["scan_insights"] = f"{_SCANNED} SELECT cluster_id, rank, rank AS mmr_rank, priority_score, heuristic_score, traction_score, novelty_score, wtp_score, 'other' AS sector, size FROM picked"
+_ONE = "CASE WHEN {0} = 0 THEN '' ELSE printf('%.1f', {0}) END AS {0}"
+ORACLE_SQL["export_csv"] = f"""{_SCANNED} SELECT rank::VARCHAR AS rank, rank::VARCHAR AS mmr_rank, printf('%.2f', priority_score) AS priority_score, printf('%.2f', priority_score) AS priority_score_adjusted,
+  cluster_id::VARCHAR AS cluster_id, size::VARCHAR AS size, 'other' AS sector, title, problem, 'user' AS persona, '' AS jtbd, context, CASE WHEN monetizable THEN 'Yes' ELSE 'No' END AS monetizable, '' AS mvp, '' AS alternatives,
+  '' AS willingness_to_pay_signal, pain_score_llm::VARCHAR AS pain_score_llm, trunc(pain_score_llm * 0.7::DOUBLE + heuristic_score * 0.3::DOUBLE)::INT::VARCHAR AS pain_score_final,
+  {', '.join(_ONE.format(c) for c in ('heuristic_score', 'traction_score', 'novelty_score'))}, '5.0' AS trend_score, '5.0' AS founder_fit_score, '' AS example_urls, array_to_string(source_mix, ', ') AS source_mix, '' AS keywords_matched FROM picked"""
+
+
+# --- exploration, embeddings by a provider, and the store's layout ------------------------------
+
+_SAID = "'About ' || p_name || '.' || chr(10) || '## Monetization ideas' || chr(10) || '- Subscription: ' || p_name || chr(10) || '- One-time fee' || chr(10) || '## Product variants' || chr(10) || '- ' || p_name || ' for teams' || chr(10) || '## Validation steps' || chr(10) || '1. Interview ten ' || CASE WHEN p_partkey % 3 = 0 THEN 'users' ELSE p_brand END || chr(10) || '2. Landing page' || chr(10)"
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY 'i' || p_partkey) AS id, 'i' || p_partkey AS insight_id, {_SAID} AS exploration_text, ['- Subscription: ' || p_name, '- One-time fee'] AS monetization_hypotheses,
+['- ' || p_name || ' for teams'] AS product_variants, ['1. Interview ten ' || CASE WHEN p_partkey % 3 = 0 THEN 'users' ELSE p_brand END, '2. Landing page'] AS validation_steps FROM part""")
+def explore_insights(spark, sf):
+    """Parts as insights: prompts, answers, their sections, and the rows stored and read back."""
+    p = _t(spark, sf, "part")
+    insights = p.select(F.concat(F.lit("i"), "p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("problem"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_brand")).alias("persona"),
+                        F.lit(None).cast("string").alias("context"), (F.col("p_size") % 10).alias("pain_score_final"), F.lit(5.0).alias("trend_score"))
+    kept = store.Store(spark, Tables(spark, "store").root)
+    kept.init()
+    kept.save_exploration(explore.explore(insights, providers.exploration_stub).withColumn("created_at", F.timestamp_seconds(F.lit(0))))
+    return kept.table("insight_explorations").select("id", "insight_id", "exploration_text", "monetization_hypotheses", "product_variants", "validation_steps")
+
+
+def _counts(texts: list[str]) -> list[list[float]]:
+    """A provider for the query below: letters, digits and all characters of each text."""
+    return [[float(sum("a" <= c <= "z" for c in t)), float(sum("0" <= c <= "9" for c in t)), float(len(t))] for t in texts]
+
+
+@query(f"WITH {POSTS} SELECT id, [length(regexp_replace(title, '[^a-z]', '', 'g')), length(regexp_replace(title, '[^0-9]', '', 'g')), length(title)]::DOUBLE[] AS embedding FROM posts")
+def embed_by_provider(spark, sf):
+    return providers.embed(spread(posts(spark, sf).select("id", "title")), "title", _counts).select("id", "embedding")
+
+
+@query("""SELECT o_orderstatus || '_cluster_' || o_orderkey AS id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank, o_totalprice AS priority_score
+FROM orders QUALIFY o_orderstatus = 'O' AND o_totalprice >= 300000""")
+def store_layout(spark, sf):
+    """A run's insights of high priority, from a compacted table whose row groups are sorted by priority."""
+    o, kept = _t(spark, sf, "orders"), store.Store(spark, Tables(spark, "store").root)
+    kept.init()
+    rank = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    rows = o.select(F.col("o_orderstatus").alias("run"), F.col("o_orderkey").alias("cluster_id"), F.col("o_totalprice").alias("priority_score"), rank.alias("rank"), F.lit(False).alias("monetizable"), F.array(F.struct(F.lit("u").alias("url"))).alias("examples"))
+    for run in ("F", "O", "P"):
+        kept.save_insights(run, rows.where(F.col("run") == run).drop("run"))
+    kept.compact("insights", ["priority_score"], 1 << 20)
+    return kept.table("insights").where("run_id = 'O' and priority_score >= 300000").select("id", "rank", "priority_score")

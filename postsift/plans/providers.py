@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import ENRICHED_FIELDS, clamp, has_fields, response_field, response_json, valid_sector
 
 Complete = Callable[[str], str]
+Embed = Callable[[list[str]], list[list[float]]]
 
 
 def prompt(texts: Column, task: str) -> Column:
@@ -20,26 +22,55 @@ def prompt(texts: Column, task: str) -> Column:
     return F.concat(F.lit(f"{task}\nAnswer with one JSON object with the keys {', '.join(ENRICHED_FIELDS)}.\n"), F.array_join(numbered, ""), F.lit("---"))
 
 
-def complete(rows: DataFrame, prompt_col: str, provider: Complete, tries: int = 3) -> DataFrame:
+def _tried(call: Callable[[], object], tries: int, pause: float):
+    """What `call` returns; null after `tries` failures, with a pause between them that doubles."""
+    for turn in range(tries):
+        try:
+            return call()
+        except Exception:  # noqa: BLE001  any failure of a provider
+            if turn + 1 < tries and pause:
+                time.sleep(pause * 2**turn)
+    return None
+
+
+def complete(rows: DataFrame, prompt_col: str, provider: Complete, tries: int = 3, pause: float = 1.0) -> DataFrame:
     """`rows` with `response`: the provider's answer, null after `tries` failures. One row a cluster."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch[prompt_col]:
-                answer = None
-                for _ in range(tries):
-                    try:
-                        answer = provider(text)
-                        break
-                    except Exception:  # noqa: BLE001  any failure of a provider
-                        continue
-                out.append(answer)
-            yield batch.assign(response=out)
+            yield batch.assign(response=[_tried(lambda t=text: provider(t), tries, pause) for text in batch[prompt_col]])
 
     return rows.mapInPandas(each, rows.withColumn("response", F.lit(None).cast("string")).schema)
 
 
+def embed(rows: DataFrame, text_col: str, provider: Embed, batch: int = 64, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """`rows` with `embedding`: the provider gets up to `batch` texts at a time; null for a batch that fails `tries` times.
+
+    Each task calls for its own rows. Null texts are not sent and get no vector. A provider that returns another
+    number of vectors than it got texts has failed.
+    """
+
+    def ask(texts: list[str]) -> list:
+        found = list(provider(texts))
+        if len(found) != len(texts):
+            raise ValueError("a vector for each text")
+        return found
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            vectors: list = [None] * len(some)
+            known = [i for i, t in enumerate(some[text_col]) if t is not None]
+            texts = some[text_col].tolist()
+            for at in range(0, len(known), batch):
+                part = known[at : at + batch]
+                found = _tried(lambda p=part: ask([texts[i] for i in p]), tries, pause)
+                for i, v in zip(part, found or [None] * len(part), strict=True):
+                    vectors[i] = v
+            yield some.assign(embedding=vectors)
+
+    return rows.mapInPandas(each, rows.withColumn("embedding", F.lit(None).cast("array<double>")).schema)
+
+
 def cost_guard(rows: DataFrame, cost: Column, limit: float = 0.50) -> DataFrame:
     """Rows of up to twice the limit; `cost_warning` from the limit on."""
     return rows.withColumn("_cost", cost).where(F.col("_cost") <= 2 * limit).withColumn("cost_warning", F.col("_cost") > limit).drop("_cost")
@@ -56,6 +87,13 @@ def extractive_stub(text: str) -> str:
     }, sort_keys=True)
 
 
+def exploration_stub(text: str) -> str:
+    """Offline exploration: sections about the insight that the prompt names."""
+    title = next((line.removeprefix("## Insight: ") for line in text.splitlines() if line.startswith("## Insight: ")), "")
+    who = next((line.split(": ", 1)[1] for line in text.splitlines() if line.startswith("**Target persona**: ")), "users")
+    return f"About {title}.\n## Monetization ideas\n- Subscription: {title}\n- One-time fee\n## Product variants\n- {title} for teams\n## Validation steps\n1. Interview ten {who}\n2. Landing page\n"
+
+
 def summaries(answers: DataFrame) -> DataFrame:
     """(cluster_id, summary fields) of the responses that parse and have every field; pain within 1..10."""
     parsed = answers.withColumn("_j", response_json(F.col("response"))).where(has_fields(F.col("_j"), ENRICHED_FIELDS))

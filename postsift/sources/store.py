@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EXPLORATIONS, INSIGHTS, RUNS
+from ..tables import Tables, with_ranks
 
 _SCHEMAS = {"runs": RUNS, "insights": INSIGHTS, "insight_explorations": EXPLORATIONS}
+#: What each table is looked up by: files are sorted by the first columns, whose least and largest values let a read skip
+#: files and row groups; columns that are looked up by equality out of that order have Bloom filters. With the
+#: partitions by run these stand for the six indexes: run, rank, priority and sector of insights, time of runs, insight of explorations.
+_SORTED = {"runs": ["created_at", "id"], "insights": ["rank", "id"], "insight_explorations": ["insight_id", "created_at"]}
+_BLOOM = {"runs": ["id"], "insights": ["id", "sector"], "insight_explorations": ["insight_id"]}
+
+_TIMES = "spark.sql.parquet.outputTimestampType"
 
 
 class Store:
@@ -25,10 +33,33 @@ class Store:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
-    def _write(self, df: DataFrame, name: str, mode: str) -> None:
-        out = df.sortWithinPartitions("rank").write if name == "insights" else df.write
-        out = out.mode(mode).partitionBy("run_id") if name == "insights" else out.mode(mode)
-        out.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
+    def _write(self, df: DataFrame, name: str, mode: str, by: list[str] | None = None, group_bytes: int | None = None) -> None:
+        out = df.sortWithinPartitions(*(["run_id"] if name == "insights" else []), *(by or _SORTED[name])).write.mode(mode)
+        for column in _BLOOM[name]:
+            out = out.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        if group_bytes:
+            out = out.option("parquet.block.size", str(group_bytes)).option("parquet.page.size", str(max(1024, group_bytes // 16)))
+        out = out.partitionBy("run_id") if name == "insights" else out
+        before = self.spark.conf.get(_TIMES, None)
+        self.spark.conf.set(_TIMES, "TIMESTAMP_MICROS")  # the older form of times has no least and largest values
+        try:
+            out.option("partitionOverwriteMode", "dynamic").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.unset(_TIMES) if before is None else self.spark.conf.set(_TIMES, before)
+
+    def compact(self, name: str, by: list[str] | None = None, group_bytes: int | None = None) -> None:
+        """Rewrites a table sorted over all its files by `by` (its own order if none), in few files: after many small appends.
+
+        Insights are compacted run by run, by sector or priority for instance: what they are asked for most.
+        """
+        columns, kept = by or _SORTED[name], f"{self.path}/_compact-{uuid.uuid4().hex[:8]}"
+        keys = [*(["run_id"] if name == "insights" else []), *columns]
+        rows = self.table(name)
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(kept)  # the table is read and then replaced
+        saved = self.spark.read.schema(rows.schema).parquet(kept)
+        self._write(saved.repartitionByRange(*keys), name, "overwrite", columns, group_bytes)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(kept)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def save_run(self, run: DataFrame) -> None:
         """Appends; a run id that is there already raises ValueError."""
@@ -56,12 +87,10 @@ class Store:
 
     def save_exploration(self, rows: DataFrame) -> None:
         """Appends with the next numbers as ids, in order of created_at and insight."""
-        from pyspark.sql import Window
-
         last = self.table("insight_explorations").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        number = F.row_number().over(Window.orderBy("created_at", "insight_id")) + F.lit(last)
+        rows = with_ranks(rows, [F.col("created_at").asc(), F.col("insight_id").asc()], Tables(self.spark, "store"))
+        rows = rows.withColumn("id", F.col("rank") + F.lit(last)).drop("rank")
         fields = self.spark.createDataFrame([], EXPLORATIONS).schema
-        rows = rows.withColumn("id", number.cast("long"))
         self._write(rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]), "insight_explorations", "append")
 
 
