@@ -1,7 +1,8 @@
-"""A training-corpus pipeline over `documents`: five stages, each one of the ten operators.
+"""A training-corpus pipeline over `documents`: five stages, each an operator of `postsift.llm`.
 
 Every stage takes (spark, docs, sf_dir) and judges the rows its predecessor kept; all but the last return the
-columns of documents.
+columns of documents. The near-dedup stage links 5-word shingle sets of similarity 0.8 or more, which fingerprints of
+64 bits cannot tell; its candidates come from MinHash bands in place of SimHash (`near_copies`).
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Toxicity, SimHash and tokenizer ids have no SQL form; the stages are tested one by one against plain versions.
+#: Toxicity, near copies and tokenizer ids have no SQL form; the stages are tested one by one against plain versions.
 ORACLE_SQL = None
 
 
