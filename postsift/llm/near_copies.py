@@ -1,12 +1,13 @@
 """Near copies by exact Jaccard similarity of word shingles, for the pipeline's near-dedup stage.
 
-A 64-bit SimHash cannot hold similarity 0.8: such texts differ in some ten bits, and a covering code of that radius
-needs thousands of tables. Candidates are therefore texts that share a band of MinHash values: of two texts of
+Candidates come from two sides. SimHash fingerprints of the shingle sets are linked by the covering code of `simhash`:
+no pair within RADIUS bits is missed. A similarity of 0.8 differs in some ten of 64 bits, though, and a covering code of that
+radius needs thousands of tables. Texts that share a band of MinHash values are therefore candidates too: of two texts of
 similarity s a band of BAND_ROWS values is equal with odds s**BAND_ROWS, so at 0.8 all BANDS differ for about one
 pair in 20,000.
 
-Texts that share a band, directly or over others, form a group. In a group every pair is compared by its whole
-shingle sets, except pairs that are connected already. A large group is dealt out by pairs of blocks, so a task holds
+Texts that are candidates of each other, directly or over others, form a group. In a group every pair is compared by its
+whole shingle sets, except pairs that are connected already. A large group is dealt out by pairs of blocks, so a task holds
 two blocks and no pair is left out.
 """
 
@@ -19,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import near_links
 from .support import Tables, Words, bound_batches, connected_components, drop_rows, in_chunks, mix64, runs, within
 
 BAND_ROWS = 7
 BANDS = 42
+#: Bits by which SimHash fingerprints of candidates differ at most.
+RADIUS = 3
 #: Texts of a block, and bytes of their shingles.
 BLOCK_ROWS = 512
 BLOCK_BYTES = 16 << 20
@@ -71,6 +75,21 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """The SimHash of each set of hashes: a bit is 1 where over half of them have it; the sets are not empty."""
+    out = np.zeros(len(sets), np.uint64)
+    sizes = np.array([len(s) for s in sets])
+    done = 0
+    while done < len(sets):
+        upto = max(done + 1, int(np.searchsorted(np.cumsum(sizes[done:]), _CACHE, "right")) + done)
+        bits = np.unpackbits(np.concatenate(sets[done:upto]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        starts = np.concatenate([[0], np.cumsum(sizes[done:upto])[:-1]])
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[done:upto] = np.packbits(2 * ones > sizes[done:upto, None], axis=1, bitorder="little").view("<u8").ravel()
+        done = upto
+    return out
+
+
 def _prints(width: int):
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -79,10 +98,12 @@ def _prints(width: int):
                 sets = shingles(texts[a:b], width)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [[]] * len(sets)
+                code = np.zeros(len(sets), np.int64)
                 if full:
                     for i, k in zip(full, band_keys([sets[i] for i in full]).view(np.int64), strict=True):
                         keys[i] = k
-                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[a:b].to_numpy(), "fp": [set_hash(s) for s in sets], "keys": keys})
+                    code[full] = simhashes([sets[i] for i in full]).view(np.int64)
+                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[a:b].to_numpy(), "fp": [set_hash(s) for s in sets], "code": code, "keys": keys})
 
     return each
 
@@ -152,6 +173,15 @@ def _linked(similarity: float):
     return each
 
 
+def _coded(fps: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b): links that connect all sets (fp, code) whose SimHash differs in RADIUS bits at most, by the covering code."""
+    codes = tables.write(fps.groupBy("code").agg(F.min("fp").alias("hub")), "codes")
+    same = fps.join(codes, "code").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    found = near_links(codes.select(F.col("code").alias("fp")), Tables(fps.sparkSession, "code"), RADIUS)
+    left, right = (codes.select(F.col("code").alias(x), F.col("hub").alias(f"hub_{x}")) for x in "ab")
+    return same.union(found.join(left, "a").join(right, "b").select("hub_a", "hub_b"))
+
+
 def near_components(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, component_id) of each row with an id: the smallest id reachable over texts of at least `similarity`.
 
@@ -162,12 +192,13 @@ def near_components(docs: DataFrame, shingle_words: int = 5, similarity: float =
     bound_batches(spark)
     tables = Tables(spark, "near")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    prints = tables.write(rows.mapInPandas(_prints(shingle_words), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, keys array<long>"), "prints")
-    fps = tables.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "fps")
+    prints = tables.write(rows.mapInPandas(_prints(shingle_words), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, code long, keys array<long>"), "prints")
+    fps = tables.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("code").alias("code"), F.first("keys").alias("keys")), "fps")
     keyed = fps.select("fp", F.explode("keys").alias("k"))
     buckets = tables.write(keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "buckets")
     more = keyed.join(buckets.where("n > 2").select("k", "a"), "k").select("a", F.col("fp").alias("b")).where("a <> b")
-    groups = tables.write(connected_components(buckets.where("n = 2").select("a", "b").union(more).distinct(), tables), "groups")
+    banded = buckets.where("n = 2").select("a", "b").union(more)
+    groups = tables.write(connected_components(banded.union(_coded(fps.where(F.size("keys") > 0), tables)).distinct(), tables), "groups")
     wanted = fps.join(groups, F.col("fp") == F.col("node")).select("fp", "first", "root")
     sets = tables.write(rows.join(wanted, F.col("doc_id") == F.col("first")).select("text", "fp", "root").mapInPandas(_sets(shingle_words), "fp long, root long, grams binary").dropDuplicates(["fp"]), "sets")
     blocks = F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.length("grams")) / BLOCK_BYTES)).cast("int")
@@ -179,7 +210,7 @@ def near_components(docs: DataFrame, shingle_words: int = 5, similarity: float =
     rooted = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = tables.write(rooted.join(smallest, "root").select(F.col("fp").alias("n_fp"), "component_id"), "named")
-    tables.drop("buckets", "groups", "sets", "links")
+    tables.drop("buckets", "codes", "groups", "sets", "links")
     return prints.join(named, F.col("fp") == F.col("n_fp")).select(F.col("doc_id").alias(id_col), "component_id")
 
 

@@ -64,3 +64,36 @@ def test_stage_leaves_no_pair_of_similarity_four_fifths(spark):
     out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, SF).collect()}
     want = plain_components({r.doc_id: r.text for r in docs.collect()})
     assert set(out) == set(want.values()) and len(out) < len(want)
+
+
+def test_simhashes_are_majorities():
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 2**64, n, np.uint64) for n in (1, 2, 3, 50, near_copies._CACHE + 3, 7)]
+    for own, found in zip(sets, near_copies.simhashes(sets), strict=True):
+        assert int(found) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in own[:60].tolist()) > len(own)) or len(own) > 60
+    big = sets[4]
+    assert int(near_copies.simhashes([big])[0]) == sum(1 << b for b in range(64) if 2 * int((big >> np.uint64(b) & np.uint64(1)).sum()) > len(big))
+
+
+def test_the_covering_code_alone_finds_close_texts(spark, monkeypatch):
+    """Without any band the sets within three bits of SimHash still meet; exact similarity decides."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 3000)]
+    texts = [" ".join(base)]
+    for at in (5, 1500, 2990):
+        own = list(base)
+        own[at] = "other"
+        texts.append(" ".join(own))
+    texts.append(" ".join(f"v{x}" for x in rng.integers(0, 5000, 3000)))
+    real = near_copies.band_keys
+    monkeypatch.setattr(near_copies, "band_keys", lambda sets: np.array([[hash(s.tobytes()) & (2**62 - 1)] for s in sets], np.uint64))
+    sets = near_copies.shingles(texts, 5)
+    codes = near_copies.simhashes(sets)
+    assert all(int(codes[0] ^ c).bit_count() <= near_copies.RADIUS for c in codes[1:4]) and int(codes[0] ^ codes[4]).bit_count() > 3
+    from postsift.tables import Tables
+
+    rows = [(near_copies.set_hash(s), int(c.view(np.int64)), [1]) for s, c in zip(sets, codes, strict=True)]
+    links = near_copies._coded(spark.createDataFrame(rows, "fp long, code long, keys array<long>"), Tables(spark, "t")).collect()
+    near = {near_copies.set_hash(s) for s in sets[:4]}
+    assert {x for r in links for x in r} == near
+    assert real(sets).shape == (5, near_copies.BANDS)
