@@ -1,8 +1,8 @@
 """A training-corpus pipeline over `documents`: five stages, each an operator of `postsift.llm`.
 
 Every stage takes (spark, docs, sf_dir) and judges the rows its predecessor kept; all but the last return the
-columns of documents. The near-dedup stage links 5-word shingle sets of similarity 0.8 or more, which fingerprints of
-64 bits cannot tell; its candidates come from MinHash bands in place of SimHash (`near_copies`).
+columns of documents. The near-dedup stage links 5-word shingle sets of similarity 0.8 or more; its candidates come from
+the covering code of SimHash and, beyond its radius, from MinHash bands (`near_copies`).
 """
 
 from __future__ import annotations

@@ -186,6 +186,9 @@ ORACLE_SQL["export_csv"] = f"""{_SCANNED} SELECT rank::VARCHAR AS rank, rank::VA
   '' AS willingness_to_pay_signal, pain_score_llm::VARCHAR AS pain_score_llm, trunc(pain_score_llm * 0.7::DOUBLE + heuristic_score * 0.3::DOUBLE)::INT::VARCHAR AS pain_score_final,
   {', '.join(_ONE.format(c) for c in ('heuristic_score', 'traction_score', 'novelty_score'))}, '5.0' AS trend_score, '5.0' AS founder_fit_score, '' AS example_urls, array_to_string(source_mix, ', ') AS source_mix, '' AS keywords_matched FROM picked"""
 
+ORACLE_SQL["export_json"] = f"""{_SCANNED} SELECT (SELECT count(*) FROM documents) AS posts, (SELECT count(*)::INT FROM picked) AS insights, a.title, a.priority_score,
+  b.cluster_id AS second, b.context AS second_context, b.traction_score AS second_traction, b.pain_score_llm AS second_pain FROM picked a, picked b WHERE a.rank = 1 AND b.rank = 2"""
+
 
 # --- exploration, embeddings by a provider, and the store's layout ------------------------------
 

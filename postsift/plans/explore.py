@@ -17,9 +17,9 @@ _STORED = {"monetization_ideas": "monetization_hypotheses", "product_variants":
 def exploration_prompt(title: Column, problem: Column, persona: Column, context: Column, pain: Column, trend: Column) -> Column:
     """What is known of the insight, a line each, and the sections asked for; unknown fields have no line."""
     line = lambda label, value: F.when(F.coalesce(value.cast("string"), F.lit("")) != "", F.concat(F.lit(label), value.cast("string")))
-    known = [line("**Target persona**: ", persona), line("**Context**: ", context), line("**Pain (1-10)**: ", pain), line("**Trend (1-10)**: ", trend)]
+    known = [line("Persona: ", persona), line("Context: ", context), line("Pain of ten: ", pain), line("Trend of ten: ", trend)]
     asked = F.lit("Answer in three sections, each a list: Monetization ideas, Product variants, Validation steps.")
-    return F.concat_ws("\n", F.concat(F.lit("## Insight: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("**Problem**: "), F.coalesce(problem, F.lit(""))), *known, asked)
+    return F.concat_ws("\n", F.concat(F.lit("Insight: "), F.coalesce(title, F.lit(""))), F.concat(F.lit("Problem: "), F.coalesce(problem, F.lit(""))), *known, asked)
 
 
 def explore(insights: DataFrame, provider: providers.Complete, model: str = "gpt-4o", tries: int = 3, pause: float = 1.0) -> DataFrame:

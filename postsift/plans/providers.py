@@ -89,8 +89,8 @@ def extractive_stub(text: str) -> str:
 
 def exploration_stub(text: str) -> str:
     """Offline exploration: sections about the insight that the prompt names."""
-    title = next((line.removeprefix("## Insight: ") for line in text.splitlines() if line.startswith("## Insight: ")), "")
-    who = next((line.split(": ", 1)[1] for line in text.splitlines() if line.startswith("**Target persona**: ")), "users")
+    title = next((line.removeprefix("Insight: ") for line in text.splitlines() if line.startswith("Insight: ")), "")
+    who = next((line.split(": ", 1)[1] for line in text.splitlines() if line.startswith("Persona: ")), "users")
     return f"About {title}.\n## Monetization ideas\n- Subscription: {title}\n- One-time fee\n## Product variants\n- {title} for teams\n## Validation steps\n1. Interview ten {who}\n2. Landing page\n"
 
 

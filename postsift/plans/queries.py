@@ -575,7 +575,13 @@ def export_csv(spark, sf):
 
 @query()
 def export_json(spark, sf):
-    return sinks.results_document(sinks.insight_documents(_ranked(spark, sf)), _t(spark, sf, "documents").agg(F.count("*").alias("posts")))
+    """The document of a scan's results, and what is read back from it."""
+    whole = sinks.results_document(sinks.insight_documents(_ranked(spark, sf)), _t(spark, sf, "documents").agg(F.count("*").alias("posts")))
+    read = lambda path, kind: F.get_json_object("value", path).cast(kind)
+    return whole.select(
+        read("$.statistics.posts", "long").alias("posts"), F.json_array_length(F.get_json_object("value", "$.insights")).alias("insights"), read("$.insights[0].summary.title", "string").alias("title"), read("$.insights[0].priority_score", "double").alias("priority_score"),
+        read("$.insights[1].cluster_id", "int").alias("second"), read("$.insights[1].summary.context", "string").alias("second_context"), read("$.insights[1].traction_score", "double").alias("second_traction"), read("$.insights[1].summary.pain_score_llm", "int").alias("second_pain"),
+    )
 
 
 @query()

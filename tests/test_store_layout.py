@@ -77,7 +77,7 @@ def test_exploration_sections_and_failures(spark):
     assert found["a"].monetization_hypotheses == ["- Subscription: Late invoices", "- One-time fee"] and found["a"].validation_steps[0] == "1. Interview ten agencies"
     assert found["b"].product_variants == ["-  for teams"] and found["a"].cost_usd > 0
     said = rows.select(explore.exploration_prompt(*[F.col(c) for c in rows.columns[1:]]).alias("p")).first().p
-    assert said.splitlines()[:4] == ["## Insight: Late invoices", "**Problem**: p", "**Target persona**: agencies", "**Pain (1-10)**: 8"]
+    assert said.splitlines()[:4] == ["Insight: Late invoices", "Problem: p", "Persona: agencies", "Pain of ten: 8"]
 
 
 def test_embeddings_in_batches_with_failures(spark):
