@@ -132,7 +132,7 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count:
     tables = Tables(spark, "lm")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gathered = tables.write(rows.mapInPandas(_gather, "batch string, words long, payload binary"), "gathered")
+    gathered = tables.write(rows.mapInPandas(_gather, "batch string, words long, payload binary"), "gathered", large_rows=True)
     total = gathered.agg(F.sum("words")).first()[0] or 0
     shards = total // shard_keys + 1
     met = gathered.select("batch", "payload")
@@ -140,7 +140,7 @@ def lm_scores(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count:
         sent = gathered.select("batch", "payload").mapInPandas(_send(n, shards), "batch string, shard int, keys binary, counts binary")
         counted = sent.groupBy("shard").applyInPandas(_count, "batch string, shard int, counts binary")
         answers = counted.groupBy(F.col("batch").alias(f"b{n}")).agg(F.collect_list(F.struct("shard", "counts")).alias(f"answers{n}"))
-        answers = tables.write(answers, f"answers{n}", batch_rows=1)  # a row is a batch of documents
+        answers = tables.write(answers, f"answers{n}", batch_rows=1, large_rows=True)  # a row is a batch of documents
         met = met.join(answers, F.col("batch") == F.col(f"b{n}"), "left").drop(f"b{n}")
     scored = met.drop("batch").mapInPandas(_score(order, shards, total, backoff, min_count), f"doc_id {id_type}, n_words long, log_score double")
     scored = tables.write(scored, "scored", batch_rows=1)

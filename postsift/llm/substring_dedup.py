@@ -214,7 +214,7 @@ def remove_repeated_passages(docs: DataFrame, width: int = 35, id_col: str = "do
     tables = Tables(spark, "passages")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gathered = tables.write(rows.mapInPandas(_gather, "batch string, words long, payload binary"), "gathered")
+    gathered = tables.write(rows.mapInPandas(_gather, "batch string, words long, payload binary"), "gathered", large_rows=True)
     total = gathered.agg(F.sum("words")).first()[0] or 0
     anchors = 2 * total // ((width + 1) // 2 + 1)
     bits = max(MIN_CELLS, 4 * anchors).bit_length()
@@ -223,14 +223,14 @@ def remove_repeated_passages(docs: DataFrame, width: int = 35, id_col: str = "do
     sketch = gathered.select("batch", "payload").mapInPandas(_sketch(width, bits, low_bits), "batch string, row int, range long, n int, payload binary")
     merged = sketch.groupBy("row", "range").applyInPandas(_merge, "batch string, row int, range long, bits binary")
     estimates = merged.groupBy(F.col("batch").alias("e_batch")).agg(F.collect_list(F.struct("row", "range", "bits")).alias("answers"))
-    estimates = tables.write(estimates, "estimates", batch_rows=1)  # a row is a batch of documents
+    estimates = tables.write(estimates, "estimates", batch_rows=1, large_rows=True)  # a row is a batch of documents
     shards = max(1, total // 3 // shard_keys + 1)
     met = gathered.join(estimates, F.col("batch") == F.col("e_batch"), "left").select("batch", "payload", "answers")
-    passed = tables.write(met.mapInPandas(_candidates(width, bits, low_bits, shards), PASS_SCHEMA.format(id=id_type)), "passed", partition_by="kind", batch_rows=1)
+    passed = tables.write(met.mapInPandas(_candidates(width, bits, low_bits, shards), PASS_SCHEMA.format(id=id_type)), "passed", partition_by="kind", batch_rows=1, large_rows=True)
     tables.drop("gathered", "estimates")
     packed = passed.where("kind = 2").select("batch", "shard", "payload")
     answers = packed.groupBy("shard").applyInPandas(_group, "batch string, shard int, bits binary")
-    answers = tables.write(answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers")), "answers")
+    answers = tables.write(answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers")), "answers", large_rows=True)
     tables.drop("passed/kind=2")
     waiting = passed.where("kind = 1").select("batch", "payload").join(answers, "batch").select("payload", "answers")
     finished = waiting.mapInPandas(_finish(width), f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")

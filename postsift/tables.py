@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Parquet looks at a row group's and a page's size after 100 rows: hundreds of MB where a row has megabytes.
+_LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
 #: Rows of the largest side that is broadcast by hint; a larger one is left to the optimizer.
 BROADCAST_ROWS = 100_000
 
@@ -54,10 +56,12 @@ class Tables:
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{work_dir(spark)}/{owner}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str, partition_by: str | None = None, batch_rows: int | None = None) -> DataFrame:
-        """`batch_rows` bounds the rows that a Python worker holds at once, for rows that are large."""
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None, batch_rows: int | None = None, large_rows: bool = False) -> DataFrame:
+        """`batch_rows` bounds the rows that a Python worker holds at once, `large_rows` row groups and pages by bytes: for rows of megabytes."""
         path = f"{self.root}/{name}"
         out = df.write.mode("overwrite").option("compression", "zstd")
+        if large_rows:
+            out = out.options(**_LARGE_ROWS)
         with cleaned_shuffles(self.spark), arrow_rows(self.spark, batch_rows):
             (out.partitionBy(partition_by) if partition_by else out).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
