@@ -69,8 +69,23 @@ def cost(tokens_in: Column, price_in: Column, tokens_out: Column | None = None,
     return total if tokens_out is None else total + tokens_out / 1000.0 * price_out
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """`value` with so many decimals, rounded as C does: by the double's exact value, and exact ties to even.
+
+    Java rounds the shortest decimal that names the double, half up. Both differ only where that decimal lies half-way;
+    there the double's distance from it is exact in two parts of 26 bits, and the value moves off the tie.
+    """
+    size, halves = F.abs(value), 2.0 * 10**digits
+    odd = F.rint(size * halves)  # the half-way decimal is this number of half units
+    high = size * 134217729.0 - (size * 134217729.0 - size)
+    beyond = (high * halves - odd) + (size - high) * halves
+    down = (beyond < 0) | ((beyond == 0) & (F.pmod(odd, F.lit(4.0)) == 1))
+    tied = (F.pmod(odd, F.lit(2.0)) == 1) & (odd / halves == size) & down
+    return F.format_string(f"%.{digits}f", F.when(tied, F.signum(value) * (odd - 0.5) / halves).otherwise(value))
+
+
 def format_cost(amount: Column) -> Column:
-    return F.concat(F.lit("$"), F.when(amount < 0.01, F.format_string("%.4f", amount)).otherwise(F.format_string("%.2f", amount)))
+    return F.concat(F.lit("$"), F.when(amount < 0.01, fixed(amount, 4)).otherwise(fixed(amount, 2)))
 
 
 def sigmoid(x: Column) -> Column:
