@@ -18,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..tables import Tables, spread, with_ranks
+from ..tables import Tables, spread
 
 #: Postings of a token that one task meets; a token with more is dealt over several.
 SALT_ROWS = 20_000
-#: Bytes of tokens up to which the dictionary is broadcast.
-DICTIONARY_BYTES = 16 << 20
+#: Bytes of a dictionary of tokens; none is built any more, hashes number the tokens.
+DICTIONARY_BYTES = 0
+#: Buckets of token hashes whose frequencies every task gets: 8 MB.
+TOKEN_BUCKETS = 1 << 20
+#: Passes over the postings, and tokens of all sets up to which one is enough.
+PASSES, PASS_TOKENS = 4, 2_000_000
 #: Words of 64 bits of a token set's parity sketch.
 SKETCH_WORDS = 8
 EPSILON = 1e-9
@@ -42,57 +46,70 @@ def _parts(df: DataFrame) -> int:
 # --- token sets ---------------------------------------------------------------------------------
 
 
-def _assembled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (node, id, df) in order of node and id -> a row a node; the last node of a batch waits for the next one."""
+def _frequency_table(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a token of each of TOKEN_BUCKETS buckets of token hashes: a bounded table, by 256 packed rows."""
+    bucket = F.pmod(F.col("id"), F.lit(TOKEN_BUCKETS))
+    counted = sets.select(F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("id")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("times"))
 
-    def close(node: np.ndarray, ids: np.ndarray, df: np.ndarray) -> pd.DataFrame:
-        starts = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
-        hashed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-        word, bit = hashed // np.uint64(64) % np.uint64(SKETCH_WORDS), np.uint64(1) << hashed % np.uint64(64)
-        words = {f"x{k}": np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts).view(np.int64) for k in range(SKETCH_WORDS)}
-        cut = lambda x: np.split(x, starts[1:])
-        return pd.DataFrame({"node": node[starts], "n": np.diff(starts, append=len(node)).astype(np.int32), "ids": cut(ids), "dfs": cut(df), **words})
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": [rows["bucket"].to_numpy(np.int64).tobytes()], "times": [rows["times"].to_numpy(np.int64).tobytes()]})
 
-    held = [np.zeros(0, np.int64)] * 3
-    for rows in batches:
-        held = [np.concatenate([old, rows[c].to_numpy()]) for old, c in zip(held, ("node", "id", "df"), strict=True)]
-        last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-        if last:
-            yield close(*[x[:last] for x in held])
-            held = [x[last:] for x in held]
-    if len(held[0]):
-        yield close(*held)
+    table = np.zeros(TOKEN_BUCKETS, np.int64)
+    for r in counted.groupBy(F.pmod("bucket", F.lit(256)).alias("part")).applyInPandas(packed, "bucket binary, times binary").collect():
+        table[np.frombuffer(r["bucket"], np.int64)] = np.frombuffer(r["times"], np.int64)
+    return table
+
+
+def _assembled(frequency):
+    """(node, ids) -> a row a node, its ids from rare to frequent, with a sketch."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sizes = np.array([len(x) for x in rows["ids"]], np.int64)
+            if not sizes.any():
+                continue
+            rows, sizes = rows[sizes > 0], sizes[sizes > 0]
+            ids, owner = np.concatenate(rows["ids"].tolist()).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            df = frequency.value[ids % TOKEN_BUCKETS]
+            by = np.lexsort((ids, df, owner))
+            ids, df, starts = ids[by], df[by], np.cumsum(sizes) - sizes
+            hashed = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+            word, bit = hashed // np.uint64(64) % np.uint64(SKETCH_WORDS), np.uint64(1) << hashed % np.uint64(64)
+            words = {f"x{k}": np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts).view(np.int64) for k in range(SKETCH_WORDS)}
+            yield pd.DataFrame({"node": rows["node"].to_numpy(), "n": sizes.astype(np.int32), "ids": np.split(ids, starts[1:]), "dfs": np.split(df, starts[1:]), **words})
+
+    return each
 
 
 def numbered_sets(sets: DataFrame, tables: Tables) -> DataFrame:
-    """(node, n, ids, dfs, x0..): sets as arrays of token ids, rare tokens first, the sets that hold each, and a sketch.
+    """(node, n, ids, dfs, x0..): non-empty sets as arrays of token hashes, rare tokens first, at most how many sets hold each, and a sketch.
 
-    Ids number the tokens from rare to frequent. A sketch's bit is the parity of the tokens that hash to it.
+    Frequencies are those of TOKEN_BUCKETS buckets, which every task gets, so no token is shuffled to be numbered; a
+    token whose bucket is full counts as frequent. A sketch's bit is the parity of the tokens that hash to it.
     """
-    each = sets.select("node", F.explode("tokens").alias("token"))
-    counted = each.groupBy("token").agg(F.count("*").alias("df"))
-    ids = with_ranks(counted, [F.col("df").asc(), F.col("token").asc()], tables, "dictionary").select("token", "df", F.col("rank").alias("id"))
-    size = ids.agg(F.sum(F.octet_length("token") + 16).alias("bytes")).first()["bytes"]
-    numbered = each.join(F.broadcast(ids) if (size or 0) <= DICTIONARY_BYTES else ids, "token").select("node", "id", "df")
+    sent = sets.sparkSession.sparkContext.broadcast(_frequency_table(sets))
     schema = "node long, n int, ids array<long>, dfs array<long>, " + ", ".join(f"x{k} long" for k in range(SKETCH_WORDS))
-    return numbered.repartition(_parts(sets), "node").sortWithinPartitions("node", "id").mapInPandas(_assembled, schema)
+    return sets.where("size(tokens) > 0").select("node", F.transform("tokens", lambda t: F.xxhash64(t)).alias("ids")).mapInPandas(_assembled(sent), schema)
 
 
-def set_candidates(numbered: DataFrame, threshold: float) -> DataFrame:
+def set_candidates(numbered: DataFrame, threshold: float, passes: int = 1, turn: int = 0) -> DataFrame:
     """(a, b) pairs of `numbered` sets that may be similar, the shorter set first; each pair once.
 
-    Two similar sets share a token among the first n - ceil(threshold n) + 1 of each, all but one of the tokens that
-    they must share lie behind the first one, and their lengths differ by the threshold at most: postings are split
-    by bands of length, and by parts where a token has many.
+    Two similar sets share a token among the first n - ceil(threshold n) + 1 of the longer and the first
+    n - ceil(2 threshold / (1 + threshold) n) + 1 of the shorter, all but one of the tokens that they must share lie
+    behind the first one, and their lengths differ by the threshold at most: postings are split by bands of length,
+    and by parts where a token has many. A token of one set alone meets nothing. With `passes`, only the tokens of
+    pass `turn` meet.
     """
     words = [f"x{k}" for k in range(SKETCH_WORDS)]
-    prefix = F.slice(F.arrays_zip("ids", "dfs"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - EPSILON) + 1).cast("int"))
+    first = lambda share: (F.col("n") - F.ceil(F.col("n") * share - EPSILON) + 1).cast("int")
+    prefix = F.slice(F.arrays_zip("ids", "dfs"), F.lit(1), first(threshold))
     # A band spans slightly more than the threshold's ratio, so partners lie in the same or in the next one.
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(1 / threshold) + 1e-6)).cast("int") if threshold < 1 else F.col("n")
-    each = numbered.select("node", "n", band.alias("band"), *words, F.posexplode(prefix).alias("at", "term"))
+    each = numbered.select("node", "n", band.alias("band"), *words, F.posexplode(prefix).alias("at", "term"), first(2 * threshold / (1 + threshold)).alias("asked")).where((F.col("term.dfs") > 1) & (F.pmod(F.col("term.ids"), F.lit(passes)) == turn))
     parts = F.ceil(F.col("term.dfs") / SALT_ROWS).cast("int")
     posted = each.select(F.col("term.ids").alias("id"), "band", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("rb"), *[F.col(w).alias(f"b{w}") for w in words])
-    asking = each.select(
+    asking = each.where("at < asked").select(
         F.col("term.ids").alias("id"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), parts.alias("parts"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("ra"), *[F.col(w).alias(f"a{w}") for w in words]
     ).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     needed = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - EPSILON)
@@ -104,16 +121,26 @@ def set_candidates(numbered: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity) with a < b of `sets` (node: long, tokens: distinct); exact. Empty sets have no pair."""
+    """(a, b, similarity) with a < b of `sets` (node: long, tokens: distinct); exact, but that 64-bit hashes tell tokens apart. Empty sets have no pair."""
     tables = Tables(sets.sparkSession, "jaccard")
     known = tables.write(sets.select(F.col("node").cast("long").alias("node"), "tokens"), "sets")
     numbered = tables.write(numbered_sets(known, tables), "numbered")
     tables.drop("sets")
-    met = set_candidates(numbered, threshold).repartition(_parts(sets), "a")
+    # A pass's shuffle files go with its write: of postings, and of sets that travel once a pair, no more than a pass's lie on disk.
+    passes = PASSES if (numbered.agg(F.sum("n")).first()[0] or 0) > PASS_TOKENS else 1
+    for turn in range(passes):
+        tables.write(set_candidates(numbered, threshold, passes, turn), f"met{turn}")
+    met = tables.write(tables.read([f"met{turn}" for turn in range(passes)], "a long, b long").distinct(), "met")
+    tables.drop(*[f"met{turn}" for turn in range(passes)])
     first, second = (numbered.select(F.col("node").alias(x), F.col("ids").alias(f"t{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    scored = met.join(first, "a").join(second, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
     similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    for turn in range(passes):
+        some = met.where(F.pmod(F.xxhash64("b"), F.lit(passes)) == turn).repartition(_parts(sets), "a")
+        part = second.where(F.pmod(F.xxhash64("b"), F.lit(passes)) == turn)
+        scored = some.join(first, "a").join(part, "b").withColumn("shared", F.size(F.array_intersect("ta", "tb")))
+        tables.write(scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= threshold), f"similar{turn}")
+    tables.drop("numbered", "met")
+    return tables.read([f"similar{turn}" for turn in range(passes)], "a long, b long, similarity double")
 
 
 # --- titles -------------------------------------------------------------------------------------

@@ -133,3 +133,18 @@ def test_components_and_ranks(spark):
     assert found == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8}
     ranked = with_ranks(spark.range(1000).select((F.col("id") % 7).alias("x"), "id"), [F.col("x").desc(), F.col("id").asc()], Tables(spark, "t"))
     assert [(r["rank"], -r.x, r.id) for r in ranked.orderBy("rank").collect()] == [(k, *v) for k, v in enumerate(sorted((-(i % 7), i) for i in range(1000)), 1)]
+
+
+def test_similar_sets_in_passes(spark, monkeypatch):
+    """Postings and pairs dealt over passes give the pairs of one pass; a pass holds part of the candidates only."""
+    monkeypatch.setattr(pairs, "PASS_TOKENS", 10)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    sets = [(i, rng.sample(words, rng.randint(4, 9))) for i in range(150)]
+    sets += [(200 + i, (sets[i][1] + ["new"])[: 9 - i % 2]) for i in range(60)]
+    df = spark.createDataFrame(sets, "node long, tokens array<string>")
+    found = {(r.a, r.b) for r in pairs.jaccard_pairs(df).collect()}
+    assert found == {(a, b) for a, x in sets for b, y in sets if a < b and len(set(x) & set(y)) >= 0.7 * len(set(x) | set(y))}
+    numbered = pairs.Tables(spark, "t").write(pairs.numbered_sets(df, pairs.Tables(spark, "u")), "n")
+    each = [{(r.a, r.b) for r in pairs.set_candidates(numbered, 0.7, 4, turn).collect()} for turn in range(4)]
+    assert found <= {(min(p), max(p)) for p in set.union(*each)} and all(len(x) < len(set.union(*each)) for x in each)
