@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from re import _parser
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,6 +121,51 @@ def _java(pattern: str) -> str:
     return "(?U)" + plain if re.search(r"\\[swd]", pattern) else plain
 
 
+def _literals(items) -> list[frozenset[str]]:
+    """Sets of literals, of each of which a match of the parsed pattern holds one."""
+    groups, run = [], ""
+    for op, value in [*items, (None, None)]:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        groups += [frozenset([run])] if run else []
+        run = ""
+        if op is _parser.SUBPATTERN:
+            groups += _literals(value[3])
+        elif op is _parser.MAX_REPEAT and value[0] > 0:
+            groups += _literals(value[2])
+        elif op is _parser.BRANCH:
+            own = [_literals(branch) for branch in value[1]]
+            if all(own):
+                groups.append(frozenset().union(*[max(g, key=lambda x: min(map(len, x))) for g in own]))
+    return groups
+
+
+def _gates(text: Column, patterns: list[str]) -> Column:
+    """array<boolean>: whether the lower-cased text holds the literals that a match of each pattern needs.
+
+    A text is searched for plain words once, and the patterns run only where their words stand. A user function also
+    keeps the optimizer from repeating the search in filters and aggregates.
+    """
+    # Classes in upper case make a pattern ignore case, which folds more than lower-casing: such a pattern always runs.
+    needed = [[] if re.search(r"\\[A-Z]", p) else [sorted(g) for g in _literals(_parser.parse(p.lower()))] for p in patterns]
+
+    @F.pandas_udf("array<boolean>")
+    def gates(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [all(any(w in t for w in group) for group in groups) for groups in needed])
+
+    return gates(text)
+
+
+def _counts(lowered: Column, patterns: dict[str, list[str]]) -> dict[str, list[Column]]:
+    """The matches of each pattern by name, 0 without a search where its literals are missing."""
+    gate, at, out = _gates(lowered, [p for own in patterns.values() for p in own]), 0, {}
+    for name, own in patterns.items():
+        out[name] = [F.when(F.get(gate, F.lit(at + i)), F.regexp_count(lowered, F.lit(_java(p)))).otherwise(0) for i, p in enumerate(own)]
+        at += len(own)
+    return out
+
+
 def keyword_count(text: Column, keywords: list[str] = PAIN_KEYWORDS) -> Column:
     """How many of the keywords occur, however often."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
@@ -137,8 +184,8 @@ def rule_intent(text: Column, patterns: dict[str, list[str]] = INTENT_PATTERNS)
     """The intent with the most matches, the first in order among equals; null without any."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
     scores = [
-        F.struct(reduce(lambda a, b: a + b, [F.regexp_count(lowered, F.lit(_java(p))) for p in own]).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        for i, (name, own) in enumerate(patterns.items())
+        F.struct(reduce(lambda a, b: a + b, own).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
+        for i, (name, own) in enumerate(_counts(lowered, patterns).items())
     ]
     best = F.array_max(F.array(*scores))
     return F.when(best["score"] > 0, best["name"])
@@ -169,7 +216,7 @@ def _snippets(text: Column, patterns: dict[str, list[str]]) -> Column:
 def wtp_matches(text: Column, patterns: dict[str, list[str]] = WTP_PATTERNS) -> Column:
     """array<struct<name, n>>: kinds with a match, and the matches of each kind's first pattern that has any."""
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    counts = {name: F.array(*[F.regexp_count(lowered, F.lit(_java(p))) for p in own]) for name, own in patterns.items()}
+    counts = {name: F.array(*own) for name, own in _counts(lowered, patterns).items()}
     firsts = F.transform(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("all")) for k, c in counts.items()]), lambda x: F.struct(x["name"].alias("name"), F.get(F.filter(x["all"], lambda n: n > 0), F.lit(0)).alias("n")))
     return F.filter(firsts, lambda x: x["n"].isNotNull())
 
