@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_even, post_text, terms
-from ..functions.vectors import cosine, squared_distance
+from ..functions.vectors import cosine
 from ..tables import Tables, chunks_of
 
 #: Vectors of a chunk that is broadcast.
 CHUNK_ROWS = 10_000
+#: Queries and rows of one matrix product of distances: 32 MB.
+BLOCK_ROWS = 2_000
 #: Rows that the starts of k-means are drawn from, at most.
 START_ROWS = 10_000
 
@@ -82,11 +84,12 @@ def fit_clusters(rows: DataFrame, k: int, seed: int = 42, tries: int = 10, itera
         def partial(row, sent=sent):
             data = np.frombuffer(bytes(row["rows"]), np.float64).reshape(-1, width)
             far = _squared(data, sent.value.reshape(-1, width)).reshape(len(data), -1, k)
-            near, sums, counts = far.argmin(2), np.zeros(sent.value.shape), np.zeros(sent.value.shape[:2])
-            for i in range(near.shape[1]):
-                np.add.at(sums[i], near[:, i], data)
-                counts[i] = np.bincount(near[:, i], minlength=k)
-            return sums, counts, far.min(2).sum(0)
+            near = far.argmin(2)
+            # One product adds the rows of every try's clusters: a column a centre, 1 where the row is its own.
+            own = np.zeros((len(data), near.shape[1] * k))
+            np.put_along_axis(own, near + np.arange(near.shape[1]) * k, 1.0, 1)
+            sums, counts = (own.T @ data).reshape(sent.value.shape), own.sum(0).reshape(sent.value.shape[:2])
+            return sums, counts, np.take_along_axis(far, near[:, :, None], 2)[:, :, 0].sum(0)
 
         sums, counts, cost = packed.map(partial).treeAggregate(None, _add, _add)
         sent.unpersist()
@@ -138,13 +141,73 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     once a chunk and neither side shuffles before each task has cut its rows to k a query.
     """
     order, found = Window.partitionBy("query_id").orderBy("distance", "id"), []
-    for some in chunks_of(queries.select("query_id", F.col("embedding").alias("_q")), "query_id", CHUNK_ROWS):
-        pairs = index.select("id", F.col("embedding").alias("_e")).crossJoin(F.broadcast(some))
-        scored = pairs.select("query_id", "id", squared_distance(F.col("_q"), F.col("_e")).alias("distance"))
-        found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance"))
+    id_type, query_type = index.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    rows = index.select("id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.forall("embedding", lambda x: x.isNotNull()))
+    for some in chunks_of(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id", CHUNK_ROWS):
+        sent = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["q"]) for r in some.collect()])  # about CHUNK_ROWS rows
+        best = rows.mapInPandas(_nearest_rows(sent, k), f"query_id {query_type}, id {id_type}, distance double")
+        found.append(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance"))
     return reduce(DataFrame.union, _one_by_one(found))
 
 
+def exact_distances(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of `q` to the same rows of `e`, added in the order of the components as SQL adds them."""
+    total = np.zeros(len(q))
+    for j in range(q.shape[1]):
+        total += (q[:, j] - e[:, j]) ** 2
+    return total
+
+
+def best_rows(q: np.ndarray, e: np.ndarray, ids: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) that hold each query's k nearest rows of those `allowed` (query, row), ties to the smaller id.
+
+    A matrix product gives distances up to rounding; all rows within that of the kth are measured exactly.
+    """
+    far = _squared(q, e)
+    if allowed is not None:
+        far[~allowed] = np.inf
+    slack = 1e-9 * ((q**2).sum(1) + (e**2).sum(1).max(initial=0.0))
+    if len(e) > k:
+        near = far <= (np.partition(far, k - 1, axis=1)[:, k - 1] + slack)[:, None]
+    else:
+        near = np.ones(far.shape, bool)
+    at, row = np.nonzero(near & np.isfinite(far))
+    distance = exact_distances(q[at], e[row])
+    by = np.lexsort((ids[row], distance, at))
+    at, row, distance = at[by], row[by], distance[by]
+    first = np.searchsorted(at, at)
+    kept = np.arange(len(at)) - first < k
+    return at[kept], row[kept], distance[kept]
+
+
+def _nearest_rows(sent, k: int):
+    """(id, embedding) -> each query's k nearest rows of the task, by the blocks of one matrix product each."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not sent.value:
+            return
+        names = np.array([n for n, _ in sent.value])
+        widths = np.array([-1 if v is None or None in v else len(v) for _, v in sent.value])
+        alike = {w: (np.flatnonzero(widths == w), np.array([v for _, v in sent.value if v is not None and None not in v and len(v) == w], np.float64)) for w in set(widths.tolist()) - {-1}}
+        held = None
+        for rows in batches:
+            sizes = rows["embedding"].map(len).to_numpy()
+            for width, (places, q) in alike.items():
+                same = rows[sizes == width]
+                for start in range(0, len(same), BLOCK_ROWS):
+                    some = same.iloc[start : start + BLOCK_ROWS]
+                    ids, e = some["id"].to_numpy(), np.array(some["embedding"].tolist(), np.float64).reshape(len(some), width)
+                    for low in range(0, len(q), BLOCK_ROWS):
+                        at, row, distance = best_rows(q[low : low + BLOCK_ROWS], e, ids, k)
+                        new = pd.DataFrame({"at": places[at + low], "id": ids[row], "distance": distance})
+                        held = new if held is None else pd.concat([held, new])
+            held = held.sort_values(["at", "distance", "id"]).groupby("at").head(k) if held is not None else None
+        if held is not None:
+            yield pd.DataFrame({"query_id": names[held["at"]], "id": held["id"].to_numpy(), "distance": held["distance"].to_numpy()})
+
+    return each
+
+
 def _one_by_one(parts: list[DataFrame]) -> list[DataFrame]:
     """One plan as it is; several are run and written in turn, so that one broadcast lives at a time."""
     if len(parts) == 1:
