@@ -126,7 +126,9 @@ def term_counts(posts: DataFrame) -> DataFrame:
 
     words = F.concat(terms(F.col("title")), terms(F.col("body")))
     each = posts.select("cluster_id", "pos", F.posexplode(words).alias("at", "term"))
-    return each.groupBy("cluster_id", "term").agg(F.count("*").alias("n"), F.min(F.struct("pos", "at")).alias("first_at"))
+    # One number orders by pos, then at: rows of numbers are added up in a hash table, a struct would have all words sorted.
+    place = F.col("pos").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("at").cast("decimal(10,0)")
+    return each.groupBy("cluster_id", "term").agg(F.count("*").alias("n"), F.min(place).alias("first_at"))
 
 
 def term_novelty(clusters: DataFrame, counts: DataFrame, history: DataFrame, top: int = 20) -> DataFrame:
