@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, parsing, text
@@ -11,7 +10,7 @@ from ..operators import cleaning, language, vectors
 from ..operators.index import VectorIndex, build_index
 from ..sources import feeds, store
 from ..streaming import incremental, stateful
-from ..tables import Tables, spread
+from ..tables import Tables, spread, with_ranks
 from . import explore, providers
 from .queries import _CENTROIDS, _PAIN, _STATS, _TRACTION, CLUSTERED, COSINE, ORACLE_SQL, POSTS, _samples, _t, posts, query
 from .table_queries import _ALL, _TITLE, _entries, _entry_sql, _payloads, _quoted, _wtp_sql
@@ -224,7 +223,10 @@ def store_layout(spark, sf):
     """A run's insights of high priority, from a compacted table whose row groups are sorted by priority."""
     o, kept = _t(spark, sf, "orders"), store.Store(spark, Tables(spark, "store").root)
     kept.init()
-    rank = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+    # Ranks of one sort over all runs, less those of the runs before: no run is sorted in one task.
+    ranked = with_ranks(o.select("o_orderstatus", "o_orderkey", "o_totalprice"), [F.col("o_orderstatus").asc(), F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], Tables(spark, "ranks"))
+    firsts = ranked.groupBy("o_orderstatus").agg(F.min("rank").alias("first"))
+    o, rank = ranked.join(F.broadcast(firsts), "o_orderstatus"), (F.col("rank") - F.col("first") + 1).cast("int")
     rows = o.select(F.col("o_orderstatus").alias("run"), F.col("o_orderkey").alias("cluster_id"), F.col("o_totalprice").alias("priority_score"), rank.alias("rank"), F.lit(False).alias("monetizable"), F.array(F.struct(F.lit("u").alias("url"))).alias("examples"))
     for run in ("F", "O", "P"):
         kept.save_insights(run, rows.where(F.col("run") == run).drop("run"))
