@@ -150,6 +150,12 @@ CLASSES, COUNTS = 32, (1, 2, 3, 4, 6, 8, 11, 15)
 BAG_WORDS = CLASSES * len(COUNTS) // 64
 #: Longest chunk, and buckets of the table of chunk frequencies, which the driver holds.
 CHUNK, FREQUENCIES = 4, 1 << 16
+#: Pairs compared by bags in a block's time of one meeting of equal chunks in a join.
+MEETING_PAIRS = 50
+#: Titles of a group, whose pairs with another group's are one task, at most and at least; titles met at a time.
+GROUP_TITLES, LEAST_TITLES, PIECE = 131_072, 1_000, 32_768
+#: Characters of a title's start that are aligned with its partner's, step by step.
+STARTS = (24, 32, 48)
 
 
 def _common(a: str, b: str) -> int:
@@ -242,7 +248,7 @@ def _rarest(costs: np.ndarray, chunks: int, size: int) -> np.ndarray:
 
 
 def _chunked(frequency, threshold: int):
-    """(node, title) -> with n, chunk size, starts of the chunks, sizes of partners' chunks, bag words."""
+    """(node, title) -> with n, chunk size, starts of the chunks, sizes of partners' chunks, equal chunks, bag words."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -251,8 +257,10 @@ def _chunked(frequency, threshold: int):
                 chunks, size = _plan(n, threshold)
                 if not size:
                     continue
-                starts = _rarest(frequency.value[_bucket(codes, size)], chunks, size)
-                own = rows.iloc[at].assign(n=n, size=size, starts=list(starts.astype(np.int32)), sizes=[np.array(_sizes(n, threshold), np.int32)] * len(at))
+                costs = frequency.value[_bucket(codes, size)]
+                starts = _rarest(costs, chunks, size)
+                meets = np.take_along_axis(costs, starts, 1).sum(1)
+                own = rows.iloc[at].assign(n=n, size=size, meets=meets, starts=list(starts.astype(np.int32)), sizes=[np.array(_sizes(n, threshold), np.int32)] * len(at))
                 found.append(own.assign(**{f"x{k}": w for k, w in enumerate(_bags(codes))}))
             if found:
                 yield pd.concat(found)
@@ -260,13 +268,131 @@ def _chunked(frequency, threshold: int):
     return each
 
 
+def _allowed(n: int, lengths: np.ndarray, threshold: int) -> np.ndarray:
+    """Insertions and deletions between a title of n characters and similar ones of `lengths`, at most."""
+    return np.floor((n + lengths) * ((100 - threshold) / 100) + EPSILON).astype(np.int64)
+
+
+def _masks(codes: list[np.ndarray]) -> np.ndarray:
+    """(class, title): bits of the places of a class's characters among the first 64."""
+    out = np.zeros((CLASSES, len(codes)), np.uint64)
+    for i, own in enumerate(codes):
+        np.bitwise_or.at(out[:, i], own[:64] % CLASSES, np.uint64(1) << np.arange(min(64, len(own)), dtype=np.uint64))
+    return out
+
+
+def _starts_fit(start: np.ndarray, masks: np.ndarray, at: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The titles of `at` that hold enough of `start`, a title's first classes, as a subsequence of their own start.
+
+    Of p characters all but the deleted ones stand, in order, among the first p + inserted of the partner, which is asked
+    after each of STARTS characters; reversed titles give the ends. The rows of the common subsequence's table are bits of an integer; a partner whose
+    such start is over 64 characters long stays.
+    """
+    full, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
+    row, done = np.full(len(at), full), 0
+    for p in sorted({min(p, len(start)) for p in STARTS}):
+        known = {c: masks[c][at] for c in set(start[done:p].tolist())}
+        for c in start[done:p].tolist():
+            hit = row & known[c]
+            row = (row + hit) | (row ^ hit)  # hit is a part of row: its difference is the exclusive or
+        window, done = np.minimum(lengths, p + inserted), p
+        bits = np.where(window >= 64, full, (one << np.minimum(window, 63).astype(np.uint64)) - one)
+        fits = np.flatnonzero((np.bitwise_count(~row & bits) >= p - deleted) | (window > 64))
+        at, row, deleted, inserted, lengths = at[fits], row[fits], deleted[fits], inserted[fits], lengths[fits]
+        if not len(at):
+            break
+    return at
+
+
+class _Block:
+    """Titles of a group by length: nodes, classes of characters, bags."""
+
+    def __init__(self, rows: pd.DataFrame):
+        found = [(n, rows["node"].to_numpy(np.int64)[at], codes) for n, at, codes in _by_length(rows["title"].tolist())]
+        self.nodes = np.concatenate([nodes for _, nodes, _ in found])
+        self.lengths = np.repeat([n for n, _, _ in found], [len(nodes) for _, nodes, _ in found])
+        self.codes = [row for _, _, codes in found for row in (codes % np.uint64(CLASSES)).astype(np.int64)]
+        bags = [np.concatenate(words) for words in zip(*[_bags(codes) for _, _, codes in found], strict=True)]
+        self.bags = [np.ascontiguousarray(words).view(np.uint64) for words in bags]
+
+
+def _block_pairs(a: _Block, b: _Block, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes of pairs of two blocks, or of one block given twice, that may reach the ratio."""
+    same = a is b
+    for piece in range(0, len(b.nodes), PIECE):
+        part = slice(piece, piece + PIECE)
+        lengths, bags, masks = b.lengths[part], [words[part] for words in b.bags], [_masks([c[::way] for c in b.codes[part]]) for way in (1, -1)]
+        differ, count = np.empty(len(lengths), np.uint64), np.empty(len(lengths), np.uint8)
+        total = np.empty(len(lengths), np.uint8)  # the bits of a bag are 256: if all differ it reads 0, and the pair stays
+        last, allowed, limit, low, high = None, None, None, 0, 0
+        for i in range(len(a.nodes)):
+            n = int(a.lengths[i])
+            if n != last:
+                last, allowed = n, _allowed(n, lengths, threshold)
+                limit = np.minimum(allowed, 255).astype(np.uint8)
+                fits = np.flatnonzero(np.abs(lengths - n) <= allowed)  # one run: a longer title allows less than its length more
+                low, high = (int(fits[0]), int(fits[-1]) + 1) if len(fits) else (0, 0)
+            first = max(low, i + 1 - piece) if same else low
+            if first >= high:
+                continue
+            own = slice(first, high)
+            for k, words in enumerate(bags):
+                np.bitwise_xor(words[own], a.bags[k][i], out=differ[own])
+                np.bitwise_count(differ[own], out=(count if k else total)[own])
+                if k:
+                    np.add(total[own], count[own], out=total[own])
+            at = first + np.flatnonzero(total[own] <= limit[own])
+            for way, own_masks in zip((1, -1), masks, strict=True):  # from the start, and from the end
+                edits, longer = allowed[at], n - lengths[at]
+                at = _starts_fit(a.codes[i][::way][: STARTS[-1]], own_masks, at, (edits + longer) // 2, (edits - longer) // 2, lengths[at]) if len(at) else at
+            if len(at):
+                yield np.full(len(at), a.nodes[i]), b.nodes[piece + at]
+
+
+def _cells(threshold: int, groups: int):
+    """Rows of cells (cell, own, node, title) -> (a, b); a partition has the whole rows of its cells."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = list(batches)
+        if not kept:
+            return
+        for cell, rows in pd.concat(kept).groupby("cell"):
+            i, j = divmod(int(cell), groups)
+            sides = {g: _Block(own) for g, own in rows.groupby("own")}
+            if i in sides and j in sides:
+                for x, y in _block_pairs(sides[i], sides[j], threshold):
+                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return each
+
+
+def block_candidates(titles: DataFrame, threshold: int, groups: int | None = None) -> DataFrame:
+    """(a, b) pairs of `titles` (node: long, title: distinct, not empty) that may reach the ratio, every pair compared once.
+
+    Titles are dealt into groups, and a task compares the titles of two groups: by lengths, by bags, and by the starts
+    and ends that must stand in the partner's. Tasks hold two groups however many titles there are; pairs grow with their square.
+    """
+    n, cores = titles.count(), titles.sparkSession.sparkContext.defaultParallelism
+    groups = groups or max(-(-n // GROUP_TITLES), min(-(-n // LEAST_TITLES), math.ceil(math.sqrt(8 * cores))), 1)
+    own = F.pmod(F.xxhash64("node"), F.lit(groups)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = titles.select("node", "title", own.alias("own")).withColumn("other", other)
+    cell = (F.least("own", "other") * groups + F.greatest("own", "other")).alias("cell")
+    # Cells are numbered without gaps, and a partition takes one: by hash some would take several, others none.
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    number = (high * (high + 1) / 2 + low).cast("int")
+    placed = dealt.select(cell, "own", "node", "title", number.alias("number")).repartitionById(groups * (groups + 1) // 2, F.col("number")).drop("number")
+    return placed.mapInPandas(_cells(threshold, groups), "a long, b long")
+
+
 def title_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataFrame:
     """(a, b) pairs of `titles` (node: long, title: distinct) that may reach the ratio; each pair once.
 
     With ratio r two lengths allow d = (1 - r)(la + lb) insertions and deletions. Each spoils at most one of d + 1
     disjoint chunks of the longer title, so some chunk i (from 0) stands in the shorter one, with at most i edits
     before it and d - i behind, which bounds its shift. Any disjoint chunks will do: those with the least sum of
-    frequencies are taken. Pairs of equal chunks whose bags differ in more than d bits go at once.
+    frequencies are taken. Pairs of equal chunks whose bags differ in more than d bits go at once. Where chunks are so
+    frequent that meeting them costs more than comparing all pairs, all pairs are compared, in blocks.
     """
     if not 50 < threshold <= 100:
         raise ValueError("a threshold of over 50 and at most 100")
@@ -277,8 +403,11 @@ def title_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataF
     for r in counted.collect():  # at most FREQUENCIES rows
         table[r["bucket"]] = r["times"]
     words = [f"x{k}" for k in range(BAG_WORDS)]
-    schema = "node long, title string, n int, size int, starts array<int>, sizes array<int>, " + ", ".join(f"{w} long" for w in words)
+    schema = "node long, title string, n int, size int, starts array<int>, sizes array<int>, meets long, " + ", ".join(f"{w} long" for w in words)
     cut = tables.write(titles.mapInPandas(_chunked(spark.sparkContext.broadcast(table), threshold), schema), "chunks")
+    meets, n = cut.agg(F.sum("meets"), F.count("*")).first()
+    if (meets or 0) * MEETING_PAIRS > n * n / 2:
+        return block_candidates(titles, threshold)
     at = F.posexplode("starts").alias("i", "p")
     indexed = cut.select(F.col("node").alias("s"), "title", "size", F.col("n").alias("ns"), *[F.col(w).alias(f"s{w}") for w in words], at)
     indexed = indexed.withColumn("gram", F.substring("title", F.col("p") + 1, F.col("size"))).drop("title", "size")

@@ -148,3 +148,28 @@ def test_similar_sets_in_passes(spark, monkeypatch):
     numbered = pairs.Tables(spark, "t").write(pairs.numbered_sets(df, pairs.Tables(spark, "u")), "n")
     each = [{(r.a, r.b) for r in pairs.set_candidates(numbered, 0.7, 4, turn).collect()} for turn in range(4)]
     assert found <= {(min(p), max(p)) for p in set.union(*each)} and all(len(x) < len(set.union(*each)) for x in each)
+
+
+@pytest.mark.parametrize("threshold", [90, 80, 97])
+def test_titles_in_blocks_equal_brute_force(spark, threshold):
+    """Each pair of groups is compared once and loses no similar pair; few others stay."""
+    rng = random.Random(100 + threshold)
+    titles = list(dict.fromkeys(random_titles(rng, 60) + ["".join(rng.choices("abcdefgh é", k=k)) for k in (63, 64, 65, 150, 150, 300)]))
+    titles += [t[:70] + "y" + t[72:] for t in titles[-2:]]
+    frame = spark.createDataFrame(list(enumerate(titles)), "node long, title string").repartition(3)
+    want = {(i, j) for i in range(len(titles)) for j in range(i + 1, len(titles)) if pairs.indel_ratio(titles[i], titles[j]) >= threshold}
+    met = [(r.a, r.b) for r in pairs.block_candidates(frame, threshold, groups=3).collect()]
+    assert want <= set(met) and len(met) == len(set(met)) < len(titles) ** 2 / 6
+
+
+def test_titles_of_frequent_chunks_meet_in_blocks(spark, monkeypatch):
+    """Titles of one small vocabulary share chunks with most others: they are compared in blocks, and few become candidates."""
+    rng = random.Random(8)
+    words = ["the", "and", "than", "ting", "ion", "ent", "here", "edan"]
+    titles = list(dict.fromkeys(" ".join(rng.choices(words, k=20))[:80] for _ in range(300)))
+    asked = []
+    blocks = pairs.block_candidates
+    monkeypatch.setattr(pairs, "block_candidates", lambda *args: asked.append(1) or blocks(*args))
+    frame = spark.createDataFrame(list(enumerate(titles)), "node long, title string")
+    met = pairs.title_candidates(frame, 90, Tables(spark, "t")).count()
+    assert asked and met < len(titles)
