@@ -43,8 +43,8 @@ class BiGru:
     def parameters(self) -> list[np.ndarray]:
         return [*self.tables, *self.recurrent, *self.out, self.bias]
 
-    def states(self, codes: np.ndarray, side: int, keep: bool = False):
-        """codes: (time, rows). States after each step, and what back-propagation needs if `keep`."""
+    def states(self, codes: np.ndarray, side: int):
+        """codes: (time, rows). States after each step, and what back-propagation needs."""
         table, u = self.tables[side], self.recurrent[side]
         k = u.shape[0]
         steps, rows = codes.shape
@@ -61,25 +61,61 @@ class BiGru:
             fresh = reset * s[:, 2 * k :]
             fresh += x[:, 2 * k :]
             np.tanh(fresh, out=fresh)
-            if keep:
-                kept.append((state, reset, update, s[:, 2 * k :], fresh))
+            kept.append((state, reset, update, s[:, 2 * k :], fresh))
             state = fresh + update * (state - fresh)
             states[t] = state
         return states, kept
 
+    def run(self, codes: np.ndarray, side: int) -> np.ndarray:
+        """The states of `states`, but for rounding: gates and fresh states lie apart, so that every operation reads whole runs of memory."""
+        k = self.recurrent[side].shape[0]
+
+        def split(x: np.ndarray, *shares: int) -> list[np.ndarray]:
+            return [np.ascontiguousarray(x[:, g * k : (g + 1) * k] * np.float32(share)) for g, share in enumerate(shares)]
+
+        # exp costs half of tanh. A gate is 1 / (1 + exp(-x)) and tanh(x) is 1 - 2 / (1 + exp(2 x)): signs and twos go into the weights.
+        (r_table, u_table, f_table), (r_weights, u_weights, f_weights) = split(self.tables[side], -1, -1, 2), split(self.recurrent[side], -1, -1, 2)
+        steps, rows = codes.shape
+        states, before = np.empty((steps, rows, k), np.float32), np.zeros((rows, k), np.float32)
+        reset, update, fresh, product = (np.empty((rows, k), np.float32) for _ in range(4))
+        with np.errstate(over="ignore"):  # an infinite exp is a gate of 0 or a tanh of 1
+            for t in range(steps) if not side else range(steps - 1, -1, -1):
+                for gate, table, weights in ((reset, r_table, r_weights), (update, u_table, u_weights)):
+                    np.take(table, codes[t], axis=0, out=gate, mode="clip")
+                    np.matmul(before, weights, out=product)
+                    gate += product
+                    np.exp(gate, out=gate)
+                    gate += 1
+                np.matmul(before, f_weights, out=product)
+                np.take(f_table, codes[t], axis=0, out=fresh, mode="clip")
+                product /= reset
+                fresh += product
+                np.exp(fresh, out=fresh)
+                fresh += 1
+                np.divide(-2, fresh, out=fresh)
+                fresh += 1
+                state = states[t]
+                np.subtract(before, fresh, out=state)
+                state /= update
+                state += fresh
+                before = state
+        return states
+
     def probabilities(self, codes: np.ndarray) -> np.ndarray:
-        """(time, rows, languages)"""
-        logits = self.states(codes, 0)[0] @ self.out[0]
-        logits += self.states(codes, 1)[0] @ self.out[1]
-        logits += self.bias
-        logits -= logits.max(-1, keepdims=True)
+        """(time, rows, languages), a view of an array by language."""
+        codes = codes.astype(np.intp)
+        logits = np.zeros((len(self.languages), codes.size), np.float32)
+        for side in range(2):
+            logits += np.matmul(self.out[side].T, self.run(codes, side).reshape(codes.size, -1).T)
+        logits += self.bias[:, None]
+        logits -= logits.max(0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(-1, keepdims=True)
-        return logits
+        logits /= logits.sum(0)
+        return logits.reshape(-1, *codes.shape).transpose(1, 2, 0)
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross-entropy of all positions that are not padding, and its gradients in the order of parameters()."""
-        runs = [self.states(codes, side, keep=True) for side in range(2)]
+        runs = [self.states(codes, side) for side in range(2)]
         logits = runs[0][0] @ self.out[0] + runs[1][0] @ self.out[1] + self.bias
         logits -= logits.max(-1, keepdims=True)
         p = np.exp(logits)
@@ -172,7 +208,7 @@ def predict(net: BiGru, texts: list[str | None], rows_at_once: int = 1024) -> np
         use = there & own & np.append(_LETTER, False)[codes]
         p = net.probabilities(codes)[MARGIN:-MARGIN]
         use = use[MARGIN:-MARGIN]
-        summed = np.einsum("trl,tr->rl", p, use.astype(np.float32))
+        summed = np.stack([(p[:, :, x] * use).sum(0) for x in range(p.shape[2])], 1)
         np.add.at(sums, d, summed)
         np.add.at(counts, d, use.sum(0))
     with np.errstate(invalid="ignore"):
