@@ -1,17 +1,18 @@
 """A language detector fitted on labelled rows: naive Bayes over hashed character trigrams.
 
-Fitting counts trigrams by language in Spark; the model is a bounded table of integer log-probabilities. Scoring is a
-column expression that looks each trigram's weight up in an array and adds, so it runs inside a plan without Python and
-gives the same integers anywhere.
+Fitting counts trigrams by language in Spark; the model is a bounded table of integer log-probabilities. Scoring looks
+each trigram's weight up and adds integers, which are the same anywhere. Both take the letters of a batch of texts as one
+array of code points.
 """
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ BUCKETS = 8_192
 UNITS = 100
 #: Shortest text, white space at its ends left out, whose language is told.
 LEAST_CHARS = 10
+#: Characters that are turned into trigrams at a time; a longer text is taken in parts.
+BATCH_CHARS = 1 << 20
 
 
 def letters(text: Column) -> Column:
@@ -40,8 +43,50 @@ def trigram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     return F.get(F.transform(F.array(codes), lambda c: F.when(F.size(c) >= 3, runs(c)).otherwise(F.array().cast("array<int>"))), F.lit(0))
 
 
-def _weighed(buckets: Column, weights: Column) -> Column:
-    return F.aggregate(buckets, F.lit(0).cast("bigint"), lambda total, b: total + F.get(weights, b))
+def _runs(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text's number, bucket) of all trigrams of texts that `letters` gave: some BATCH_CHARS characters at a time."""
+
+    def of(parts: list[str], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.int32)
+        owner = np.repeat(np.array(owners, np.int64), [len(x) for x in parts])
+        ends = np.cumsum([len(x) for x in parts])
+        whole = np.ones(len(codes), bool)  # a run that begins at a part's last two characters is none
+        for back in (1, 2):
+            whole[ends - back] = False
+        at = np.flatnonzero(whole)
+        # Three code points in base 31 are under 2^31, as in the column's integers.
+        return owner[at], ((codes[at] * 31 + codes[at + 1]) * 31 + codes[at + 2]) % buckets
+
+    parts, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        for start in range(0, len(t or "") - 2, BATCH_CHARS):
+            part = t[start : start + BATCH_CHARS + 2]
+            parts.append(part)
+            owners.append(i)
+            size += len(part)
+            if size >= BATCH_CHARS:
+                yield of(parts, owners)
+                parts, owners, size = [], [], 0
+    if parts:
+        yield of(parts, owners)
+
+
+def _counted(buckets: int):
+    """(lang, letters) -> (lang, bucket, n): counts of parts of a batch."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            code, names = pd.factorize(rows["lang"])
+            for own, bucket in _runs(rows["letters"].tolist(), buckets):
+                if len(names) * buckets <= 1 << 22:
+                    n = np.bincount(code[own] * buckets + bucket, minlength=len(names) * buckets)
+                    cells = np.flatnonzero(n)
+                    n = n[cells]
+                else:
+                    cells, n = np.unique(code[own] * buckets + bucket, return_counts=True)
+                yield pd.DataFrame({"lang": np.asarray(names, object)[cells // buckets], "bucket": (cells % buckets).astype(np.int32), "n": n.astype(np.int64)})
+
+    return each
 
 
 @dataclass(frozen=True)
@@ -50,23 +95,29 @@ class LanguageModel:
 
     weights: dict[str, list[int]]
 
-    def scores(self, text: Column) -> Column:
-        """Array of (score, order, lang): languages by name, each with the sum of its weights over the text."""
-        languages, buckets = sorted(self.weights), len(next(iter(self.weights.values())))
-        tables = [F.from_json(F.lit(json.dumps(self.weights[name])), "array<int>") for name in languages]
+    def best(self, text: Column) -> Column:
+        """The language of the highest sum of weights over the text's trigrams, the first by name among equals."""
+        languages = sorted(self.weights)
+        table = np.array([self.weights[name] for name in languages], np.int64)
 
-        def scored(found: Column) -> Column:
-            sums = [_weighed(found, own) for own in tables]
-            return F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("lang")) for i, (name, s) in enumerate(zip(languages, sums, strict=True))])
+        @F.pandas_udf("string")
+        def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for found in batches:
+                sums = np.zeros((len(languages), len(found)), np.int64)
+                for own, bucket in _runs(found.tolist(), table.shape[1]):
+                    first = np.flatnonzero(np.diff(own, prepend=-1))  # rows come in order, so a text's trigrams lie together
+                    for total, weights in zip(sums, table, strict=True):
+                        total[own[first]] += np.add.reduceat(weights[bucket], first)
+                yield pd.Series(np.array(languages, object)[sums.argmax(0)], dtype=object)
 
-        return F.get(F.transform(F.array(trigram_buckets(text, buckets)), scored), F.lit(0))
+        return named(letters(text))
 
     def detector(self) -> Callable[[Column], Column]:
         """text -> its likeliest language, the first by name among equals; null for a text of under ten characters or without letters."""
 
         def detect(text: Column) -> Column:
             told = (F.length(F.trim(text)) >= LEAST_CHARS) & text.rlike(r"\p{L}")
-            return F.when(told, F.array_max(self.scores(text))["lang"])
+            return F.when(told, self.best(text))
 
         return detect
 
@@ -77,9 +128,9 @@ def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: st
     A bucket's weight is that of its share of the language's trigrams, smoothed by half a trigram a bucket.
     """
     rows = labelled.where(F.col(lang_col).isNotNull())
-    each = rows.select(F.col(lang_col).alias("lang"), F.explode(trigram_buckets(F.col(text_col), buckets)).alias("bucket"))
+    each = rows.select(F.col(lang_col).cast("string").alias("lang"), letters(F.col(text_col)).alias("letters")).mapInPandas(_counted(buckets), "lang string, bucket int, n long")
     counts: dict[str, list[int]] = {}
-    for r in each.groupBy("lang", "bucket").agg(F.count("*").alias("n")).collect():
+    for r in each.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts.setdefault(r["lang"], [0] * buckets)[r["bucket"]] = r["n"]
     if not counts:
         raise ValueError("no labelled text has a letter")

@@ -84,3 +84,19 @@ def test_empty_index(spark, tmp_path):
     build_index(spark.createDataFrame([], "id long, embedding array<double>"), str(tmp_path))
     index = VectorIndex.load(spark, str(tmp_path))
     assert index.search(spark.createDataFrame([(1, [0.0])], "query_id long, embedding array<double>"), 3).count() == 0
+
+
+def test_trigrams_of_a_batch_equal_the_column(spark, monkeypatch):
+    """A batch's trigrams, taken in parts of any size, are those of each text; the tags are the best sums of weights."""
+    texts = ["", "7 !", "a", "Hello, World", "l'été À la", "漢字 x", "ÿ\n\tz", "😀 one 𝔘two", None, "the cat sat on the mat " * 9, "𝔘" * 40]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", "text", language.letters(F.col("text")).alias("own"), language.trigram_buckets(F.col("text"), 97).alias("b")).orderBy("i").collect()
+    for size in (1, 5, 1 << 20):
+        monkeypatch.setattr(language, "BATCH_CHARS", size)
+        got = {i: [] for i in range(len(texts))}
+        for own, bucket in language._runs([r.own for r in rows], 97):
+            for i, b in zip(own.tolist(), bucket.tolist(), strict=True):
+                got[i].append(b)
+        assert got == {r.i: r.b for r in rows}
+    model = language.LanguageModel({"x": [b % 7 for b in range(97)], "a": [b % 5 for b in range(97)]})
+    found = spark.createDataFrame([(r.i, r.text) for r in rows], "i int, text string").select("i", model.best(F.col("text")).alias("lang")).collect()
+    assert {r.i: r.lang for r in found} == {r.i: max(sorted(model.weights), key=lambda x: sum(model.weights[x][b] for b in r.b)) for r in rows}
