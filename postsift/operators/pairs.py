@@ -154,8 +154,10 @@ CHUNK, FREQUENCIES = 4, 1 << 16
 MEETING_PAIRS = 50
 #: Titles of a group, whose pairs with another group's are one task, at most and at least; titles met at a time.
 GROUP_TITLES, LEAST_TITLES, PIECE = 131_072, 1_000, 32_768
-#: Characters of a title's start that are aligned with its partner's, step by step.
-STARTS = (24, 32, 48)
+#: Bits of a title's sketch of neighbouring characters, and folded for all pairs, where a byte counts them; characters compared at a time.
+WIDE_BITS, SKETCH_BITS, CELLS = 1024, 256, 1 << 19
+#: Characters after which pairs that are too far apart by then are left.
+STEPS = 16
 
 
 def _common(a: str, b: str) -> int:
@@ -273,80 +275,143 @@ def _allowed(n: int, lengths: np.ndarray, threshold: int) -> np.ndarray:
     return np.floor((n + lengths) * ((100 - threshold) / 100) + EPSILON).astype(np.int64)
 
 
-def _masks(codes: list[np.ndarray]) -> np.ndarray:
-    """(class, title): bits of the places of a class's characters among the first 64."""
-    out = np.zeros((CLASSES, len(codes)), np.uint64)
-    for i, own in enumerate(codes):
-        np.bitwise_or.at(out[:, i], own[:64] % CLASSES, np.uint64(1) << np.arange(min(64, len(own)), dtype=np.uint64))
-    return out
-
-
-def _starts_fit(start: np.ndarray, masks: np.ndarray, at: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The titles of `at` that hold enough of `start`, a title's first classes, as a subsequence of their own start.
+def _sketches(codes: np.ndarray) -> np.ndarray:
+    """WIDE_BITS / 64 words a title: parities of its pairs of neighbouring characters, by a hash; a pair's second occurrence counts as another pair.
 
-    Of p characters all but the deleted ones stand, in order, among the first p + inserted of the partner, which is asked
-    after each of STARTS characters; reversed titles give the ends. The rows of the common subsequence's table are bits of an integer; a partner whose
-    such start is over 64 characters long stays.
+    An insertion or a deletion puts one pair in the place of two or two in the place of one, so d of them differ in at most 3 d bits.
     """
-    full, one = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
-    row, done = np.full(len(at), full), 0
-    for p in sorted({min(p, len(start)) for p in STARTS}):
-        known = {c: masks[c][at] for c in set(start[done:p].tolist())}
-        for c in start[done:p].tolist():
-            hit = row & known[c]
-            row = (row + hit) | (row ^ hit)  # hit is a part of row: its difference is the exclusive or
-        window, done = np.minimum(lengths, p + inserted), p
-        bits = np.where(window >= 64, full, (one << np.minimum(window, 63).astype(np.uint64)) - one)
-        fits = np.flatnonzero((np.bitwise_count(~row & bits) >= p - deleted) | (window > 64))
-        at, row, deleted, inserted, lengths = at[fits], row[fits], deleted[fits], inserted[fits], lengths[fits]
-        if not len(at):
-            break
-    return at
+    grams = np.sort(codes[:, :-1] << np.uint64(32) | codes[:, 1:], axis=1)
+    place = np.broadcast_to(np.arange(grams.shape[1]), grams.shape)
+    starts = np.ones(grams.shape, bool)
+    starts[:, 1:] = grams[:, 1:] != grams[:, :-1]
+    turn = place - np.maximum.accumulate(np.where(starts, place, 0), 1)
+    h = (grams ^ turn.astype(np.uint64) << np.uint64(56)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    out = np.zeros((len(codes), WIDE_BITS // 64), np.uint64)
+    word, bit = (h // np.uint64(64) % np.uint64(WIDE_BITS // 64)).astype(np.int64), np.uint64(1) << h % np.uint64(64)
+    np.bitwise_xor.at(out, (np.arange(len(codes))[:, None], word), bit)
+    return out
 
 
 class _Block:
-    """Titles of a group by length: nodes, classes of characters, bags."""
+    """Titles of a group by length: nodes, code points one title after another, bags, sketches, and sketches folded to SKETCH_BITS."""
 
     def __init__(self, rows: pd.DataFrame):
         found = [(n, rows["node"].to_numpy(np.int64)[at], codes) for n, at, codes in _by_length(rows["title"].tolist())]
         self.nodes = np.concatenate([nodes for _, nodes, _ in found])
         self.lengths = np.repeat([n for n, _, _ in found], [len(nodes) for _, nodes, _ in found])
-        self.codes = [row for _, _, codes in found for row in (codes % np.uint64(CLASSES)).astype(np.int64)]
-        bags = [np.concatenate(words) for words in zip(*[_bags(codes) for _, _, codes in found], strict=True)]
-        self.bags = [np.ascontiguousarray(words).view(np.uint64) for words in bags]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.points = np.concatenate([codes.astype(np.uint32).ravel() for _, _, codes in found])
+        self.bags = np.concatenate([np.stack(_bags(codes), 1) for _, _, codes in found]).view(np.uint64)  # a negative number would count as its absolute value
+        self.sketches = np.concatenate([_sketches(codes) for _, _, codes in found])
+        self.folded = np.ascontiguousarray(np.bitwise_xor.reduce(self.sketches.reshape(len(self.nodes), -1, SKETCH_BITS // 64), axis=1).T)
+
+    def padded(self, letters: np.ndarray, at: np.ndarray, width: int, other: int) -> np.ndarray:
+        """`letters` (one for each code point) of titles, a row each, with `other` behind them."""
+        place = np.arange(width)
+        out = letters[np.minimum(self.starts[at][:, None] + place, len(letters) - 1)]
+        out[place >= self.lengths[at][:, None]] = other
+        return out
+
+
+def _letters(a: _Block, b: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of both, numbered from 2, in a byte where that is enough."""
+    used = np.union1d(a.points, b.points)
+    kind = np.uint8 if len(used) <= 254 else np.uint32
+    return tuple((np.searchsorted(used, x.points) + 2).astype(kind) for x in (a, b))
+
+
+def _fits(rows: list[np.ndarray], window: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Where at least so many of a window's first bits are zero."""
+    full, found = np.uint64(0xFFFFFFFFFFFFFFFF), np.zeros(len(window), np.int64)
+    for w, row in enumerate(rows):
+        bits = np.clip(window - 64 * w, 0, 64)
+        mask = np.where(bits > 0, full >> (64 - np.maximum(bits, 1)).astype(np.uint64), np.uint64(0))
+        found += np.bitwise_count(~row & mask)
+    return found >= least
+
+
+def _similar(a: _Block, b: _Block, letters: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int) -> np.ndarray:
+    """Places of the pairs of titles x of a and y of b that reach the ratio, by the common subsequence as in `_common`, a step for all at once.
+
+    Of p characters all but the deleted ones stand, in order, among the first p + inserted of the partner: that is asked every STEPS
+    characters, of few pairs that are not similar more than once or twice.
+    """
+    out, words = [np.empty(0, np.int64)], -(-b.lengths[y] // 64)
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        step = max(1, CELLS // (64 * w))
+        for k in range(0, len(own), step):
+            at = own[k : k + step]
+            na, nb = a.lengths[x[at]], b.lengths[y[at]]
+            edits = np.floor((na + nb) * ((100 - threshold) / 100) + EPSILON).astype(np.int64)
+            first, second = a.padded(letters[0], x[at], int(na.max()), 0), b.padded(letters[1], y[at], 64 * w, 1)  # no letters, and not equal
+            rows = [np.full(len(at), np.uint64(0xFFFFFFFFFFFFFFFF)) for _ in range(w)]
+            for p in range(first.shape[1]):
+                if p and p % STEPS == 0:
+                    # A title that has ended is asked for what all of it holds.
+                    fits = np.flatnonzero(_fits(rows, np.minimum(nb, p + (edits - na + nb) // 2), np.minimum(p, na) - (edits + na - nb) // 2))
+                    if len(fits) < len(at):
+                        at, na, nb, edits, first, second, rows = at[fits], na[fits], nb[fits], edits[fits], first[fits], second[fits], [row[fits] for row in rows]
+                masks = np.packbits((second == first[:, p, None]).ravel(), bitorder="little").view("<u8").reshape(len(at), w)
+                carry = np.zeros(len(at), np.uint64)
+                for word, row in enumerate(rows):
+                    hit = row & masks[:, word]
+                    total = row + hit
+                    over = total < hit
+                    total += carry
+                    carry = (over | (total < carry)).astype(np.uint64)
+                    rows[word] = total | (row ^ hit)  # hit is a part of row: its difference is the exclusive or
+            common = 64 * w - sum(np.bitwise_count(row).astype(np.int64) for row in rows)
+            out.append(at[200.0 * common / (na + nb) >= threshold])
+    return np.concatenate(out)
 
 
 def _block_pairs(a: _Block, b: _Block, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of pairs of two blocks, or of one block given twice, that may reach the ratio."""
-    same = a is b
+    """Nodes of pairs of two blocks, or of one block given twice, that reach the ratio."""
+    same, letters = a is b, _letters(a, b)
+
+    def similar(found: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.repeat([i for i, _ in found], [len(at) for _, at in found]), np.concatenate([at for _, at in found])
+        edits = np.floor((a.lengths[x] + b.lengths[y]) * ((100 - threshold) / 100) + EPSILON)
+        for p, q, times in ((a.sketches, b.sketches, 3), (a.bags, b.bags, 1)):
+            near = np.bitwise_count(p[x] ^ q[y]).sum(1, dtype=np.int64) <= times * edits
+            x, y, edits = x[near], y[near], edits[near]
+        fits = _similar(a, b, letters, x, y, threshold)
+        return a.nodes[x[fits]], b.nodes[y[fits]]
+
     for piece in range(0, len(b.nodes), PIECE):
         part = slice(piece, piece + PIECE)
-        lengths, bags, masks = b.lengths[part], [words[part] for words in b.bags], [_masks([c[::way] for c in b.codes[part]]) for way in (1, -1)]
+        lengths, sketches = b.lengths[part], b.folded[:, part]
         differ, count = np.empty(len(lengths), np.uint64), np.empty(len(lengths), np.uint8)
-        total = np.empty(len(lengths), np.uint8)  # the bits of a bag are 256: if all differ it reads 0, and the pair stays
-        last, allowed, limit, low, high = None, None, None, 0, 0
+        total = np.empty(len(lengths), np.uint8)  # of 256 bits: if all differ it reads 0, and the pair stays
+        last, limit, low, high = None, None, 0, 0
+        found, waiting = [], 0
         for i in range(len(a.nodes)):
             n = int(a.lengths[i])
             if n != last:
                 last, allowed = n, _allowed(n, lengths, threshold)
-                limit = np.minimum(allowed, 255).astype(np.uint8)
+                limit = np.minimum(3 * allowed, 255).astype(np.uint8)
                 fits = np.flatnonzero(np.abs(lengths - n) <= allowed)  # one run: a longer title allows less than its length more
                 low, high = (int(fits[0]), int(fits[-1]) + 1) if len(fits) else (0, 0)
             first = max(low, i + 1 - piece) if same else low
             if first >= high:
                 continue
             own = slice(first, high)
-            for k, words in enumerate(bags):
-                np.bitwise_xor(words[own], a.bags[k][i], out=differ[own])
+            for k, words in enumerate(sketches):
+                np.bitwise_xor(words[own], a.folded[k, i], out=differ[own])
                 np.bitwise_count(differ[own], out=(count if k else total)[own])
                 if k:
                     np.add(total[own], count[own], out=total[own])
-            at = first + np.flatnonzero(total[own] <= limit[own])
-            for way, own_masks in zip((1, -1), masks, strict=True):  # from the start, and from the end
-                edits, longer = allowed[at], n - lengths[at]
-                at = _starts_fit(a.codes[i][::way][: STARTS[-1]], own_masks, at, (edits + longer) // 2, (edits - longer) // 2, lengths[at]) if len(at) else at
+            at = np.flatnonzero(total[own] <= limit[own])
             if len(at):
-                yield np.full(len(at), a.nodes[i]), b.nodes[piece + at]
+                found.append((i, piece + first + at))
+                waiting += len(at)
+            if waiting >= PIECE:
+                yield similar(found)
+                found, waiting = [], 0
+        if found:
+            yield similar(found)
 
 
 def _cells(threshold: int, groups: int):
@@ -367,10 +432,11 @@ def _cells(threshold: int, groups: int):
 
 
 def block_candidates(titles: DataFrame, threshold: int, groups: int | None = None) -> DataFrame:
-    """(a, b) pairs of `titles` (node: long, title: distinct, not empty) that may reach the ratio, every pair compared once.
+    """(a, b) pairs of `titles` (node: long, title: distinct, not empty) that reach the ratio, every pair compared once.
 
-    Titles are dealt into groups, and a task compares the titles of two groups: by lengths, by bags, and by the starts
-    and ends that must stand in the partner's. Tasks hold two groups however many titles there are; pairs grow with their square.
+    Titles are dealt into groups, and a task compares the titles of two groups: by lengths, by sketches of neighbouring
+    characters, by bags, and what is left by its common subsequence. Tasks hold two groups however many titles there are, and
+    no title travels with a pair; pairs compared grow with the titles' square.
     """
     n, cores = titles.count(), titles.sparkSession.sparkContext.defaultParallelism
     groups = groups or max(-(-n // GROUP_TITLES), min(-(-n // LEAST_TITLES), math.ceil(math.sqrt(8 * cores))), 1)
@@ -386,7 +452,17 @@ def block_candidates(titles: DataFrame, threshold: int, groups: int | None = Non
 
 
 def title_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataFrame:
-    """(a, b) pairs of `titles` (node: long, title: distinct) that may reach the ratio; each pair once.
+    """(a, b) pairs of `titles` (node: long, title: distinct) that may reach the ratio; each pair once."""
+    met = _chunk_candidates(titles, threshold, tables)
+    return block_candidates(_filled(titles), threshold) if met is None else met
+
+
+def _filled(titles: DataFrame) -> DataFrame:
+    return titles.select(F.col("node").cast("long").alias("node"), "title").where("title <> ''")
+
+
+def _chunk_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataFrame | None:
+    """(a, b) pairs of `titles` that share a chunk and may reach the ratio; None where all pairs cost less.
 
     With ratio r two lengths allow d = (1 - r)(la + lb) insertions and deletions. Each spoils at most one of d + 1
     disjoint chunks of the longer title, so some chunk i (from 0) stands in the shorter one, with at most i edits
@@ -397,7 +473,7 @@ def title_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataF
     if not 50 < threshold <= 100:
         raise ValueError("a threshold of over 50 and at most 100")
     spark = titles.sparkSession
-    titles = titles.select(F.col("node").cast("long").alias("node"), "title").where("title <> ''")
+    titles = _filled(titles)
     counted = titles.select("title").mapInPandas(_frequencies(threshold), "bucket long, times long").groupBy("bucket").agg(F.sum("times").alias("times"))
     table = np.zeros(FREQUENCIES, np.int64)
     for r in counted.collect():  # at most FREQUENCIES rows
@@ -407,7 +483,7 @@ def title_candidates(titles: DataFrame, threshold: int, tables: Tables) -> DataF
     cut = tables.write(titles.mapInPandas(_chunked(spark.sparkContext.broadcast(table), threshold), schema), "chunks")
     meets, n = cut.agg(F.sum("meets"), F.count("*")).first()
     if (meets or 0) * MEETING_PAIRS > n * n / 2:
-        return block_candidates(titles, threshold)
+        return None
     at = F.posexplode("starts").alias("i", "p")
     indexed = cut.select(F.col("node").alias("s"), "title", "size", F.col("n").alias("ns"), *[F.col(w).alias(f"s{w}") for w in words], at)
     indexed = indexed.withColumn("gram", F.substring("title", F.col("p") + 1, F.col("size"))).drop("title", "size")
@@ -426,8 +502,11 @@ def similar_titles(titles: DataFrame, threshold: int = 90) -> DataFrame:
     """(a, b) with a < b of `titles` (node: long, title: distinct) of indel ratio >= threshold; exact."""
     tables = Tables(titles.sparkSession, "titles")
     # Narrow rows, and many pairs: they are dealt over the cores however few bytes they have.
-    titles = spread(tables.write(titles.select(F.col("node").cast("long").alias("node"), "title").where("title <> ''"), "titles"))
-    met = title_candidates(titles, threshold, tables).repartition(_parts(titles), "a")
+    titles = spread(tables.write(_filled(titles), "titles"))
+    met = _chunk_candidates(titles, threshold, tables)
+    if met is None:
+        return block_candidates(titles, threshold)
+    met = met.repartition(_parts(titles), "a")
     first, second = (titles.select(F.col("node").alias(x), F.col("title").alias(f"t{x}")) for x in "ab")
     named = met.join(first, "a").join(second, "b")
     # An indel distance is at least the edit distance, whose banded form runs in the JVM and leaves few pairs for Python.
