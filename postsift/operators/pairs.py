@@ -14,6 +14,8 @@ from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -30,6 +32,12 @@ TOKEN_BUCKETS = 1 << 20
 PASSES, PASS_TOKENS = 4, 2_000_000
 #: Words of 64 bits of a token set's parity sketch.
 SKETCH_WORDS = 8
+#: Pairs of sets compared by sketches in a block's time of one meeting of equal tokens in a join.
+SET_PAIRS = 50
+#: Sets and tokens of a group, whose pairs with another group's are one task, at most, and at least where cores could take more groups.
+GROUP_SETS, GROUP_TOKENS, LEAST_SETS, LEAST_TOKENS = 32_768, 3_000_000, 1_000, 100_000
+#: Tokens that a pass ships in any case: 256 MB. Tokens met at a time, sets a batch, and pairs a batch.
+PASS_TOKENS_SHIPPED, MET_TOKENS, SET_ROWS, PAIR_ROWS = 32_000_000, 1_000_000, 1_000, 50_000
 EPSILON = 1e-9
 
 
@@ -120,14 +128,188 @@ def set_candidates(numbered: DataFrame, threshold: float, passes: int = 1, turn:
     return met.select("a", "b").distinct()
 
 
+def _length_groups(lengths: list[tuple[int, int]], most_sets: int, most_tokens: int) -> tuple[list[tuple[int, int, int]], list[list[int]]]:
+    """From (n, sets of n tokens): (n, its first group, its groups), and [least n, largest n, tokens] of each group, in order of length.
+
+    A group is bounded in sets and in tokens; a length with more sets has several groups.
+    """
+    numbers, groups, held = [], [], most_sets + 1
+    for n, count in sorted(lengths):
+        parts = max(-(-count // most_sets), -(-n * count // most_tokens))
+        if parts > 1:
+            numbers.append((n, len(groups), parts))
+            groups += [[n, n, -(-count // parts) * n] for _ in range(parts)]
+            held = most_sets + 1
+            continue
+        if held + count > most_sets or groups[-1][2] + n * count > most_tokens:
+            groups.append([n, n, 0])
+            held = 0
+        groups[-1][1:] = n, groups[-1][2] + n * count
+        held += count
+        numbers.append((n, len(groups) - 1, 1))
+    return numbers, groups
+
+
+class _Sets:
+    """Sets of a group by length: nodes, hashes of tokens one set after another."""
+
+    def __init__(self, rows: pa.Table):
+        ids = rows["ids"].combine_chunks()
+        lengths = np.diff(ids.offsets.to_numpy())
+        by = np.argsort(lengths, kind="stable")
+        self.nodes, self.lengths, self.ids = rows["node"].to_numpy()[by], lengths[by].astype(np.int64), ids.take(pa.array(by)).flatten().to_numpy()
+        self.ends = np.cumsum(self.lengths)
+
+    def sketches(self, words: int) -> np.ndarray:
+        """(word, set): parities of the tokens by a hash."""
+        out = np.zeros((words, len(self.nodes)), np.uint64)
+        hashed = self.ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(24)
+        bit, word = np.uint64(1) << hashed % np.uint64(64), (hashed // np.uint64(64) % np.uint64(words)).astype(np.int64)
+        np.bitwise_xor.at(out, (word, np.repeat(np.arange(len(self.nodes)), self.lengths)), bit)
+        return out
+
+    def of(self, i: int) -> np.ndarray:
+        return self.ids[self.ends[i] - self.lengths[i] : self.ends[i]]
+
+    def shared(self, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of a set's sorted tokens each set of `at` holds; few tokens at a time."""
+        out, ends = [], np.cumsum(self.lengths[at])
+        for cut in np.split(at, np.flatnonzero(np.diff(ends // MET_TOKENS)) + 1):
+            ids, sizes = np.concatenate([self.of(j) for j in cut]), self.lengths[cut]
+            place = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+            out.append(np.add.reduceat(own[place] == ids, np.cumsum(sizes) - sizes, dtype=np.int64))
+        return np.concatenate(out)
+
+
+def _sets_pairs(a: _Sets, b: _Sets, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes and similarities of the similar pairs of two groups, b's sets no shorter than a's, or of one group given twice.
+
+    Differing bits of two sketches are a lower bound of the sets' difference. A sketch has some bits more than a set has tokens.
+    """
+    same, words = a is b, max(1, -(-5 * (len(a.ids) + len(b.ids)) // (4 * 64 * (len(a.nodes) + len(b.nodes)))))
+    first = a.sketches(words)
+    second = first if same else b.sketches(words)
+    differ, count, part, total = (np.empty(len(b.nodes), kind) for kind in (np.uint64, np.uint8, np.uint8, np.uint32))
+    last, limit, high = None, None, 0
+    for i, n in enumerate(a.lengths.tolist()):
+        if n != last:
+            last, high = n, int(np.searchsorted(b.lengths, math.floor(n / threshold + EPSILON), "right"))
+            both = n + b.lengths[:high]
+            limit = both - 2 * np.ceil(both * (threshold / (1 + threshold)) - EPSILON).astype(np.int64)
+        low = i + 1 if same else 0
+        if low >= high:
+            continue
+        own = slice(low, high)
+        for k in range(words):
+            fresh = k % 3 == 0  # a byte counts three words
+            np.bitwise_xor(second[k, own], first[k, i], out=differ[own])
+            np.bitwise_count(differ[own], out=(part if fresh else count)[own])
+            if not fresh:
+                np.add(part[own], count[own], out=part[own])
+            if k % 3 == 2 or k == words - 1:
+                if k < 3:
+                    total[own] = part[own]
+                else:
+                    total[own] += part[own]
+        at = low + np.flatnonzero(total[own] <= limit[own])
+        if len(at):
+            shared = b.shared(np.sort(a.of(i)), at)
+            similarity = shared / (n + b.lengths[at] - shared)
+            fits = similarity >= threshold
+            if fits.any():
+                yield np.full(int(fits.sum()), a.nodes[i]), b.nodes[at[fits]], similarity[fits]
+
+
+def _set_cells(threshold: float, cells: list[tuple[int, int]]):
+    """Rows of cells (cell, own, node, ids) -> (a, b, similarity); a partition has the whole rows of its cells. cells: the two groups of each."""
+    names = ["a", "b", "similarity"]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [x for x in batches if x.num_rows]
+        if not kept:
+            return
+        rows = pa.Table.from_batches(kept)
+        kept.clear()
+        for cell in pc.unique(rows["cell"]).to_pylist():
+            whole = pc.equal(rows["cell"], cell)
+            sides = {own: _Sets(rows.filter(pc.and_(whole, pc.equal(rows["own"], own)))) for own in pc.unique(rows["own"].filter(whole)).to_pylist()}
+            i, j = cells[cell]
+            if i not in sides or j not in sides:
+                continue
+            found, waiting = [], 0
+            for x, y, similarity in _sets_pairs(sides[i], sides[j], threshold):
+                found.append((np.minimum(x, y), np.maximum(x, y), similarity))
+                waiting += len(x)
+                if waiting >= PAIR_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+                    found, waiting = [], 0
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=names)
+
+    return each
+
+
+def block_set_pairs(numbered: DataFrame, threshold: float, tables: Tables, most_sets: int | None = None) -> DataFrame:
+    """(a, b, similarity) of similar `numbered` sets, every pair of fitting lengths compared once.
+
+    Sets are grouped by length, and a task compares the sets of two groups whose lengths allow the threshold: it holds two
+    groups however many sets there are, and no set travels with a pair. A set travels once for each group that it meets, in
+    passes that ship no more than all sets have tokens; pairs compared grow with the square of the sets.
+    """
+    spark = numbered.sparkSession
+    lengths = [(r["n"], r["count"]) for r in numbered.groupBy("n").count().collect()]  # a row a length
+    sets, tokens, deal = sum(c for _, c in lengths), sum(n * c for n, c in lengths), 4 * math.sqrt(spark.sparkContext.defaultParallelism)
+    most_sets = most_sets or min(GROUP_SETS, max(LEAST_SETS, math.ceil(sets / deal)))
+    numbers, groups = _length_groups(lengths, most_sets, min(GROUP_TOKENS, max(LEAST_TOKENS, math.ceil(tokens / deal))))
+    passes, shipped = [], math.inf
+    for j, (least, _, held) in enumerate(groups):
+        for i, (_, largest, other) in enumerate(groups[: j + 1]):
+            if largest < threshold * least - EPSILON:
+                continue
+            moved = held + other * (i != j)
+            if shipped + moved > max(PASS_TOKENS_SHIPPED, tokens):
+                passes.append([])
+                shipped = 0
+            passes[-1].append((i, j))
+            shipped += moved
+    named = F.broadcast(spark.createDataFrame(numbers, "n int, first int, parts int"))
+    placed = numbered.select("node", "n", "ids").join(named, "n").select("node", "ids", (F.col("first") + F.pmod(F.xxhash64("node"), "parts")).cast("int").alias("own"))
+    for turn, cells in enumerate(passes):
+        meant = [(group, [k for k, cell in enumerate(cells) if group in cell]) for group in sorted({g for cell in cells for g in cell})]
+        dealt = placed.join(F.broadcast(spark.createDataFrame(meant, "own int, cells array<int>")), "own").select(F.explode("cells").alias("cell"), "own", "node", "ids")
+        tables.write(dealt.repartitionById(len(cells), "cell").mapInArrow(_set_cells(threshold, cells), "a long, b long, similarity double"), f"similar{turn}", batch_rows=SET_ROWS)
+    return tables.read([f"similar{turn}" for turn in range(len(passes))], "a long, b long, similarity double")
+
+
+def _meetings(numbered: DataFrame, threshold: float) -> tuple[float, float]:
+    """Meetings of equal tokens that `set_candidates` would look at, at most, and pairs of fitting lengths."""
+    asked = (F.col("n") - F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - EPSILON) + 1).cast("int")
+    met = numbered.agg(F.sum(F.aggregate(F.slice("dfs", F.lit(1), asked), F.lit(0.0), lambda x, t: x + t - 1))).first()[0] or 0.0
+    found = sorted((r["n"], r["count"]) for r in numbered.groupBy("n").count().collect())
+    n, sets = np.array([n for n, _ in found]), np.cumsum([0] + [c for _, c in found], dtype=float)
+    partners = sets[np.searchsorted(n, np.floor(n / threshold + EPSILON), "right")] - (sets[1:] + sets[:-1]) / 2  # among equals half of them
+    return met, float((np.diff(sets) * partners).sum())
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(a, b, similarity) with a < b of `sets` (node: long, tokens: distinct); exact, but that 64-bit hashes tell tokens apart. Empty sets have no pair."""
+    """(a, b, similarity) with a < b of `sets` (node: long, tokens: distinct); exact, but that 64-bit hashes tell tokens apart. Empty sets have no pair.
+
+    Sets meet by their rare tokens, or, where tokens are so frequent that this costs more, all pairs of fitting lengths are compared.
+    """
     tables = Tables(sets.sparkSession, "jaccard")
     known = tables.write(sets.select(F.col("node").cast("long").alias("node"), "tokens"), "sets")
-    numbered = tables.write(numbered_sets(known, tables), "numbered")
+    numbered = tables.write(numbered_sets(known, tables), "numbered", batch_rows=SET_ROWS)
     tables.drop("sets")
+    met, fitting = _meetings(numbered, threshold)
+    if met == 0:
+        return tables.spark.createDataFrame([], "a long, b long, similarity double")
+    if met * SET_PAIRS > fitting:
+        similar = block_set_pairs(numbered, threshold, tables)
+        tables.drop("numbered")
+        return similar
     # A pass's shuffle files go with its write: of postings, and of sets that travel once a pair, no more than a pass's lie on disk.
-    passes = PASSES if (numbered.agg(F.sum("n")).first()[0] or 0) > PASS_TOKENS else 1
+    tokens = numbered.agg(F.sum("n")).first()[0] or 0
+    passes = max(PASSES, -(-tokens // PASS_TOKENS_SHIPPED)) if tokens > PASS_TOKENS else 1
     for turn in range(passes):
         tables.write(set_candidates(numbered, threshold, passes, turn), f"met{turn}")
     met = tables.write(tables.read([f"met{turn}" for turn in range(passes)], "a long, b long").distinct(), "met")
