@@ -53,11 +53,11 @@ def prefilter(posts: DataFrame, languages: list[str] | None = None, intents: tup
 
 def collect_all(posts: DataFrame, languages: list[str] | None, intents: tuple[str, ...] | None, min_score: int, min_comments: int, history: DataFrame | None = None) -> DataFrame:
     """The collection's chain on the union of its sources: language, intent, score, comments, dedupe."""
-    kept = cleaning.filter_languages(cleaning.tag_language(spread(posts)), languages)
+    kept = cleaning.filter_comments(cleaning.filter_score(spread(posts), min_score), min_comments)  # numbers before texts
+    kept = cleaning.filter_languages(cleaning.tag_language(kept), languages)
     kept = cleaning.tag_intent(kept)
     kept = cleaning.filter_intents(kept, intents) if intents else kept
-    kept = cleaning.filter_comments(cleaning.filter_score(kept, min_score), min_comments)
-    return dedupe.greedy_dedupe(kept, history)
+    return dedupe.greedy_dedupe(kept, history, source=posts, made=("lang", "intent"))
 
 
 def clean_run(posts: DataFrame) -> DataFrame:
